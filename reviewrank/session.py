@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def local_session(cpus: str = "8", memory: str = "12g") -> SparkSession:
@@ -15,6 +18,7 @@ def local_session(cpus: str = "8", memory: str = "12g") -> SparkSession:
         .appName("reviewrank")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", os.environ.get("SHUFFLE_PARTITIONS", "8"))
         .config("spark.sql.adaptive.enabled", "true")
@@ -40,3 +44,9 @@ def cut_lineage(df, eager: bool = True):
     """Materialise ``df`` in the shared folder, so that lost executors do not recompute it differently."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def small_table(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
+    """A fixed lookup table held in the plan itself (no job, no Python worker)."""
+    schema = StructType.fromDDL(ddl)
+    return spark.createDataFrame(pa.Table.from_pylist(rows, schema=to_arrow_schema(schema)), schema)
