@@ -23,7 +23,7 @@ _CHUNK = "_chunk"
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the tables a plan reads, from the optimizer's statistics (no job runs)."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 class Ordered:

@@ -131,11 +131,13 @@ def luma_aggs() -> list[Column]:
     return [F.avg("luma").alias("q_luma_mean"), F.percentile("luma", F.lit(0.1)).alias("q_luma_p10")]
 
 
-def with_baseline(grid: DataFrame) -> DataFrame:
+def with_baseline(
+    grid: DataFrame, seconds: int = R.BASELINE_SECONDS, needed: int = R.BASELINE_NEEDED
+) -> DataFrame:
     """Add ``_z_<signal>`` (absolute robust z against the first usable minute) and ``_usable`` seconds in it."""
     usable = F.col("yaw_abs").isNotNull()
     nth = F.sum(usable.cast("int")).over(_run())
-    df = grid.withColumn("_first", usable & (nth <= R.BASELINE_SECONDS))
+    df = grid.withColumn("_first", usable & (nth <= seconds))
     whole = _whole()
     names = list(R.BASELINE_FLOOR)
     inside = {n: F.when(F.col("_first"), F.col(n)) for n in names}
@@ -155,19 +157,19 @@ def with_baseline(grid: DataFrame) -> DataFrame:
 
     def z(n: str) -> Column:
         spread = F.greatest(F.lit(R.MAD_SCALE) * F.col(f"_mad_{n}"), F.lit(R.BASELINE_FLOOR[n]))
-        ready = (F.col("_usable") >= R.BASELINE_NEEDED) & (F.col(f"_have_{n}") >= R.BASELINE_NEEDED)
+        ready = (F.col("_usable") >= needed) & (F.col(f"_have_{n}") >= needed)
         return F.when(ready, F.abs(F.col(n) - F.col(f"_med_{n}")) / spread)
 
     return df.select(
         *grid.columns, "_usable",
         *[z(n).alias(f"_z_{n}") for n in names],
-        *[(F.col(f"_have_{n}") >= R.BASELINE_NEEDED).alias(f"_ok_{n}") for n in names],
+        *[(F.col(f"_have_{n}") >= needed).alias(f"_ok_{n}") for n in names],
     )
 
 
-def baseline_aggs() -> list[Column]:
+def baseline_aggs(needed: int = R.BASELINE_NEEDED) -> list[Column]:
     """From :func:`with_baseline` followed by rolling means of ``_z_*`` over 60 seconds."""
-    ready = F.first("_usable") >= R.BASELINE_NEEDED
+    ready = F.first("_usable") >= needed
     out = [ready.cast("double").alias("baseline_available")]
     for n in R.BASELINE_FLOOR:
         ok = ready & F.first(f"_ok_{n}")

@@ -107,7 +107,7 @@ def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- the same views as SQL, for checks ----
 SQL_EVENTS = f"""
 base AS (SELECT event_id, user_id, event_type, value, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k,
-  epoch_ms(ts) - epoch_ms(TIMESTAMP '{ORIGIN}') AS ts_ms FROM events),
+  epoch_us(ts) // 1000 - epoch_us(TIMESTAMP '{ORIGIN}') // 1000 AS ts_ms FROM events),
 typed0 AS (SELECT *, k % 4 AS g, CAST(floor(k / 4) AS BIGINT) AS h FROM base),
 typed AS (SELECT *, {EVENT_OF} AS et FROM typed0),
 ev AS (SELECT {', '.join(FLAT)} FROM typed),
