@@ -11,13 +11,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Register the decorated ``(spark, sf_dir) -> DataFrame`` under its own name."""
+def query(sql: str | None = None, name: str | None = None):
+    """Register the decorated ``(spark, sf_dir) -> DataFrame`` under its own name or ``name``."""
 
     def register(fn):
-        QUERIES[fn.__name__] = fn
+        QUERIES[name or fn.__name__] = fn
         if sql is not None:
-            ORACLES[fn.__name__] = sql
+            ORACLES[name or fn.__name__] = sql
         return fn
 
     return register
