@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewrank.session import small_table
+
 ORIGIN = "2024-01-01 00:00:00"
 STEP_MS = 3_600_000
 TICKS = 720
@@ -80,8 +82,22 @@ def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
         millis_since("ts").alias("ts_ms"),
     )
-    typed = base.selectExpr("*", "k % 4 AS g", "CAST(floor(k / 4) AS BIGINT) AS h").selectExpr("*", f"{EVENT_OF} AS et")
-    return typed.selectExpr(*FLAT)
+    keyed = base.selectExpr("*", "k % 4 AS g", "CAST(floor(k / 4) AS BIGINT) AS h", "CAST(floor(k / 4) AS BIGINT) % 2 AS odd")
+    typed = keyed.join(F.broadcast(_event_kinds(spark)), ["event_type", "g", "odd"])
+    return typed.selectExpr(*[c.replace(CHANNEL_OF, "home") for c in FLAT])
+
+
+def _event_kinds(spark: SparkSession) -> DataFrame:
+    """Source type, g and odd -> event type and channel (40 rows).
+
+    A joined column keeps the long CASE out of every later expression on ``et``.
+    """
+    cells = [
+        {"event_type": t, "g": g, "h": o, "odd": o}
+        for t in ("signup", "error", "view", "click", "purchase") for g in range(4) for o in range(2)
+    ]
+    kinds = small_table(spark, cells, "event_type STRING, g BIGINT, h BIGINT, odd BIGINT")
+    return kinds.selectExpr("event_type", "g", "odd", f"{EVENT_OF} AS et").selectExpr("*", f"{CHANNEL_OF} AS home")
 
 
 def session_lengths(events: DataFrame) -> DataFrame:
