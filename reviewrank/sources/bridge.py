@@ -131,3 +131,58 @@ valid AS (SELECT * FROM ev WHERE k % 50 > 1)"""
 SQL_SCORED = """
 scored AS (SELECT d.doc_id AS id, CAST(l.toxic AS INT) AS y, round(least(1.0, d.n_chars / 20000.0), 3) AS p, d.lang, d.source
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+
+# ---- BR3: operational tables over the star schema ----
+SESSIONS = [
+    "o_orderkey", "concat('ses', o_orderkey) AS id", "o_custkey AS participant_id",
+    "CASE WHEN o_orderkey % 10 = 0 THEN o_custkey + 1 END AS helper_participant_id",
+    "CASE WHEN o_orderkey % 4 = 0 THEN 'MOCK' ELSE 'SIMULATED' END AS source",
+    "CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'UPLOADED' ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'DELETED' ELSE 'RECORDED' END END AS status",
+    "o_orderpriority AS behavior_profile",
+    "CASE o_orderkey % 3 WHEN 0 THEN 'bright' WHEN 1 THEN 'normal' ELSE 'dim' END AS lighting",
+    "CASE o_custkey % 3 WHEN 0 THEN 'hd' WHEN 1 THEN 'sd' ELSE 'low' END AS webcam_class",
+    "CASE WHEN o_custkey % 2 = 0 THEN 'quiet' ELSE 'noisy' END AS room_noise",
+    "CASE WHEN o_orderkey % 5 = 0 THEN 'unstable' ELSE 'stable' END AS connection_stability",
+    "CASE WHEN o_custkey % 4 = 0 THEN 'yes' ELSE 'no' END AS eyewear",
+    "CASE WHEN o_custkey % 6 = 0 THEN 'yes' ELSE 'no' END AS head_covering",
+    "o_totalprice / 100.0 AS duration_s", "o_orderkey % 13 = 0 AS is_rehearsal", "o_orderdate AS created_at",
+]
+LABELS = ["concat('ses', o_orderkey) AS session_id", "o_orderkey * 7919 % 16 = 0 AS violation"]
+SPLITS = ["concat('ses', o_orderkey) AS session_id",
+          "CASE WHEN o_orderkey % 100 < 15 THEN 'holdout' WHEN o_orderkey % 100 < 27 THEN 'calibration' WHEN o_orderkey % 100 < 40 THEN 'validation' ELSE 'train' END AS split"]
+PREDICTIONS = [
+    "concat('ses', o_orderkey) AS session_id", "'m1' AS model_version", "round(o_totalprice / 600000.0, 4) AS risk",
+    "CASE WHEN o_totalprice >= 420000 THEN 'PRIORITY_REVIEW' WHEN o_totalprice >= 300000 THEN 'HUMAN_REVIEW' WHEN o_totalprice >= 120000 THEN 'ROUTINE_REVIEW' ELSE 'NO_ACTION' END AS recommendation",
+]
+VERDICTS = ["concat('ses', l_orderkey) AS session_id",
+            "CASE l_returnflag WHEN 'A' THEN 'NO_CONCERN' WHEN 'R' THEN 'CONCERN_CONFIRMED' ELSE 'INCONCLUSIVE' END AS verdict"]
+_WHERE = {"labels_": "o_orderkey % 5 <> 0", "predictions": "o_orderkey % 7 <> 0", "verdicts": "l_discount >= 0.09"}
+SQL_OPS = f"""sessions AS (SELECT {', '.join(SESSIONS)} FROM orders),
+labels_ AS (SELECT {', '.join(LABELS)} FROM orders WHERE {_WHERE['labels_']}),
+splits AS (SELECT {', '.join(SPLITS)} FROM orders),
+predictions AS (SELECT {', '.join(PREDICTIONS)} FROM orders WHERE {_WHERE['predictions']}),
+verdicts AS (SELECT {', '.join(VERDICTS)} FROM lineitem WHERE {_WHERE['verdicts']})"""
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").selectExpr(*SESSIONS)
+
+
+def session_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").where(_WHERE["labels_"]).selectExpr(*LABELS)
+
+
+def session_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").selectExpr(*SPLITS)
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").where(_WHERE["predictions"]).selectExpr(*PREDICTIONS)
+
+
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").where(_WHERE["verdicts"]).selectExpr(*VERDICTS)
+
+
+def participants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_name AS code", "c_acctbal", "c_mktsegment")
