@@ -131,12 +131,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     )
     joined = ranked.join(wanted, keys)
     first = F.col("_upto") - F.col("_n")
-    hit = joined.select(
-        *keys, value, first.alias("_first"), "_upto", F.explode("_want").alias("_w")
-    ).where(
-        (F.floor("_w._pos").between(F.col("_first"), F.col("_upto") - 1))
-        | (F.ceil("_w._pos").between(F.col("_first"), F.col("_upto") - 1))
-    )
+    inside = lambda pos: pos.between(first, F.col("_upto") - 1)
+    mine = F.filter("_want", lambda w: inside(F.floor(w["_pos"])) | inside(F.ceil(w["_pos"])))
+    hit = joined.select(*keys, value, first.alias("_first"), "_upto", F.explode(mine).alias("_w"))
     lo = F.max(F.when(F.floor("_w._pos").between(F.col("_first"), F.col("_upto") - 1), F.col(value)))
     hi = F.max(F.when(F.ceil("_w._pos").between(F.col("_first"), F.col("_upto") - 1), F.col(value)))
     frac = F.max(F.col("_w._pos") - F.floor("_w._pos"))

@@ -26,7 +26,7 @@ def best_iou(truth: DataFrame, found: DataFrame, bucket_ms: int = 300_000) -> Da
     pairs = bucketed(t, "start_ms", "end_ms").join(bucketed(f, "s", "e"), ["session_id", "type", "_b"], "left")
     inter = F.least("end_ms", "e") - F.greatest("start_ms", "s")
     union = F.greatest("end_ms", "e") - F.least("start_ms", "s")
-    iou = F.when((inter > 0) & (union > 0), inter / union)
+    iou = F.when(F.col("e").isNotNull() & (inter > 0) & (union > 0), inter / union)
     return pairs.groupBy(*key, "n").agg(F.coalesce(F.max(iou), F.lit(0.0)).alias("iou"))
 
 

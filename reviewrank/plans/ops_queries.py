@@ -198,8 +198,8 @@ def register_dataset(spark, sf_dir):
     return U.insert_new(known, s.unionByName(s), ["id"]).select("id")
 
 
-@query(f"""{_O}, u AS (SELECT session_id, model_version, risk, 0 AS at FROM predictions UNION ALL SELECT 'ses' || l_orderkey, 'm1', round(l_discount, 4), l_partkey * 1000 + l_linenumber FROM lineitem)
-SELECT session_id, model_version, arg_max(risk, (at, risk)) AS risk FROM u GROUP BY ALL""")
+@query(f"""{_O}, u AS (SELECT session_id, model_version, risk, 0 AS at_ FROM predictions UNION ALL SELECT 'ses' || l_orderkey, 'm1', round(l_discount, 4), l_partkey * 1000 + l_linenumber AS at_ FROM lineitem)
+SELECT session_id, model_version, arg_max(risk, {{'a': at_, 'r': risk}}) AS risk FROM u GROUP BY ALL""")
 def upsert_predictions(spark, sf_dir):
     """Stored predictions updated by a stream of newer ones."""
     stored = B.predictions(spark, sf_dir).select("session_id", "model_version", "risk", F.lit(0).cast("bigint").alias("at"))
@@ -344,7 +344,7 @@ def _item_intervals(spark, sf_dir):
 
 
 @query(f"""WITH {_IV}, t AS (SELECT row_number() OVER () AS i, * FROM iv WHERE l_linestatus = 'F'), f AS (SELECT * FROM iv WHERE l_linestatus = 'O'),
-p AS (SELECT t.i, t.type, max(greatest(0, least(t.e, f.e) - greatest(t.s, f.s)) / (greatest(t.e, f.e) - least(t.s, f.s))) AS iou FROM t LEFT JOIN f ON f.session_id = t.session_id AND f.type = t.type GROUP BY ALL)
+p AS (SELECT t.i, t.type, max(CASE WHEN f.e IS NULL THEN 0 ELSE greatest(0, least(t.e, f.e) - greatest(t.s, f.s)) / (greatest(t.e, f.e) - least(t.s, f.s)) END) AS iou FROM t LEFT JOIN f ON f.session_id = t.session_id AND f.type = t.type GROUP BY ALL)
 SELECT type, CAST(count(*) AS BIGINT) AS episodes, {sql_r6('avg(CAST(coalesce(iou, 0) >= 0.5 AS INT))', 'share_iou_ge_0_5')}, {sql_r6('avg(coalesce(iou, 0))', 'mean_best_iou')} FROM p GROUP BY type""")
 def flag_iou(spark, sf_dir):
     """Open lines as flags for finished lines of the same order; buckets of thirty days."""
@@ -422,14 +422,14 @@ def calibrate_lookup(spark, sf_dir):
 @query("SELECT event_id, " + ", ".join([
     sql_r6("sqrt(value * value + 4)", "hyp"), sql_r6("greatest(0, least(3, value / 40))", "clipped"),
     sql_r6("1 / (1 + exp(-value / 100))", "sig"), sql_r6("ln(greatest(1e-6, least(1 - 1e-6, value / 600)) / (1 - greatest(1e-6, least(1 - 1e-6, value / 600))))", "lg"),
-    "round_even(value / 100, 3) AS even"]) + " FROM events")
+    "round_even(event_id / 8.0::DOUBLE, 2) AS even"]) + " FROM events")
 def scalar_math(spark, sf_dir):
     from reviewrank.functions.scalars import clip, logit, sigmoid
 
     v = F.col("value")
     return B.table(spark, sf_dir, "events").select(
         "event_id", r6(F.hypot(v, F.lit(2.0))).alias("hyp"), r6(clip(v / 40, 0.0, 3.0)).alias("clipped"), r6(sigmoid(v / 100)).alias("sig"),
-        r6(logit(v / 600)).alias("lg"), F.bround(v / 100, 3).alias("even"))
+        r6(logit(v / 600)).alias("lg"), F.bround(F.col("event_id") / 8, 2).alias("even"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate + INTERVAL 180 DAY, '%Y-%m-%d') AS due, strftime(o_orderdate, '%Y-%m-%d %H:%M UTC') AS stamp FROM orders")
