@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from reviewrank.session import cut_lineage
 
 ONE_TASK_BYTES = 64 * 1024 * 1024
+UNKNOWN_BYTES = 1 << 60
+ROW_BYTES = 100
 CHUNK_BYTES = 16 * 1024 * 1024
 MAX_CHUNKS = 20_000
 _CHUNK = "_chunk"
@@ -34,7 +36,10 @@ class Ordered:
     """
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[Column], size_of: DataFrame | None = None):
-        size = input_bytes(size_of if size_of is not None else df)
+        bound = size_of if size_of is not None else df
+        size = input_bytes(bound)
+        if size >= UNKNOWN_BYTES:  # a source without statistics: count instead
+            size = bound.count() * ROW_BYTES
         self.keys, self.order = keys, order
         self.split = size > ONE_TASK_BYTES
         if self.split:

@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from reviewrank.functions import registry as R
 from reviewrank.functions.prefix import Ordered, exact_quantiles
+from reviewrank.functions.reshape import long_format
 from reviewrank.functions.scalars import wilson_low
 
 _DECILES = [i / 10 for i in range(11)]
 
 
 def long_features(df: DataFrame, features: list[str], keep: list[str] = ()) -> DataFrame:
-    cols = [F.col(f).cast("double").alias(f) for f in features]
-    return df.select(*keep, *cols).unpivot(list(keep), features, "feature", "value").where(
-        F.col("value").isNotNull() & ~F.isnan("value"))
+    return long_format(df, list(keep), features).where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
 def reference_edges(reference: DataFrame) -> DataFrame:

@@ -100,10 +100,11 @@ def window_aggs(windows: list[int]) -> list[Column]:
     return out
 
 
-def interaction_aggs() -> list[Column]:
+def interaction_conditions() -> dict[str, Column]:
+    """Seconds on which signals of several channels coincide; unknown counts as no evidence."""
     v = _or_zero
     on = lambda n: v(n) > 0.5
-    shares = {
+    return {
         "x_gaze_off_and_foreign": on("gaze_off") & on("foreign"),
         "x_phone_and_pitch_down": on("phone") & (v("pitch_down") > 15),
         "x_multi_face_and_voice": (on("multi_face") | on("extra_person")) & on("vad"),
@@ -112,7 +113,10 @@ def interaction_aggs() -> list[Column]:
         "x_paper_and_pitch_down": on("paper") & (v("pitch_down") > 12),
         "x_foreign_and_keys": on("foreign") & (v("keys_per_s") > 1),
     }
-    return [_share(c).alias(n) for n, c in shares.items()]
+
+
+def interaction_aggs() -> list[Column]:
+    return [_share(c).alias(n) for n, c in interaction_conditions().items()]
 
 
 def with_paste_after_return(grid: DataFrame) -> DataFrame:
@@ -181,29 +185,80 @@ def baseline_aggs(needed: int = R.BASELINE_NEEDED) -> list[Column]:
     return out
 
 
+def _cells(windows: list[int], z: bool) -> dict[str, dict[str, Column | float]]:
+    """Everything a feature is reduced from: name -> value, run length, rolling means and cuts."""
+    none, zero = F.lit(None).cast("double"), F.lit(0).cast("bigint")
+
+    def cell(value: Column, run: Column = zero, rolled: list[Column] | None = None, cut: float = 0.0) -> dict:
+        return {"v": value.cast("double"), "run": run, "r": rolled or [none] * len(windows), "cut": F.lit(float(cut))}
+
+    out = {}
+    for n, _, kind, thr in R.SIGNALS:
+        out[n] = cell(F.col(n), F.col(f"{n}__run"), [F.col(f"{n}__r{w}") for w in windows], thr if kind == "continuous" else 0.5 * thr)
+    for c in R.CHANNELS:
+        out[f"obs_{c}"] = cell(F.col(f"obs_{c}"))
+    for name, cond in interaction_conditions().items():
+        out[name] = cell(cond)
+    out["returned"], out["luma"], out["p10"] = cell(F.col("_returned")), cell(F.col("luma")), cell(F.col("_p10"))
+    out["ticks"], out["duration"] = cell(F.col("ticks")), cell(F.col("duration_s"))
+    if z:
+        out["usable"] = cell(F.col("_usable"))
+        for n in R.BASELINE_FLOOR:
+            # the first rolling slot carries z itself, for its share above 3
+            out[f"z_{n}"] = cell(F.col(f"_z_{n}__r60"), F.col(f"_ok_{n}").cast("bigint"), [F.col(f"_z_{n}")] + [none] * (len(windows) - 1), 3.0)
+    return out
+
+
 def session_features(
-    grid: DataFrame, windows: list[int] = R.WINDOWS, baseline: bool = True
+    grid: DataFrame, windows: list[int] = R.WINDOWS, baseline: bool = True, needed: int = R.BASELINE_NEEDED
 ) -> DataFrame:
-    """One row per session with the feature columns in registry order."""
-    df = with_paste_after_return(with_runs(grid, R.SIGNAL_NAMES))
-    names = list(R.SIGNAL_NAMES)
-    aggs = [
-        (F.first("duration_s") / 60.0).alias("duration_min"),
-        *whole_aggs(), *run_aggs(), *window_aggs(windows), *interaction_aggs(),
-        F.sum("_returned").cast("double").alias("x_paste_after_tab_return"),
-        *unknown_aggs(), *luma_aggs(),
-    ]
+    """One row per session with the feature columns in registry order.
+
+    The wide row is turned into about fifty small ones and reduced by a handful of aggregates: one
+    aggregation with three hundred functions does not compile to fast code.  No further shuffle happens.
+    """
+    p10 = F.percentile("luma", F.lit(0.1)).over(_whole()).alias("_p10")
+    df = with_paste_after_return(with_runs(grid.select("*", p10), R.SIGNAL_NAMES))
+    wanted = {w: list(R.SIGNAL_NAMES) for w in windows}
     if baseline:
-        df = with_baseline(df)
-        wanted = {w: names for w in windows}
+        df = with_baseline(df, needed=needed)
         wanted[60] = wanted.get(60, []) + [f"_z_{n}" for n in R.BASELINE_FLOOR]
-        df = with_rolling(df, wanted)
-        aggs += baseline_aggs()
-    else:
-        df = with_rolling(df, {w: names for w in windows})
-        aggs.append(F.lit(0.0).alias("baseline_available"))
-        for n in R.BASELINE_FLOOR:
-            aggs += [F.lit(None).cast("double").alias(f"bn_{n}__{s}") for s in ("w60_max", "frac_over3")]
-    out = df.groupBy("session_id").agg(*aggs)
-    kept = [f for f in R.feature_names() if f in out.columns]
-    return out.select("session_id", *kept)
+    df = with_rolling(df, wanted)
+    cells = _cells(windows, baseline)
+    at = {name: i for i, name in enumerate(cells)}
+    slots = [f"r{i}" for i in range(len(windows))]
+    rows = F.array(*[
+        F.struct(F.lit(i).alias("i"), c["v"].alias("v"), c["run"].alias("run"), *[x.alias(s) for x, s in zip(c["r"], slots, strict=True)], c["cut"].alias("cut"))
+        for i, c in enumerate(cells.values())
+    ])
+    long = df.select("session_id", F.explode(rows).alias("x")).select("session_id", "x.*")
+    stats = long.groupBy("session_id", "i").agg(
+        F.avg("v").alias("mean"), F.max("v").alias("max"), F.stddev_pop("v").alias("std"), F.sum("v").alias("sum"), F.max("run").alias("run"),
+        *[F.max(s).alias(f"{s}_max") for s in slots], *[_share(F.coalesce(F.col(s), F.lit(0.0)) > F.col("cut")).alias(f"{s}_over") for s in slots])
+    names = [c for c in stats.columns if c not in ("session_id", "i")]
+    packed = stats.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("i", *names))).alias("s"))
+
+    def get(name: str, stat: str) -> Column:
+        return F.col("s")[at[name]][stat]
+
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    f = {"duration_min": get("duration", "max") / 60.0}
+    for n in R.SIGNAL_NAMES:
+        f |= {f"{n}__{k}": zero(get(n, k)) for k in ("mean", "max", "std")}
+        f[f"{n}__longest_run_s"] = get(n, "run").cast("double")
+        for w, s in zip(windows, slots, strict=True):
+            f |= {f"{n}__w{w}_max": zero(get(n, f"{s}_max")), f"{n}__w{w}_over": get(n, f"{s}_over")}
+    ready = get("usable", "max") >= needed if baseline else F.lit(False)
+    f["baseline_available"] = ready.cast("double")
+    for n in R.BASELINE_FLOOR:
+        for stat in ("w60_max", "frac_over3"):
+            f[f"bn_{n}__{stat}"] = F.lit(None).cast("double")
+        if baseline:
+            ok = ready & (get(f"z_{n}", "run") == 1)
+            f[f"bn_{n}__w60_max"] = F.when(ok, zero(get(f"z_{n}", "max")))
+            f[f"bn_{n}__frac_over3"] = F.when(ok, get(f"z_{n}", "r0_over"))
+    f |= {x: get(x, "mean") for x in interaction_conditions()}
+    f["x_paste_after_tab_return"] = get("returned", "sum")
+    f |= {f"unk_{c}": 1.0 - get(f"obs_{c}", "mean") for c in R.CHANNELS}
+    f |= {"q_luma_mean": get("luma", "mean"), "q_luma_p10": get("p10", "max")}
+    return packed.select("session_id", *[f[n].alias(n) for n in R.feature_names() if n in f])

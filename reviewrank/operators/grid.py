@@ -110,8 +110,8 @@ def _aggs(specs: dict, merge: bool) -> list[Column]:
 def by_session(df: DataFrame) -> DataFrame:
     """Hash-partition by session with the configured partition count.
 
-    The count is pinned because each row becomes many grid rows afterwards, which size-based coalescing
-    of the small shuffle cannot know.
+    The count is pinned, and the join on it kept as a merge join, because each row becomes many grid rows
+    afterwards, which size-based coalescing or broadcasting of the small shuffle cannot know.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, "session_id")
@@ -124,7 +124,7 @@ def ticks(events: DataFrame, lengths: DataFrame, step_ms: int = 1000) -> DataFra
     raw = raw.withColumn("_spread", F.when(F.col("event_type") == "INPUT_ACTIVITY", _spread()))
     first = raw.groupBy("session_id", "_tick", "_spread").agg(*_aggs(specs, merge=False))
     # the tail is clipped into the last tick; a typing count reaches back over the ticks it covers
-    sized = by_session(lengths).join(by_session(first), "session_id", "left")
+    sized = lengths.join(by_session(first).hint("merge"), "session_id", "left")
     sized = sized.withColumn("_tick", F.least(F.coalesce("_tick", F.lit(0)), F.col("ticks") - 1))
     covered = F.when(
         F.col("_spread").isNotNull(), F.sequence(F.greatest(F.lit(0), F.col("_tick") - F.col("_spread") + 1), F.col("_tick"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from reviewrank.functions import registry as R
 from reviewrank.functions.prefix import Ordered, exact_quantiles
+from reviewrank.functions.reshape import long_format
 from reviewrank.functions.scalars import clip
 
 _ALL = "_all"
@@ -192,14 +193,13 @@ def flag_rate_by(scored: DataFrame, column: str, threshold: float) -> DataFrame:
 
 def medians(wide: DataFrame, columns: list[str]) -> DataFrame:
     """``feature, median`` over all rows."""
-    long = wide.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "feature", "value")
+    long = long_format(wide, [], columns)
     return exact_quantiles(long, ["feature"], "value", [0.5]).select("feature", F.col("q")[0].alias("median"))
 
 
 def spearman(wide: DataFrame, columns: list[str], label: str = "y") -> DataFrame:
     """Rank correlation of each column with a 0/1 label, average ranks for ties; NULL where constant."""
-    long = wide.select(F.col(label).cast("double").alias("_y"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
-    long = long.unpivot(["_y"], columns, "feature", "value")
+    long = long_format(wide.withColumn("_y", F.col(label).cast("double")), ["_y"], columns).na.fill({"value": 0.0})
     counted = long.groupBy("feature", "value").agg(F.count("*").alias("n"), F.sum("_y").alias("pos"))
     ranked = Ordered(counted, ["feature"], [F.col("value")], size_of=wide).running(sums={"upto": F.col("n")})
     r = F.col("upto") - (F.col("n") - 1) / 2
@@ -214,8 +214,7 @@ def spearman(wide: DataFrame, columns: list[str], label: str = "y") -> DataFrame
 
 def ks_test(a: DataFrame, b: DataFrame, columns: list[str], least: int = 5) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic per column with the asymptotic p-value."""
-    side = lambda df, n: df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], columns, "feature", "value").where("value IS NOT NULL").withColumn("a", F.lit(n))
+    side = lambda df, n: long_format(df, [], columns).where("value IS NOT NULL").withColumn("a", F.lit(n))
     both = side(a, 1).unionByName(side(b, 0))
     counted = both.groupBy("feature", "value").agg(F.sum("a").alias("na"), F.sum(1 - F.col("a")).alias("nb"))
     run = Ordered(counted, ["feature"], [F.col("value")], size_of=a.select(F.lit(1)).unionAll(b.select(F.lit(1)))).running(

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["event_queries", "feature_queries", "timeline_queries", "metric_queries", "ops_queries", "model_queries"]
+AREAS = [
+    "event_queries", "feature_queries", "timeline_queries", "metric_queries", "ops_queries", "model_queries", "stream_queries",
+]
 
 
 def load():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,10 +41,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named or current
 
 
-def cut_lineage(df, eager: bool = True):
-    """Materialise ``df`` in the shared folder, so that lost executors do not recompute it differently."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager)
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    Later stages then start from files that outlive lost executors, and whose size the planner knows.
+    """
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_table(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:

@@ -77,13 +77,24 @@ def millis_since(ts: str, origin: str = ORIGIN):
 
 def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BR1: flat event.v1 rows with their arrival order; some rows break the contract on purpose."""
-    base = table(spark, sf_dir, "events").select(
+    return flat_events(table(spark, sf_dir, "events"))
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as a file stream."""
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def flat_events(events: DataFrame) -> DataFrame:
+    """Rows of the event table, batch or stream, as flat event.v1 rows."""
+    base = events.select(
         "event_id", "user_id", "event_type", "value",
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
         millis_since("ts").alias("ts_ms"),
     )
     keyed = base.selectExpr("*", "k % 4 AS g", "CAST(floor(k / 4) AS BIGINT) AS h", "CAST(floor(k / 4) AS BIGINT) % 2 AS odd")
-    typed = keyed.join(F.broadcast(_event_kinds(spark)), ["event_type", "g", "odd"])
+    typed = keyed.join(F.broadcast(_event_kinds(events.sparkSession)), ["event_type", "g", "odd"])
     return typed.selectExpr(*[c.replace(CHANNEL_OF, "home") for c in FLAT])
 
 

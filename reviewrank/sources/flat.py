@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-FLAT_SCHEMA = StructType.fromDDL(
+FLAT_SCHEMA = (
     "session_id STRING, ts_ms BIGINT, channel STRING, detector STRING, detector_version STRING, event_type STRING, "
     "confidence DOUBLE, p0 DOUBLE, p1 DOUBLE, p2 DOUBLE, p3 DOUBLE, label STRING, usable BOOLEAN, frame_blur DOUBLE, "
     "frame_luma DOUBLE"

@@ -15,12 +15,21 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def write_dead_letter(rejected: DataFrame, path: str) -> None:
-    """Append rejects with their reason as JSON lines; unknown numbers become null."""
+def _dead_lines(rejected: DataFrame) -> DataFrame:
     doubles = {n for n, t in rejected.dtypes if t == "double"}
     cols = [F.nanvl(c, F.lit(None)).alias(c) if c in doubles else F.col(c) for c in rejected.columns]
     line = F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
-    rejected.select(line.alias("value")).write.mode("append").text(path)
+    return rejected.select(line.alias("value"))
+
+
+def write_dead_letter(rejected: DataFrame, path: str) -> None:
+    """Append rejects with their reason as JSON lines; unknown numbers become null."""
+    _dead_lines(rejected).write.mode("append").text(path)
+
+
+def write_dead_letter_batch(rejected: DataFrame, path: str) -> None:
+    """The rejects of one micro-batch; running the batch again replaces them."""
+    _dead_lines(rejected).write.mode("overwrite").text(path)
 
 
 def write_event_store(valid: DataFrame, path: str, files: int | None = None) -> None:
