@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewrank.functions import registry as R
+from reviewrank.functions.reshape import exploded
 
 SCALE = 1_000_000_000
 
@@ -35,24 +36,29 @@ def _fixed(c: Column) -> Column:
     return F.rint(c * SCALE).cast("bigint")
 
 
-def with_rolling(grid: DataFrame, wanted: dict[int, list[str]]) -> DataFrame:
-    """Add ``<signal>__r<window>``: NULL-aware mean of the last ``window`` seconds, for ``{window: signals}``."""
-    names = list(dict.fromkeys(n for ns in wanted.values() for n in ns))
+def _running(names: list[str]) -> list[Column]:
+    """Running fixed-point sums ``_s_*`` and counts ``_n_*``."""
     sums = [F.coalesce(F.sum(_fixed(F.col(n))).over(_run()), F.lit(0)).alias(f"_s_{n}") for n in names]
-    counts = [F.count(n).over(_run()).alias(f"_n_{n}") for n in names]
-    df = grid.select("*", *sums, *counts)
-    pairs = [(n, w) for w, ns in wanted.items() for n in ns]
-    df = df.select(
-        *df.columns,
-        *[F.lag(f"_s_{n}", w, 0).over(_by()).alias(f"_ls_{n}_{w}") for n, w in pairs],
-        *[F.lag(f"_n_{n}", w, 0).over(_by()).alias(f"_ln_{n}_{w}") for n, w in pairs],
-    )
+    return sums + [F.count(n).over(_run()).alias(f"_n_{n}") for n in names]
+
+
+def _lagged(pairs: list[tuple[str, int]]) -> list[Column]:
+    """The running values one window length earlier."""
+    sums = [F.lag(f"_s_{n}", w, 0).over(_by()).alias(f"_ls_{n}_{w}") for n, w in pairs]
+    return sums + [F.lag(f"_n_{n}", w, 0).over(_by()).alias(f"_ln_{n}_{w}") for n, w in pairs]
 
-    def mean(n: str, w: int) -> Column:
-        total, seen = F.col(f"_s_{n}") - F.col(f"_ls_{n}_{w}"), F.col(f"_n_{n}") - F.col(f"_ln_{n}_{w}")
-        return F.when(seen >= need(w), total / SCALE / seen)
 
-    return df.select(*grid.columns, *[mean(n, w).alias(f"{n}__r{w}") for n, w in pairs])
+def _mean(n: str, w: int) -> Column:
+    total, seen = F.col(f"_s_{n}") - F.col(f"_ls_{n}_{w}"), F.col(f"_n_{n}") - F.col(f"_ln_{n}_{w}")
+    return F.when(seen >= need(w), total / SCALE / seen).alias(f"{n}__r{w}")
+
+
+def with_rolling(grid: DataFrame, wanted: dict[int, list[str]]) -> DataFrame:
+    """Add ``<signal>__r<window>``: NULL-aware mean of the last ``window`` seconds, for ``{window: signals}``."""
+    pairs = [(n, w) for w, ns in wanted.items() for n in ns]
+    df = grid.select("*", *_running(list(dict.fromkeys(n for n, _ in pairs))))
+    df = df.select("*", *_lagged(pairs))
+    return df.select(*grid.columns, *[_mean(n, w) for n, w in pairs])
 
 
 def _or_zero(name: str) -> Column:
@@ -63,13 +69,14 @@ def _share(cond: Column) -> Column:
     return F.avg(cond.cast("double"))
 
 
+def _run_length(n: str) -> Column:
+    broken = F.when(_or_zero(n) <= R.THRESHOLD[n], F.col("sec"))
+    return (F.col("sec") - F.coalesce(F.max(broken).over(_run()), F.lit(-1))).alias(f"{n}__run")
+
+
 def with_runs(grid: DataFrame, names: list[str]) -> DataFrame:
     """Add ``<signal>__run``: how many seconds in a row, up to this one, the signal was above its threshold."""
-    def length(n: str) -> Column:
-        broken = F.when(_or_zero(n) <= R.THRESHOLD[n], F.col("sec"))
-        return F.col("sec") - F.coalesce(F.max(broken).over(_run()), F.lit(-1))
-
-    return grid.select("*", *[length(n).alias(f"{n}__run") for n in names])
+    return grid.select("*", *[_run_length(n) for n in names])
 
 
 def whole_aggs(names: list[str] | None = None) -> list[Column]:
@@ -119,12 +126,16 @@ def interaction_aggs() -> list[Column]:
     return [_share(c).alias(n) for n, c in interaction_conditions().items()]
 
 
-def with_paste_after_return(grid: DataFrame) -> DataFrame:
-    """Add ``_returned``: 1 on a second where the tab came back and a paste follows within 30 seconds."""
+def _returned() -> Column:
     hidden = (_or_zero("tab_hidden") > 0.5).cast("int")
     back = F.lag(hidden, 1, 0).over(_by()) - hidden == 1
     pasted = F.max((_or_zero("paste_chars") > 0).cast("int")).over(_by().rowsBetween(0, 30)) == 1
-    return grid.withColumn("_returned", (back & pasted).cast("int"))
+    return (back & pasted).cast("int").alias("_returned")
+
+
+def with_paste_after_return(grid: DataFrame) -> DataFrame:
+    """Add ``_returned``: 1 on a second where the tab came back and a paste follows within 30 seconds."""
+    return grid.select("*", _returned())
 
 
 def unknown_aggs() -> list[Column]:
@@ -135,40 +146,49 @@ def luma_aggs() -> list[Column]:
     return [F.avg("luma").alias("q_luma_mean"), F.percentile("luma", F.lit(0.1)).alias("q_luma_p10")]
 
 
+def _usable_so_far() -> Column:
+    return F.sum(F.col("yaw_abs").isNotNull().cast("int")).over(_run()).alias("_nth")
+
+
+def _in_baseline(name: str, seconds: int) -> Column:
+    return F.when(F.col("yaw_abs").isNotNull() & (F.col("_nth") <= seconds), F.col(name))
+
+
+def _baseline_centre(seconds: int) -> list[Column]:
+    """Usable seconds, and count and median of every signal in them."""
+    out = [F.count(_in_baseline("yaw_abs", seconds)).over(_whole()).alias("_usable")]
+    for n in R.BASELINE_FLOOR:
+        inside = _in_baseline(n, seconds)
+        out += [F.count(inside).over(_whole()).alias(f"_have_{n}"), F.percentile(inside, F.lit(0.5)).over(_whole()).alias(f"_med_{n}")]
+    return out
+
+
+def _baseline_spread(seconds: int) -> list[Column]:
+    return [
+        F.percentile(F.abs(_in_baseline(n, seconds) - F.col(f"_med_{n}")), F.lit(0.5)).over(_whole()).alias(f"_mad_{n}")
+        for n in R.BASELINE_FLOOR
+    ]
+
+
+def _baseline_z(needed: int) -> list[Column]:
+    """``_z_*`` where the baseline holds enough seconds, and whether it does."""
+    out = []
+    for n, floor in R.BASELINE_FLOOR.items():
+        spread = F.greatest(F.lit(R.MAD_SCALE) * F.col(f"_mad_{n}"), F.lit(floor))
+        enough = F.col(f"_have_{n}") >= needed
+        ready = (F.col("_usable") >= needed) & enough
+        out += [F.when(ready, F.abs(F.col(n) - F.col(f"_med_{n}")) / spread).alias(f"_z_{n}"), enough.alias(f"_ok_{n}")]
+    return out
+
+
 def with_baseline(
     grid: DataFrame, seconds: int = R.BASELINE_SECONDS, needed: int = R.BASELINE_NEEDED
 ) -> DataFrame:
     """Add ``_z_<signal>`` (absolute robust z against the first usable minute) and ``_usable`` seconds in it."""
-    usable = F.col("yaw_abs").isNotNull()
-    nth = F.sum(usable.cast("int")).over(_run())
-    df = grid.withColumn("_first", usable & (nth <= seconds))
-    whole = _whole()
-    names = list(R.BASELINE_FLOOR)
-    inside = {n: F.when(F.col("_first"), F.col(n)) for n in names}
-    df = df.select(
-        "*",
-        F.sum(F.col("_first").cast("int")).over(whole).alias("_usable"),
-        *[F.count(inside[n]).over(whole).alias(f"_have_{n}") for n in names],
-        *[F.percentile(inside[n], F.lit(0.5)).over(whole).alias(f"_med_{n}") for n in names],
-    )
-    df = df.select(
-        "*",
-        *[
-            F.percentile(F.abs(inside[n] - F.col(f"_med_{n}")), F.lit(0.5)).over(whole).alias(f"_mad_{n}")
-            for n in names
-        ],
-    )
-
-    def z(n: str) -> Column:
-        spread = F.greatest(F.lit(R.MAD_SCALE) * F.col(f"_mad_{n}"), F.lit(R.BASELINE_FLOOR[n]))
-        ready = (F.col("_usable") >= needed) & (F.col(f"_have_{n}") >= needed)
-        return F.when(ready, F.abs(F.col(n) - F.col(f"_med_{n}")) / spread)
-
-    return df.select(
-        *grid.columns, "_usable",
-        *[z(n).alias(f"_z_{n}") for n in names],
-        *[(F.col(f"_have_{n}") >= needed).alias(f"_ok_{n}") for n in names],
-    )
+    df = grid.select("*", _usable_so_far())
+    df = df.select("*", *_baseline_centre(seconds))
+    df = df.select("*", *_baseline_spread(seconds))
+    return df.select(*grid.columns, "_usable", *_baseline_z(needed))
 
 
 def baseline_aggs(needed: int = R.BASELINE_NEEDED) -> list[Column]:
@@ -217,13 +237,19 @@ def session_features(
     The wide row is turned into about fifty small ones and reduced by a handful of aggregates: one
     aggregation with three hundred functions does not compile to fast code.  No further shuffle happens.
     """
+    names, pairs = list(R.SIGNAL_NAMES), [(n, w) for w in windows for n in R.SIGNAL_NAMES]
+    # each select below is one window operator: values that need nothing else first, then what builds on them
     p10 = F.percentile("luma", F.lit(0.1)).over(_whole()).alias("_p10")
-    df = with_paste_after_return(with_runs(grid.select("*", p10), R.SIGNAL_NAMES))
-    wanted = {w: list(R.SIGNAL_NAMES) for w in windows}
+    df = grid.select("*", p10, _returned(), *[_run_length(n) for n in names], *_running(names), *([_usable_so_far()] if baseline else []))
+    keep = [c for c in df.columns if not c.startswith(("_s_", "_n_"))]
+    seconds = R.BASELINE_SECONDS
+    df = df.select("*", *_lagged(pairs), *(_baseline_centre(seconds) if baseline else []))
+    centre = [c for c in df.columns if c.startswith(("_usable", "_have_", "_med_"))]
+    df = df.select(*keep, *centre, *[_mean(n, w) for n, w in pairs])
     if baseline:
-        df = with_baseline(df, needed=needed)
-        wanted[60] = wanted.get(60, []) + [f"_z_{n}" for n in R.BASELINE_FLOOR]
-    df = with_rolling(df, wanted)
+        df = df.select("*", *_baseline_spread(seconds))
+        df = df.select("*", *_baseline_z(needed)).drop("_nth", *[f"{k}_{n}" for k in ("_have", "_med", "_mad") for n in R.BASELINE_FLOOR])
+        df = with_rolling(df, {60: [f"_z_{n}" for n in R.BASELINE_FLOOR]})
     cells = _cells(windows, baseline)
     at = {name: i for i, name in enumerate(cells)}
     slots = [f"r{i}" for i in range(len(windows))]
@@ -231,7 +257,7 @@ def session_features(
         F.struct(F.lit(i).alias("i"), c["v"].alias("v"), c["run"].alias("run"), *[x.alias(s) for x, s in zip(c["r"], slots, strict=True)], c["cut"].alias("cut"))
         for i, c in enumerate(cells.values())
     ])
-    long = df.select("session_id", F.explode(rows).alias("x")).select("session_id", "x.*")
+    long = exploded(df, ["session_id"], rows).select("session_id", "x.*")
     stats = long.groupBy("session_id", "i").agg(
         F.avg("v").alias("mean"), F.max("v").alias("max"), F.stddev_pop("v").alias("std"), F.sum("v").alias("sum"), F.max("run").alias("run"),
         *[F.max(s).alias(f"{s}_max") for s in slots], *[_share(F.coalesce(F.col(s), F.lit(0.0)) > F.col("cut")).alias(f"{s}_over") for s in slots])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewrank.functions import registry as R
+from reviewrank.functions.reshape import exploded
 
 
 def flag_signals() -> dict[str, Column]:
@@ -47,9 +48,8 @@ def flags(grid: DataFrame, step_ms: int = 1000, min_length: int = R.FLAG_MIN_LEN
         )
         for i, (t, _, thr, gap, text) in enumerate(R.FLAG_RULES)
     ]
-    on = flag_density(grid).select(
-        "session_id", "sec", F.explode(F.filter(F.array(*cells), lambda x: x["on"])).alias("f")
-    ).select("session_id", "sec", "f.*")
+    every = exploded(flag_density(grid), ["session_id", "sec"], F.array(*cells), "f")
+    on = every.where("f.on").select("session_id", "sec", "f.*")
     w = Window.partitionBy("session_id", "type").orderBy("sec")
     opened = on.withColumn("_new", F.coalesce((F.col("sec") - F.lag("sec").over(w) > F.col("gap") + 1).cast("int"), F.lit(1)))
     numbered = opened.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))

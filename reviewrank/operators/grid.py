@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from reviewrank.functions import registry as R
 from reviewrank.functions.prefix import Ordered
+from reviewrank.functions.reshape import exploded
 
 _AUDIO_SEEN, _AUDIO_GONE, _SCREEN_GONE = "_audio", "_audio_gone", "_screen_gone"
 
@@ -130,7 +131,7 @@ def ticks(events: DataFrame, lengths: DataFrame, step_ms: int = 1000) -> DataFra
         F.col("_spread").isNotNull(), F.sequence(F.greatest(F.lit(0), F.col("_tick") - F.col("_spread") + 1), F.col("_tick"))
     ).otherwise(F.array("_tick"))
     reduced = [c for c in first.columns if c not in ("session_id", "_tick", "_spread")]
-    placed = sized.select("session_id", "ticks", "duration_s", *reduced, F.explode(covered).alias("tick"))
+    placed = exploded(sized, ["session_id", "ticks", "duration_s", *reduced], covered, "tick")
     return placed.groupBy("session_id", "tick").agg(
         F.max("ticks").alias("ticks"), F.max("duration_s").alias("duration_s"), *_aggs(specs, merge=True)
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from reviewrank.functions import registry as R
 from reviewrank.functions.prefix import Ordered, exact_quantiles
-from reviewrank.functions.reshape import long_format
+from reviewrank.functions.reshape import exploded, long_format
 from reviewrank.functions.scalars import clip
 
 _ALL = "_all"
@@ -155,7 +155,7 @@ def cost_curve(calibration: DataFrame, validation: DataFrame, ratios: list[int]
 def by_factor(scored: DataFrame, factors: list[str]) -> DataFrame:
     """``factor, level, y, p`` rows, one per factor."""
     cells = [F.struct(F.lit(f).alias("factor"), F.col(f).cast("string").alias("level")) for f in factors]
-    return scored.select("y", "p", F.explode(F.array(*cells)).alias("s")).select("s.factor", "s.level", "y", "p")
+    return exploded(scored, ["y", "p"], F.array(*cells), "s").select("s.factor", "s.level", "y", "p")
 
 
 def slice_metrics(scored: DataFrame, factors: list[str], threshold: float, underpowered: int = 300) -> DataFrame:

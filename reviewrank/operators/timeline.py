@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewrank.functions import registry as R
 from reviewrank.functions.prefix import Ordered
+from reviewrank.functions.reshape import exploded
 from reviewrank.functions.runs import merged_runs
 from reviewrank.functions.scalars import capitalized, duration_text
 
@@ -16,8 +17,7 @@ _ORDER = ["ts_ms", "event_seq"]
 def activity_runs(grid: DataFrame, merge_gap: int = 2) -> DataFrame:
     """``session_id, signal, start, end, active`` for every listed signal above one half."""
     cells = [F.struct(F.lit(s).alias("signal"), F.col(s).alias("v")) for s, *_ in R.ACTIVITY]
-    active = F.filter(F.array(*cells), lambda x: x["v"] > 0.5)
-    long = grid.select("session_id", "sec", F.explode(F.transform(active, lambda x: x["signal"])).alias("signal"))
+    long = exploded(grid, ["session_id", "sec"], F.array(*cells)).where("x.v > 0.5").select("session_id", "sec", "x.signal")
     return merged_runs(long, ["session_id", "signal"], "sec", F.lit(True), merge_gap)
 
 
@@ -114,7 +114,7 @@ def signal_lanes(events: DataFrame, lengths: DataFrame, bin_ms: int = R.LANE_MS)
     counts = counts.withColumn("_bin", F.least("_bin", "_last")).groupBy("session_id", "_bin").agg(
         *[F.sum(n).alias(n) for n, _ in R.LANES])
     cells = [F.struct(F.lit(n).alias("lane"), (F.col(n) >= least).alias("on")) for n, least in R.LANES]
-    hits = counts.select("session_id", F.explode(F.transform(F.filter(F.array(*cells), lambda x: x["on"]), lambda x: x["lane"])).alias("lane"), "_bin")
+    hits = exploded(counts, ["session_id", "_bin"], F.array(*cells)).where("x.on").select("session_id", "x.lane", "_bin")
     tab = toggle_pairs(events, "TAB_VISIBILITY", 1.0).join(last, "session_id").select(
         "session_id", F.lit("Tab hidden").alias("lane"),
         F.explode(F.sequence(
