@@ -98,10 +98,14 @@ def stream_drift(spark, sf_dir):
 def score_directory(spark, sf_dir):
     """Session records written as text by session, scored with the baseline weights as a linear model."""
     path = sinks.new_folder(spark, "sessions")
-    records = valid_events(spark, sf_dir).select("session_id", C.canonical_json().alias("value"))
-    records.repartition("session_id").write.partitionBy("session_id").text(path)
+    numbered = F.concat_ws("\t", F.col("event_seq").cast("string"), C.canonical_json())
+    records = valid_events(spark, sf_dir).select("session_id", "event_seq", numbered.alias("value"))
+    # ranged by session and order: a busy session is written by several tasks, each line carries its place
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    records.repartitionByRange(parts, "session_id", "event_seq").drop("event_seq").write.partitionBy("session_id").text(path)
     lines = spark.read.schema("value STRING, session_id STRING").text(path).select(
-        "session_id", F.monotonically_increasing_id().alias("index"), F.col("value").alias("event"))
+        "session_id", F.substring_index("value", "\t", 1).cast("bigint").alias("index"),
+        F.substring(F.col("value"), F.instr("value", "\t") + 1, F.length("value")).alias("event"))
     model = S.RiskModel(list(R.RULE_WEIGHTS), list(R.RULE_WEIGHTS.values()), R.RULE_BIAS, {}, [0.0] * len(R.RULE_WEIGHTS))
     meta = valid_events(spark, sf_dir).select("session_id").distinct().withColumn("duration_s", F.lit(B.TICKS * B.STEP_MS / 1000.0))
     scored, failed = V.score_records(lines, meta, model, B.STEP_MS, B.LATE_MS)
