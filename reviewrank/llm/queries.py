@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewrank.llm import forced_bpe, simhash_vptree
+from reviewrank.llm import elias_fano, forced_bpe, jump_sharding, simhash_vptree, spaced_seeds, toxicity, winnowing
 from reviewrank.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,13 +18,43 @@ def query(fn):
     return fn
 
 
+@query
+def op2_winnowing(spark, sf_dir):
+    """Winnowed fingerprints of all documents and of their edited texts."""
+    return winnowing.edit_likeness(read(spark, sf_dir, "documents"))
+
+
 @query
 def op3_simhash_vptree(spark, sf_dir):
     """SimHash fingerprints of all documents and their components at two or fewer differing bits."""
     return simhash_vptree.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query
+def op4_jump_shards(spark, sf_dir):
+    """All documents in 24 shards by jump consistent hashing of their ids."""
+    return jump_sharding.shard_documents(read(spark, sf_dir, "documents"))
+
+
+@query
+def op5_elias_fano(spark, sf_dir):
+    """All documents as token segments with Elias-Fano boundaries, read back."""
+    return elias_fano.token_boundaries(read(spark, sf_dir, "documents"))
+
+
 @query
 def op6_forced_bpe(spark, sf_dir):
     """All documents encoded with forced-boundary BPE and decoded again."""
     return forced_bpe.round_trip(read(spark, sf_dir, "documents"))
+
+
+@query
+def op7_toxicity(spark, sf_dir):
+    """A toxicity score of every document, learned from the labelled ones outside the held-out fold."""
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op8_spaced_seeds(spark, sf_dir):
+    """Every document and benchmark item that share a run of tokens, substitutions allowed."""
+    return spaced_seeds.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
