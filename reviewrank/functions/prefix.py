@@ -1,10 +1,10 @@
 """Running values over an order, for groups of any size.
 
 ``Window.partitionBy(key).orderBy(...)`` puts a whole key in one task.  That is fine for the per-session
-grid, whose length is the session's duration, but not for raw events (one session may hold a third of
-them) and not for orders over a whole table.  :class:`Ordered` cuts such an order into range partitions
-when the input is too large for one task: each chunk is scanned by itself and receives what the chunks
-before it add up to.  The carried values are one row per (key, chunk), so their window stays small.
+grid, whose length is bounded, but not for raw events (one session may hold a third of them) and not for
+orders over a whole table.  :class:`Ordered` cuts every such order into range partitions, at any size: each
+chunk is scanned by itself and receives what the chunks before it add up to.  The carried values are one
+row per (key, chunk), so their window stays small.
 """
 
 from __future__ import annotations
@@ -14,44 +14,24 @@ from pyspark.sql import functions as F
 
 from reviewrank.session import cut_lineage
 
-ONE_TASK_BYTES = 64 * 1024 * 1024
-UNKNOWN_BYTES = 1 << 60
-ROW_BYTES = 100
-CHUNK_BYTES = 16 * 1024 * 1024
-MAX_CHUNKS = 20_000
 _CHUNK = "_chunk"
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of the tables a plan reads, from the optimizer's statistics (no job runs)."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
 class Ordered:
     """``df`` in the total order ``order`` inside each of ``keys``.
 
-    ``order`` must be unique inside a key, so that every row has one place.  ``size_of`` names the frame
-    whose inputs bound the size (default: ``df`` itself).
+    ``order`` must be unique inside a key, so that every row has one place.  The number of chunks is that of
+    the session's shuffle partitions, fewer where adaptive execution merges small ones.
     """
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list[Column], size_of: DataFrame | None = None):
-        bound = size_of if size_of is not None else df
-        size = input_bytes(bound)
-        if size >= UNKNOWN_BYTES:  # a source without statistics: count instead
-            size = bound.count() * ROW_BYTES
+    def __init__(self, df: DataFrame, keys: list[str], order: list[Column]):
         self.keys, self.order = keys, order
-        self.split = size > ONE_TASK_BYTES
-        if self.split:
-            chunks = min(MAX_CHUNKS, max(2, size // max(1, CHUNK_BYTES)))
-            ranged = df.repartitionByRange(int(chunks), *[F.col(k) for k in keys], *order)
-            # the chunk number is only stable once written: range bounds are sampled per execution
-            df = cut_lineage(ranged.withColumn(_CHUNK, F.spark_partition_id()))
-        self.df = df
+        ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
+        # the chunk number is only stable once written: range bounds are sampled per execution
+        self.df = cut_lineage(ranged.withColumn(_CHUNK, F.spark_partition_id()))
 
     def _local(self):
-        by = [*self.keys, _CHUNK] if self.split else self.keys
-        return Window.partitionBy(*by).orderBy(*self.order)
+        return Window.partitionBy(*self.keys, _CHUNK).orderBy(*self.order)
 
     def _carried(self, totals: dict[str, Column], carry) -> DataFrame:
         per_chunk = self.df.groupBy(*self.keys, _CHUNK).agg(*[c.alias(n) for n, c in totals.items()])
@@ -59,18 +39,15 @@ class Ordered:
         return per_chunk.select(*self.keys, _CHUNK, *[carry(n, w).alias(n) for n in totals])
 
     def _attach(self, carried: DataFrame) -> DataFrame:
-        return self.df.join(carried, [*self.keys, _CHUNK], "left")
+        by = [*self.keys, _CHUNK]
+        there = carried.toDF(*[f"_to_{c}" if c in by else c for c in carried.columns])
+        same = [F.col(c).eqNullSafe(F.col(f"_to_{c}")) for c in by]  # a null key is a key
+        return self.df.join(there, same, "left").drop(*[f"_to_{c}" for c in by])
 
     def running(self, sums: dict[str, Column] | None = None, maxes: dict[str, Column] | None = None) -> DataFrame:
-        """Add inclusive running sums and running maxima."""
+        """Add inclusive running sums (0 before the first value) and running maxima (null before it)."""
         sums, maxes = sums or {}, maxes or {}
         upto = self._local().rowsBetween(Window.unboundedPreceding, 0)
-        if not self.split:
-            return self.df.select(
-                "*",
-                *[F.sum(c).over(upto).alias(n) for n, c in sums.items()],
-                *[F.max(c).over(upto).alias(n) for n, c in maxes.items()],
-            )
         totals = {f"_c_{n}": F.sum(c) for n, c in sums.items()} | {f"_c_{n}": F.max(c) for n, c in maxes.items()}
         is_sum = {f"_c_{n}" for n in sums}
 
@@ -87,16 +64,10 @@ class Ordered:
         return out.select(*self.df.columns, *done).drop(_CHUNK)
 
     def neighbours(self, prev: dict[str, Column] | None = None, following: dict[str, Column] | None = None) -> DataFrame:
-        """Add values of the row before (``prev``) and of the row after (``following``)."""
+        """Add values of the row before (``prev``) and of the row after (``following``); ``order`` is ascending here."""
         prev, following = prev or {}, following or {}
         w = self._local()
-        if not self.split:
-            return self.df.select(
-                "*",
-                *[F.lag(c).over(w).alias(n) for n, c in prev.items()],
-                *[F.lead(c).over(w).alias(n) for n, c in following.items()],
-            )
-        place = F.struct(*self._sortable())
+        place = F.struct(*self.order)
         totals = {f"_c_{n}": F.max_by(F.struct(c.alias("v")), place) for n, c in prev.items()}
         totals |= {f"_c_{n}": F.min_by(F.struct(c.alias("v")), place) for n, c in following.items()}
         is_prev = {f"_c_{n}" for n in prev}
@@ -110,10 +81,6 @@ class Ordered:
         done = [F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}"))["v"].alias(n) for n in names]
         return out.select(*self.df.columns, *done).drop(_CHUNK)
 
-    def _sortable(self) -> list[Column]:
-        # neighbours() is only used on plain ascending columns
-        return self.order
-
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
     """Linear-interpolated quantiles of ``value`` per key as ``q`` (array in the order of ``probs``).
@@ -123,7 +90,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     if not keys:
         return exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs).drop("_all")
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    ranked = Ordered(counted, keys, [F.col(value)], size_of=df).running(sums={"_upto": F.col("_n")})
+    ranked = Ordered(counted, keys, [F.col(value)]).running(sums={"_upto": F.col("_n")})
     totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     # positions needed: floor and ceil of p * (n - 1); one short row per key
     need = totals.select(

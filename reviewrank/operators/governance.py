@@ -27,7 +27,7 @@ def stratified_split(sessions: DataFrame, seed: int) -> DataFrame:
     rank = F.concat(F.when(F.col("violation"), "0").otherwise("1"), F.lit("|"), "profile")
     units = sessions.groupBy("unit").agg(F.min(rank).alias("stratum"))
     hashed = units.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}|"), F.col("unit").cast("string"))))
-    numbered = Ordered(hashed, ["stratum"], [F.col("_h"), F.col("unit")], size_of=sessions).running(sums={"_rn": F.lit(1)})
+    numbered = Ordered(hashed, ["stratum"], [F.col("_h"), F.col("unit")]).running(sums={"_rn": F.lit(1)})
     sizes = units.groupBy("stratum").agg(F.count("*").alias("_n"))
     placed = numbered.join(sizes, "stratum")
     raw = {s: F.col("_n") * F.lit(f) for s, f in R.SPLITS}

@@ -32,7 +32,7 @@ def score_counts(scored: DataFrame, keys: list[str]) -> DataFrame:
 
 def curve(scored: DataFrame, keys: list[str]) -> DataFrame:
     """Score counts with ``tp`` and ``fp`` accepted at or above each score."""
-    return Ordered(score_counts(scored, keys), keys, [F.col("p").desc()], size_of=scored).running(
+    return Ordered(score_counts(scored, keys), keys, [F.col("p").desc()]).running(
         sums={"tp": F.col("pos"), "fp": F.col("neg")})
 
 
@@ -201,7 +201,7 @@ def spearman(wide: DataFrame, columns: list[str], label: str = "y") -> DataFrame
     """Rank correlation of each column with a 0/1 label, average ranks for ties; NULL where constant."""
     long = long_format(wide.withColumn("_y", F.col(label).cast("double")), ["_y"], columns).na.fill({"value": 0.0})
     counted = long.groupBy("feature", "value").agg(F.count("*").alias("n"), F.sum("_y").alias("pos"))
-    ranked = Ordered(counted, ["feature"], [F.col("value")], size_of=wide).running(sums={"upto": F.col("n")})
+    ranked = Ordered(counted, ["feature"], [F.col("value")]).running(sums={"upto": F.col("n")})
     r = F.col("upto") - (F.col("n") - 1) / 2
     s = ranked.groupBy("feature").agg(
         F.sum("n").alias("n"), F.sum("pos").alias("p"), F.sum(r * F.col("n")).alias("sr"),
@@ -217,7 +217,7 @@ def ks_test(a: DataFrame, b: DataFrame, columns: list[str], least: int = 5) -> D
     side = lambda df, n: long_format(df, [], columns).where("value IS NOT NULL").withColumn("a", F.lit(n))
     both = side(a, 1).unionByName(side(b, 0))
     counted = both.groupBy("feature", "value").agg(F.sum("a").alias("na"), F.sum(1 - F.col("a")).alias("nb"))
-    run = Ordered(counted, ["feature"], [F.col("value")], size_of=a.select(F.lit(1)).unionAll(b.select(F.lit(1)))).running(
+    run = Ordered(counted, ["feature"], [F.col("value")]).running(
         sums={"ca": F.col("na"), "cb": F.col("nb")})
     totals = counted.groupBy("feature").agg(
         F.sum("na").alias("ta"), F.sum("nb").alias("tb"), F.sum(F.col("value") * F.col("na")).alias("sa"), F.sum(F.col("value") * F.col("nb")).alias("sb"))

@@ -71,9 +71,9 @@ def toggle_pairs(events: DataFrame, kind: str, on_value: float) -> DataFrame:
     """``session_id, start_ms, end_ms`` of on..off stretches; repeats are ignored, an open one ends NULL."""
     rows = events.where((F.col("event_type") == kind) & F.col("p0").isin(0.0, 1.0)).select("session_id", *_ORDER, "p0")
     order = [F.col(c) for c in _ORDER]
-    seen = Ordered(rows, ["session_id"], order, size_of=events).neighbours(prev={"_was": F.col("p0")})
+    seen = Ordered(rows, ["session_id"], order).neighbours(prev={"_was": F.col("p0")})
     changes = seen.where(F.col("p0") != F.coalesce("_was", F.lit(1.0 - on_value))).drop("_was")
-    paired = Ordered(changes, ["session_id"], order, size_of=events).neighbours(following={"end_ms": F.col("ts_ms")})
+    paired = Ordered(changes, ["session_id"], order).neighbours(following={"end_ms": F.col("ts_ms")})
     return paired.where(F.col("p0") == on_value).select("session_id", F.col("ts_ms").alias("start_ms"), "end_ms")
 
 
@@ -82,10 +82,10 @@ def sound_runs(events: DataFrame) -> DataFrame:
     rows = events.where((F.col("event_type") == "AUDIO_EVENT") & (F.col("label") != "keyboard_burst"))
     rows = rows.select("session_id", *_ORDER, "label")
     order = [F.col(c) for c in _ORDER]
-    seen = Ordered(rows, ["session_id"], order, size_of=events).neighbours(prev={"_label": F.col("label"), "_t": F.col("ts_ms")})
+    seen = Ordered(rows, ["session_id"], order).neighbours(prev={"_label": F.col("label"), "_t": F.col("ts_ms")})
     same = (F.col("_label") == F.col("label")) & (F.col("ts_ms") - (F.col("_t") + R.SOUND_TAIL_MS) <= R.SOUND_GAP_MS)
     opened = seen.select("session_id", *_ORDER, "label", F.when(same, 0).otherwise(1).alias("_new"))
-    numbered = Ordered(opened, ["session_id"], order, size_of=events).running(sums={"_run": F.col("_new")})
+    numbered = Ordered(opened, ["session_id"], order).running(sums={"_run": F.col("_new")})
     return numbered.groupBy("session_id", "_run", "label").agg(
         F.min("ts_ms").alias("start_ms"), (F.max("ts_ms") + R.SOUND_TAIL_MS).alias("end_ms")).drop("_run")
 

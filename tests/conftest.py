@@ -39,10 +39,12 @@ def flat(spark):
 
 
 @pytest.fixture
-def tiny_tasks(monkeypatch):
-    """Make every order look too large for one task, in chunks of a few rows."""
-    from reviewrank.functions import prefix
-
-    monkeypatch.setattr(prefix, "ONE_TASK_BYTES", 0)
-    monkeypatch.setattr(prefix, "CHUNK_BYTES", 1)
-    monkeypatch.setattr(prefix, "MAX_CHUNKS", 7)
+def tiny_tasks(spark):
+    """Cut every order into several chunks, however few rows it has."""
+    conf = {"spark.sql.shuffle.partitions": "7", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
