@@ -80,19 +80,26 @@ def _distances(points: np.ndarray, vantage: np.uint64) -> np.ndarray:
 
 
 def _choose(points: np.ndarray, r: int, seed: int) -> tuple[np.uint64, int, np.ndarray] | None:
-    """The vantage and radius that leave the larger side, copies included, smallest; none if no split gets under 0.9."""
+    """The vantage and radius with the smallest squared sizes of both sides, copies included.
+
+    None unless they stay under 0.8 of the whole's: then splitting never costs more than comparing all points, and both
+    sides together hold at most 1.27 times the points.
+    """
     rng = np.random.default_rng(seed + len(points))
     best = None
     some = points if len(points) <= 2048 else points[rng.integers(0, len(points), 2048)]
     for vantage in points[rng.integers(0, len(points), VANTAGES)]:
         upto = np.cumsum(np.bincount(_distances(some, vantage), minlength=65 + r)) / len(some)
-        larger = np.maximum(upto[r : 65 + r], 1 - upto[:65])  # inside with copies; outside
-        radius = int(np.argmin(larger))
-        if best is None or larger[radius] < best[0]:
-            best = (larger[radius], vantage, radius)
-    if best is None or best[0] > 0.9:
+        cost = upto[r : 65 + r] ** 2 + (1 - upto[:65]) ** 2  # inside with copies; outside
+        radius = int(np.argmin(cost))
+        if best is None or cost[radius] < best[0]:
+            best = (cost[radius], vantage, radius)
+    if best is None or best[0] > 0.8:
+        return None
+    d = _distances(points, best[1])
+    if max((d <= best[2] + r).sum(), (d > best[2]).sum()) > 0.95 * len(points):  # the sample misled
         return None
-    return best[1], best[2], _distances(points, best[1])
+    return best[1], best[2], d
 
 
 def top_tree(sample: np.ndarray, shards: int, r: int = RADIUS) -> tuple[Node | int, int]:
