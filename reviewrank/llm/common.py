@@ -49,6 +49,17 @@ def map_rows(df: DataFrame, ddl: str, rows_of: Callable[[], Callable[[dict], lis
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, keep_of: Callable[[], Callable[[list[str | None]], list[bool]]]) -> DataFrame:
+    """The rows of ``df``, with all columns, whose ``text`` the function made by ``keep_of()`` (once per task) keeps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = keep_of()
+        for b in bounded_batches(batches):
+            yield b.filter(pa.array(keep(b.column(b.schema.get_field_index("text")).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that further columns of ``df`` (whatever they are called) cannot clash with ours."""
     return df.select(*[F.col(f"`{n}`") for n in names])

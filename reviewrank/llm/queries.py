@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewrank.llm import elias_fano, forced_bpe, jump_sharding, simhash_vptree, spaced_seeds, toxicity, winnowing
+from reviewrank.llm import (
+    elias_fano, forced_bpe, jump_sharding, license_scan, simhash_vptree, spaced_seeds, tool_calls, toxicity, winnowing, wordpiece_counts,
+)
 from reviewrank.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +20,12 @@ def query(fn):
     return fn
 
 
+@query
+def op1_license_scan(spark, sf_dir):
+    """Licence notices and texts in all documents."""
+    return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
+
+
 @query
 def op2_winnowing(spark, sf_dir):
     """Winnowed fingerprints of all documents and of their edited texts."""
@@ -58,3 +66,18 @@ def op7_toxicity(spark, sf_dir):
 def op8_spaced_seeds(spark, sf_dir):
     """Every document and benchmark item that share a run of tokens, substitutions allowed."""
     return spaced_seeds.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_token_counts(spark, sf_dir):
+    """Greedy word-piece counts of all documents."""
+    return wordpiece_counts.token_counts(read(spark, sf_dir, "documents"))
+
+
+@query
+def op10_tool_calls(spark, sf_dir):
+    """All conversations as tool calls linked with their results, ordered, validated and serialised."""
+    return tool_calls.tool_conversations(read(spark, sf_dir, "conversations"))
+
+
+ORACLES["op10_tool_calls"] = tool_calls.ORACLE_SQL

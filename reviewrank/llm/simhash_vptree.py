@@ -27,6 +27,11 @@ SHARD_POINTS = 4096  # distinct fingerprints aimed at per shard
 SAMPLE_POINTS = 65_536  # most fingerprints the driver sees, to fit the top of the tree; all others are only routed
 BLOCK = 192  # points below which a shard compares directly
 VANTAGES = 8  # candidates tried per node
+# removing near-duplicates from a corpus
+DEDUP_SHINGLE, DEDUP_LIKENESS = 5, 0.8
+SAMPLES, SAMPLE_SIZE = 10, 3  # at a likeness of 0.8 a pair shares no sample with a chance of (1 - 0.8 ** 3) ** 10 < 0.001
+KEPT_HASHES = 256  # hashes a text is compared by
+_ODD = [(0x9E3779B97F4A7C15 * (2 * j + 1) ^ (j << 40)) % (1 << 64) | 1 for j in range(SAMPLES + 1)]
 
 
 def fingerprint(text: str | None, k: int = SHINGLE) -> int:
@@ -233,10 +238,104 @@ def near_duplicates(docs: DataFrame, r: int = RADIUS) -> DataFrame:
     return prints.join(found, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, r: int = RADIUS) -> DataFrame:
-    """One row of each component, with all columns: that of the smallest ``doc_id`` (rows without an id come last)."""
-    prints = cut_lineage(fingerprints(docs))
-    keep = classes(prints, r).select("least.*").distinct()
+def shingle_hashes(text: str | None, k: int) -> np.ndarray:
+    """XXH64 of the distinct word shingles (fewer words than ``k``: of all of them; none: empty)."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    joined, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-1]))[: max(1, len(words) - k + 1)].tolist()
+    stops = (ends[min(k, len(words)) - 1 :] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[x:y], 42) for x, y in zip(starts, stops)), np.uint64, len(starts)))
+
+
+def sampled_prints(hashes: np.ndarray, samples: int = SAMPLES, size: int = SAMPLE_SIZE) -> list[int]:
+    """SimHashes of ``samples`` small min-wise samples of the shingles.
+
+    Two texts of Jaccard likeness ``J`` draw the same sample with a chance of about ``J ** size``.
+    """
+    out = []
+    for j in range(samples):
+        mixed = hashes * np.uint64(_ODD[j])
+        least = hashes[np.argpartition(mixed ^ (mixed >> np.uint64(29)), size - 1)[:size]] if len(hashes) > size else hashes
+        bits = np.unpackbits(least.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        print_ = np.packbits((2 * bits > len(least)).astype(np.uint8), bitorder="little").view("<i8")[0] if len(least) else 0
+        out.append(int(print_))
+    return out
+
+
+def least_hashes(hashes: np.ndarray, most: int = KEPT_HASHES) -> bytes:
+    """The ``most`` smallest mixed hashes: all of a short text's shingles, a uniform sample of a long one's."""
+    mixed = np.sort((hashes * np.uint64(_ODD[-1])) >> np.uint64(32)).astype("<u4")
+    return mixed[:most].tobytes()
+
+
+def estimated_jaccard(a: bytes, b: bytes, most: int = KEPT_HASHES) -> float:
+    """Jaccard likeness from kept hashes: exact while both texts together have at most ``most`` shingles."""
+    x, y = np.unique(np.frombuffer(a, "<u4")), np.unique(np.frombuffer(b, "<u4"))
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    both = np.union1d(x, y)[:most]
+    return float((np.isin(both, x) & np.isin(both, y)).sum() / len(both))
+
+
+def _likely(rows: DataFrame, least: float) -> DataFrame:
+    """The links ``(a, b)`` of ``(a, b, x, y)`` whose kept hashes say a likeness of at least ``least``."""
+
+    def rows_of():
+        return lambda g: [(a, b) for a, b, x, y in zip(g["a"], g["b"], g["x"], g["y"], strict=True) if estimated_jaccard(x, y) >= least]
+
+    return map_rows(rows, _LINKS, rows_of)
+
+
+def near_texts(docs: DataFrame, r: int = RADIUS, k: int = DEDUP_SHINGLE, least: float = DEDUP_LIKENESS) -> DataFrame:
+    """``(text_hash, best)``: for every distinct text the smallest ``(no id, doc_id, text_hash)`` of its group.
+
+    Texts link if their SimHashes over ``k``-word shingles differ in at most ``r`` bits, or if the SimHashes of one of
+    several min-wise samples are equal and the Jaccard likeness of their shingles is ``least`` or more.  A text's
+    likeness is taken to the smallest ``doc_id`` of those that share the sample, never to all of them.
+    """
+    hashed = own_columns(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+
+    def rows_of():
+        def each(b):
+            out = []
+            for i, h, t in zip(b["doc_id"], b["text_hash"], b["text"], strict=True):
+                hashes = shingle_hashes(t, k)
+                out.append((i, h, _signed(fingerprint(t, k)), sampled_prints(hashes), least_hashes(hashes)))
+            return out
+
+        return each
+
+    ddl = "doc_id long, text_hash long, fp long, samples array<long>, kept binary"
+    every = cut_lineage(map_rows(hashed, ddl, rows_of))
+    name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    texts = every.groupBy("text_hash").agg(
+        F.min(name).alias("name"), F.first("fp").alias("fp"), F.first("samples").alias("samples"), F.first("kept").alias("kept")
+    )
+    texts = cut_lineage(texts)
+    leads = cut_lineage(texts.groupBy("fp").agg(F.min("name").alias("lead")).select("fp", F.col("lead.text_hash").alias("lead")))
+    same = texts.join(leads, "fp").select(F.col("text_hash").alias("a"), F.col("lead").alias("b"))
+    close = near_links(leads.select("fp"), r)
+    lead_of = lambda c: leads.select(F.col("fp").alias(c), F.col("lead").alias(f"{c}_lead"))
+    close = close.join(lead_of("a"), "a").join(lead_of("b"), "b").select(F.col("a_lead").alias("a"), F.col("b_lead").alias("b"))
+    drawn = texts.select("name", "text_hash", F.posexplode("samples").alias("j", "sample"))
+    first = drawn.groupBy("j", "sample").agg(F.min("name").alias("first"), F.count("*").alias("n")).where("n > 1")
+    drawn = drawn.join(first, ["j", "sample"]).select(F.col("text_hash").alias("a"), F.col("first.text_hash").alias("b")).where("a <> b").distinct()
+    kept = lambda c, to: texts.select(F.col("text_hash").alias(c), F.col("kept").alias(to))
+    sampled = _likely(drawn.join(kept("a", "x"), "a").join(kept("b", "y"), "b").select("a", "b", "x", "y"), least)
+    links = cut_lineage(same.where("a <> b").unionByName(close).unionByName(sampled))
+    member = cut_lineage(connected_components(links))
+    grouped = texts.select("text_hash", "name").join(member.withColumnRenamed("node", "text_hash"), "text_hash", "left")
+    grouped = grouped.withColumn("root", F.coalesce("root", "text_hash"))
+    best = grouped.groupBy("root").agg(F.min("name").alias("best"))
+    return grouped.join(best, "root").select("text_hash", "best")
+
+
+def drop_near_duplicates(docs: DataFrame, r: int = RADIUS, k: int = DEDUP_SHINGLE, least: float = DEDUP_LIKENESS) -> DataFrame:
+    """One row of each group of :func:`near_texts`, with all columns: that of the smallest ``doc_id`` (rows without one last)."""
+    keep = near_texts(docs, r, k, least).select("best.*").distinct()
     keys = {"_no_id": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_text": F.xxhash64("text")}
     keep = keep.select("no_id", F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash").toDF(*keys)
     own = docs.withColumns(keys)

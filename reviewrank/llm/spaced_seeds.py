@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewrank.llm.common import bounded_batches, map_rows, own_columns
+from reviewrank.llm.common import keep_rows, map_rows, own_columns
 
 MASKS = ("11101011", "1101100111", "1100101010011")  # five to seven counted tokens over eight to thirteen
 MIN_RUN = 12  # tokens a verified overlap has at least (or the whole item, if shorter)
@@ -191,11 +191,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _without(docs: DataFrame, shipped) -> DataFrame:
     rows_of = _searcher(shipped)
 
-    def run(batches):
+    def keep_of():
         each = rows_of()
-        for b in bounded_batches(batches):
-            texts = b.column(b.schema.get_field_index("text")).to_pylist()
+
+        def keep(texts):
             leaked = {row[0] for row in each({"doc_id": list(range(len(texts))), "text": texts})}
-            yield b.take([i for i in range(len(texts)) if i not in leaked]) if leaked else b
+            return [i not in leaked for i in range(len(texts))]
+
+        return keep
 
-    return docs.mapInArrow(run, docs.schema)
+    return keep_rows(docs, keep_of)

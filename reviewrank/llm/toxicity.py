@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewrank.llm.common import bounded_batches, map_rows, own_columns
+from reviewrank.llm.common import keep_rows, map_rows, own_columns
 from reviewrank.session import cut_lineage
 
 THRESHOLD = 0.3
@@ -267,10 +267,8 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     """The rows of ``docs`` that score below ``threshold``, with all columns."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    def keep_of():
         score_of = _scorer(shipped)
-        for b in bounded_batches(batches):
-            texts = b.column(b.schema.get_field_index("text")).to_pylist()
-            yield b.take([i for i, t in enumerate(texts) if score_of(t) < threshold])
+        return lambda texts: [score_of(t) < threshold for t in texts]
 
-    return docs.mapInArrow(run, docs.schema)
+    return keep_rows(docs, keep_of)
