@@ -30,8 +30,8 @@ VANTAGES = 8  # candidates tried per node
 # removing near-duplicates from a corpus
 DEDUP_SHINGLE, DEDUP_LIKENESS = 5, 0.8
 SAMPLES, SAMPLE_SIZE = 10, 3  # at a likeness of 0.8 a pair shares no sample with a chance of (1 - 0.8 ** 3) ** 10 < 0.001
-KEPT_HASHES = 256  # hashes a text is compared by
-_ODD = [(0x9E3779B97F4A7C15 * (2 * j + 1) ^ (j << 40)) % (1 << 64) | 1 for j in range(SAMPLES + 1)]
+LEADERS = 3
+_ODD = [(0x9E3779B97F4A7C15 * (2 * j + 1) ^ (j << 40)) % (1 << 64) | 1 for j in range(SAMPLES)]
 
 
 def fingerprint(text: str | None, k: int = SHINGLE) -> int:
@@ -265,66 +265,86 @@ def sampled_prints(hashes: np.ndarray, samples: int = SAMPLES, size: int = SAMPL
     return out
 
 
-def least_hashes(hashes: np.ndarray, most: int = KEPT_HASHES) -> bytes:
-    """The ``most`` smallest mixed hashes: all of a short text's shingles, a uniform sample of a long one's."""
-    mixed = np.sort((hashes * np.uint64(_ODD[-1])) >> np.uint64(32)).astype("<u4")
-    return mixed[:most].tobytes()
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard likeness of two sets of distinct hashes; two empty sets are alike."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared)
 
 
-def estimated_jaccard(a: bytes, b: bytes, most: int = KEPT_HASHES) -> float:
-    """Jaccard likeness from kept hashes: exact while both texts together have at most ``most`` shingles."""
-    x, y = np.unique(np.frombuffer(a, "<u4")), np.unique(np.frombuffer(b, "<u4"))
-    if not len(x) or not len(y):
-        return float(len(x) == len(y))
-    both = np.union1d(x, y)[:most]
-    return float((np.isin(both, x) & np.isin(both, y)).sum() / len(both))
-
-
-def _likely(rows: DataFrame, least: float) -> DataFrame:
-    """The links ``(a, b)`` of ``(a, b, x, y)`` whose kept hashes say a likeness of at least ``least``."""
+def _alike(rows: DataFrame, k: int, least: float) -> DataFrame:
+    """The links ``(a, b)`` of ``(a, b, x, y)`` whose texts ``x`` and ``y`` have a likeness of at least ``least``."""
 
     def rows_of():
-        return lambda g: [(a, b) for a, b, x, y in zip(g["a"], g["b"], g["x"], g["y"], strict=True) if estimated_jaccard(x, y) >= least]
+        def each(g):
+            out, last = [], (None, None)
+            for a, b, x, y in zip(g["a"], g["b"], g["x"], g["y"], strict=True):
+                if last[0] != b:  # many texts in a row are compared with the same one
+                    last = (b, shingle_hashes(y, k))
+                if jaccard(shingle_hashes(x, k), last[1]) >= least:
+                    out.append((a, b))
+            return out
+
+        return each
 
     return map_rows(rows, _LINKS, rows_of)
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, dict]:
+    """``docs`` with a key that names a row by its id and text, null or not."""
+    keys = {"_no_id": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_text": F.xxhash64("text")}
+    return docs.withColumns(keys), keys
+
+
+def _same_key(names: DataFrame, keys: dict) -> DataFrame:
+    return names.select("no_id", F.coalesce("doc_id", F.lit(0)), "text_hash").toDF(*keys)
+
+
 def near_texts(docs: DataFrame, r: int = RADIUS, k: int = DEDUP_SHINGLE, least: float = DEDUP_LIKENESS) -> DataFrame:
     """``(text_hash, best)``: for every distinct text the smallest ``(no id, doc_id, text_hash)`` of its group.
 
     Texts link if their SimHashes over ``k``-word shingles differ in at most ``r`` bits, or if the SimHashes of one of
-    several min-wise samples are equal and the Jaccard likeness of their shingles is ``least`` or more.  A text's
-    likeness is taken to the smallest ``doc_id`` of those that share the sample, never to all of them.
+    several min-wise samples are equal and the Jaccard likeness of their shingles, taken from the whole texts, is ``least`` or
+    more.  Of those that share a sample, a text is compared with the smallest ``doc_id`` and with :data:`LEADERS` more,
+    chosen anew by hash for every sample, never with all of them.
     """
-    hashed = own_columns(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    docs = own_columns(docs, "doc_id", "text")
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
     def rows_of():
         def each(b):
             out = []
             for i, h, t in zip(b["doc_id"], b["text_hash"], b["text"], strict=True):
-                hashes = shingle_hashes(t, k)
-                out.append((i, h, _signed(fingerprint(t, k)), sampled_prints(hashes), least_hashes(hashes)))
+                out.append((i, h, _signed(fingerprint(t, k)), sampled_prints(shingle_hashes(t, k))))
             return out
 
         return each
 
-    ddl = "doc_id long, text_hash long, fp long, samples array<long>, kept binary"
-    every = cut_lineage(map_rows(hashed, ddl, rows_of))
+    every = cut_lineage(map_rows(hashed, "doc_id long, text_hash long, fp long, samples array<long>", rows_of))
     name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    texts = every.groupBy("text_hash").agg(
-        F.min(name).alias("name"), F.first("fp").alias("fp"), F.first("samples").alias("samples"), F.first("kept").alias("kept")
-    )
+    texts = every.groupBy("text_hash").agg(F.min(name).alias("name"), F.first("fp").alias("fp"), F.first("samples").alias("samples"))
     texts = cut_lineage(texts)
     leads = cut_lineage(texts.groupBy("fp").agg(F.min("name").alias("lead")).select("fp", F.col("lead.text_hash").alias("lead")))
     same = texts.join(leads, "fp").select(F.col("text_hash").alias("a"), F.col("lead").alias("b"))
     close = near_links(leads.select("fp"), r)
     lead_of = lambda c: leads.select(F.col("fp").alias(c), F.col("lead").alias(f"{c}_lead"))
     close = close.join(lead_of("a"), "a").join(lead_of("b"), "b").select(F.col("a_lead").alias("a"), F.col("b_lead").alias("b"))
-    drawn = texts.select("name", "text_hash", F.posexplode("samples").alias("j", "sample"))
-    first = drawn.groupBy("j", "sample").agg(F.min("name").alias("first"), F.count("*").alias("n")).where("n > 1")
-    drawn = drawn.join(first, ["j", "sample"]).select(F.col("text_hash").alias("a"), F.col("first.text_hash").alias("b")).where("a <> b").distinct()
-    kept = lambda c, to: texts.select(F.col("text_hash").alias(c), F.col("kept").alias(to))
-    sampled = _likely(drawn.join(kept("a", "x"), "a").join(kept("b", "y"), "b").select("a", "b", "x", "y"), least)
+
+    drawn = texts.select("name", F.posexplode("samples").alias("j", "sample"))
+    dealt = [F.struct(F.xxhash64("name.text_hash", "j", F.lit(n)).alias("h"), "name") for n in range(LEADERS)]
+    leaders = F.array(F.min("name"), *[F.min(d)["name"] for d in dealt])  # mergeable: a group is never gathered
+    first = drawn.groupBy("j", "sample").agg(F.count("*").alias("n"), F.array_distinct(leaders).alias("first")).where("n > 1")
+    drawn = drawn.join(first, ["j", "sample"]).select("name", F.explode("first").alias("first"))
+    drawn = cut_lineage(drawn.where("name.text_hash <> first.text_hash").distinct())
+    wanted = drawn.select("name.*").unionByName(drawn.select("first.*")).distinct()
+    keyed, keys = _keyed(docs)
+    held = keyed.join(_same_key(wanted, keys), list(keys), "left_semi").dropDuplicates(list(keys)).select("_text", "text")
+    held = cut_lineage(held)
+    text_of = lambda c, to: held.select(F.col("_text").alias(c), F.col("text").alias(to))
+    pairs = drawn.select(F.col("name.text_hash").alias("a"), F.col("first.text_hash").alias("b"))
+    sampled = _alike(pairs.join(text_of("a", "x"), "a").join(text_of("b", "y"), "b").select("a", "b", "x", "y"), k, least)
+
     links = cut_lineage(same.where("a <> b").unionByName(close).unionByName(sampled))
     member = cut_lineage(connected_components(links))
     grouped = texts.select("text_hash", "name").join(member.withColumnRenamed("node", "text_hash"), "text_hash", "left")
@@ -335,8 +355,6 @@ def near_texts(docs: DataFrame, r: int = RADIUS, k: int = DEDUP_SHINGLE, least:
 
 def drop_near_duplicates(docs: DataFrame, r: int = RADIUS, k: int = DEDUP_SHINGLE, least: float = DEDUP_LIKENESS) -> DataFrame:
     """One row of each group of :func:`near_texts`, with all columns: that of the smallest ``doc_id`` (rows without one last)."""
-    keep = near_texts(docs, r, k, least).select("best.*").distinct()
-    keys = {"_no_id": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_text": F.xxhash64("text")}
-    keep = keep.select("no_id", F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash").toDF(*keys)
-    own = docs.withColumns(keys)
+    own, keys = _keyed(docs)
+    keep = _same_key(near_texts(docs, r, k, least).select("best.*").distinct(), keys)
     return own.join(keep, list(keys), "left_semi").dropDuplicates(list(keys)).select(*[F.col(f"`{c}`") for c in docs.columns])
