@@ -11,13 +11,18 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from reviewrank.llm.common import keep_rows, map_rows, own_columns
+from reviewrank.llm.common import bounded_batches, keep_rows, map_rows, own_columns
 from reviewrank.session import cut_lineage
 
 THRESHOLD = 0.3
@@ -29,7 +34,7 @@ PREFIXES = range(3, 9)  # lengths of word beginnings that may be terms
 FIT_ROWS = 20_000  # most labelled rows the logistic model is fitted on, taken by hash; the lexicon sees all of them
 WINDOW = 6  # words on each side of a hit
 FUZZY_LENGTH = 5  # words of at least so many letters may differ by one edit from a term
-CACHED_WORDS = 300_000
+CACHED_WORDS, COUNTED_WORDS = 300_000, 400_000  # words a worker keeps at a time; more only cost speed
 REPORTING = frozenset("said says quote quoted quotes called calls wrote writes word term example reported dit appelle sagte nannte dijo llama".split())
 QUOTES = "\"“”„«»‘’'`"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -49,23 +54,62 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.encode(doc_id.cast("string"), "utf-8")), F.lit(4)) == 2, F.lit(False))
 
 
+def _word_counts(train: DataFrame) -> DataFrame:
+    """``(word, toxic_n, clean_n, mask)``: texts with the word by label, partly added up within tasks.
+
+    A task adds up at most :data:`COUNTED_WORDS` words before it passes them on.  ``mask`` has a bit for each of 63
+    classes of following words seen in toxic texts.
+    """
+    schema = T.StructType.fromDDL("word string, toxic_n long, clean_n long, mask long")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        toxic: Counter = Counter()
+        clean: Counter = Counter()
+        masks: dict[str, int] = {}
+
+        def rows():
+            words = list(clean.keys() | toxic.keys())
+            columns = (words, [toxic[w] for w in words], [clean[w] for w in words], [masks.get(w, 0) for w in words])
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+        for b in bounded_batches(batches):
+            for text, label in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+                words = _WORD.findall((text or "").lower())
+                if label != 1:
+                    clean.update(set(words))
+                else:
+                    toxic.update(set(words))
+                    for w, following in set(zip(words, [*words[1:], ""])):
+                        masks[w] = masks.get(w, 0) | 1 << crc32(following.encode("utf-8", "surrogatepass")) % 63
+                if len(clean) + len(toxic) > COUNTED_WORDS:
+                    yield rows()
+                    for held in (toxic, clean, masks):
+                        held.clear()
+        if clean or toxic:
+            yield rows()
+
+    return train.select("text", "toxic").mapInArrow(run, schema)
+
+
 def term_counts(train: DataFrame) -> DataFrame:
-    """``(term, whole, toxic_n, clean_n, contexts)`` of every word and word beginning."""
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) > 0)
-    seen = train.select("toxic", words.alias("w")).select(
-        "toxic", F.explode(F.array_distinct(F.zip_with("w", F.slice(F.concat("w", F.array(F.lit(""))), 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))).alias("p")
-    )
-    is_toxic = F.col("toxic") == 1
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("p.b"), F.lit(63)).cast("int"))
-    words = seen.groupBy(F.col("p.a").alias("word")).agg(
-        F.count_if(is_toxic).alias("toxic_n"), F.count_if(~is_toxic).alias("clean_n"), F.bit_or(F.when(is_toxic, bit).otherwise(F.lit(0).cast("long"))).alias("mask"),
+    """``(term, whole, toxic_n, clean_n, contexts, most)`` of every word and word beginning of ``train(text, toxic)``.
+
+    ``most`` is the toxic count of the commonest word among those that begin so.
+    """
+    words = _word_counts(train).groupBy("word").agg(
+        F.sum("toxic_n").alias("toxic_n"), F.sum("clean_n").alias("clean_n"), F.bit_or("mask").alias("mask")
     )
     parts = F.concat(
         F.array(F.struct(F.col("word").alias("term"), F.lit(True).alias("whole"))),
-        F.transform(F.filter(F.array(*[F.lit(k) for k in PREFIXES]), lambda k: k < F.length("word")), lambda k: F.struct(F.substring(F.col("word"), F.lit(1), k).alias("term"), F.lit(False).alias("whole"))),
+        F.transform(
+            F.filter(F.array(*[F.lit(k) for k in PREFIXES]), lambda k: k < F.length("word")),
+            lambda k: F.struct(F.substring(F.col("word"), F.lit(1), k).alias("term"), F.lit(False).alias("whole")),
+        ),
     )
     return words.select(F.explode(parts).alias("t"), "toxic_n", "clean_n", "mask").groupBy("t.term", "t.whole").agg(
-        F.sum("toxic_n").alias("toxic_n"), F.sum("clean_n").alias("clean_n"), F.bit_count(F.bit_or("mask")).alias("contexts")
+        F.sum("toxic_n").alias("toxic_n"), F.sum("clean_n").alias("clean_n"), F.bit_count(F.bit_or("mask")).alias("contexts"),
+        F.max("toxic_n").alias("most"),
     )
 
 
@@ -79,7 +123,8 @@ def learn_terms(counts: DataFrame, limit: int = MAX_TERMS) -> list[tuple[str, bo
     share = k / n
     evidence = k * F.log(share / base) + F.when(n > k, (n - k) * F.log((n - k) / n / (1 - base))).otherwise(0.0)
     weight = F.log((k + 0.5) / (F.col("clean_n") + 0.5)) - math.log(base / (1 - base))
-    strong = counts.where((k > 0) & (F.col("contexts") >= MIN_CONTEXTS) & (share >= MIN_SHARE)).where(evidence >= MIN_EVIDENCE)
+    common = F.col("whole") | (2 * F.col("most") <= k)  # a beginning stands for several words, not for one
+    strong = counts.where((k > 0) & (F.col("contexts") >= MIN_CONTEXTS) & (share >= MIN_SHARE) & common).where(evidence >= MIN_EVIDENCE)
     rows = strong.select("term", "whole", weight.alias("weight")).orderBy(evidence.desc(), "term", "whole").limit(limit).collect()
     begins = {r["term"] for r in rows if not r["whole"]}
     out = []
@@ -124,33 +169,40 @@ class Lexicon:
         return (node["whole"], 0) if "whole" in node else best
 
     def _fuzzy(self, word: str) -> tuple[float, int] | None:
-        """Intersect the automaton for one edit with the trie.
+        """Intersect the Levenshtein automaton of ``word`` for one edit with the trie.
 
-        A state is the row of edit distances between the word's beginnings and the path so far, cut off above 1.
-        Whole terms need the last entry within 1; beginnings of at least :data:`FUZZY_LENGTH` letters any entry of a
-        word long enough.
+        A state is a place in the word and the edits so far.  Without an edit there is one path down the trie; each of its nodes
+        opens states with one edit (a letter missing, changed or added), and those only go on by equal letters.  Terms
+        of at least :data:`FUZZY_LENGTH` letters count.
         """
-        best = None
-        start = [0, 1, *[2] * (len(word) - 1)]
-        todo = [(self.root, start, 0)]
-        while todo:
-            node, row, depth = todo.pop()
+        best, n = None, len(word)
+
+        def after_edit(node: dict, i: int, depth: int) -> None:
+            nonlocal best
+            while True:
+                if depth >= FUZZY_LENGTH:
+                    weight = max(node.get("begin", -math.inf), node.get("whole", -math.inf) if i == n else -math.inf)
+                    if weight > -math.inf and (best is None or weight > best):
+                        best = weight
+                if i == n or word[i] not in node:
+                    return
+                node, i, depth = node[word[i]], i + 1, depth + 1
+
+        node = self.root
+        for i in range(n + 1):
+            letter = word[i] if i < n else ""
             for c, below in node.items():
-                if len(c) > 1:
-                    continue
-                new = [min(row[0] + 1, 2)]
-                lo, hi = max(1, depth - 1), min(len(word), depth + 3)
-                new += [2] * len(word)
-                for i in range(lo, hi + 1):
-                    new[i] = min(row[i - 1] + (word[i - 1] != c), row[i] + 1, new[i - 1] + 1, 2)
-                if min(new) > 1:
-                    continue
-                if "whole" in below and depth + 1 >= FUZZY_LENGTH and new[-1] <= 1 and (best is None or below["whole"] > best[0]):
-                    best = (below["whole"], 1)
-                if "begin" in below and depth + 1 >= FUZZY_LENGTH and min(new) <= 1 and (best is None or below["begin"] > best[0]):
-                    best = (below["begin"], 1)
-                todo.append((below, new, depth + 1))
-        return best
+                if len(c) == 1:
+                    after_edit(below, i, i + 1)
+                    if i < n and c != letter:
+                        after_edit(below, i + 1, i + 1)
+            if i == n:
+                break
+            after_edit(node, i + 1, i)
+            if letter not in node:
+                break
+            node = node[letter]
+        return None if best is None else (best, 1)
 
     def features(self, text: str | None) -> list[float]:
         """Sums over the hits of a text: exact, fuzzy and quoted evidence, hits near other hits, hits among words."""
