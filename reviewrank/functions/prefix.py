@@ -101,7 +101,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     wanted = need.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("_i", "_pos"))).alias("_want"),
     )
-    joined = ranked.join(wanted, keys)
+    # keys name features, so there is one short row for each of a few hundred; shuffling the values by them would not spread
+    joined = ranked.join(F.broadcast(wanted), keys)
     first = F.col("_upto") - F.col("_n")
     inside = lambda pos: pos.between(first, F.col("_upto") - 1)
     mine = F.filter("_want", lambda w: inside(F.floor(w["_pos"])) | inside(F.ceil(w["_pos"])))

@@ -35,11 +35,23 @@ def _shares(binned: DataFrame, keys: list[str]) -> DataFrame:
 
 def psi(reference: DataFrame, current: DataFrame, batch: list[str]) -> DataFrame:
     """``batch, feature, psi`` for long ``feature, value`` frames; edges are at most nine per feature."""
-    edges = F.broadcast(reference_edges(reference))
+    return psi_to(reference_shares(reference), current, batch)
+
+
+def reference_shares(reference: DataFrame) -> DataFrame:
+    """``feature, inner, r``: bin edges and the reference's share in each bin (an array); one row per feature."""
+    edges = reference_edges(reference)
+    placed = reference.join(F.broadcast(edges), "feature").withColumn("bin", F.size(F.filter("inner", lambda e: e <= F.col("value"))))
+    shares = _shares(placed.withColumn("bins", F.size("inner")), ["feature"])
+    return shares.groupBy("feature").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "share"))), lambda x: x["share"]).alias("r")).join(edges, "feature")
+
+
+def psi_to(shares: DataFrame, current: DataFrame, batch: list[str]) -> DataFrame:
+    """:func:`psi` against :func:`reference_shares` made before (and perhaps written): at most one row per feature."""
+    edges = F.broadcast(shares.select("feature", "inner"))
     at = F.size(F.filter("inner", lambda e: e <= F.col("value")))
-    place = lambda df: df.join(edges, "feature").withColumn("bin", at).withColumn("bins", F.size("inner"))
-    ref = _shares(place(reference), ["feature"]).withColumnRenamed("share", "r")
-    cur = _shares(place(current), [*batch, "feature"]).withColumnRenamed("share", "c")
+    ref = F.broadcast(shares.select("feature", F.posexplode("r").alias("bin", "r")))
+    cur = _shares(current.join(edges, "feature").withColumn("bin", at).withColumn("bins", F.size("inner")), [*batch, "feature"]).withColumnRenamed("share", "c")
     part = (F.col("c") - F.col("r")) * F.log(F.col("c") / F.col("r"))
     return cur.join(ref, ["feature", "bin"]).groupBy(*batch, "feature").agg(F.sum(part).alias("psi"))
 
@@ -51,12 +63,13 @@ def numbered_batches(df: DataFrame, order: list[str], size: int = R.DRIFT_BATCH)
 
 
 def drift_report(
-    reference: DataFrame, current: DataFrame, features: list[str], threshold: float, slice_by: str,
-    reference_rate: float, batch: str = "batch", budget: float = R.FPR_BUDGET,
+    reference: DataFrame | None, current: DataFrame, features: list[str], threshold: float, slice_by: str,
+    reference_rate: float, batch: str = "batch", budget: float = R.FPR_BUDGET, shares: DataFrame | None = None,
 ) -> DataFrame:
     """One row per batch with its measures and alerts.
 
-    ``current`` has ``batch, y, p``, the features and the slice column; a slice counts from 20 clean rows.
+    ``current`` has ``batch, y, p``, the features and the slice column; a slice counts from 20 clean rows.  Besides the
+    worst values, ``psi_by_feature`` and ``slice_fpr`` hold those of every feature and of every level that counts.
     """
     hit, clean = F.col("p") >= threshold, F.col("y") == 0
     n = lambda c: F.count(F.when(c, 1))
@@ -70,9 +83,15 @@ def drift_report(
     # one entry per level of the slicing factor
     slices = levels.groupBy(batch).agg(
         F.max(F.col("_k") / F.col("_n")).alias("worst_slice_fpr"), F.max(low).alias("worst_slice_low"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(slice_by).cast("string").alias("level"), (F.col("_k") / F.col("_n")).alias("fpr"))))).alias("slice_fpr"),
         F.array_sort(F.array_compact(F.collect_list(over))).alias("_slice_alerts"))
-    shift = psi(long_features(reference, features), long_features(current, features, [batch]), [batch])
-    worst = shift.groupBy(batch).agg(F.max("psi").alias("max_psi"), F.max_by("feature", "psi").alias("max_psi_feature"))
+    shares = reference_shares(long_features(reference, features)) if shares is None else shares
+    shift = psi_to(shares, long_features(current, features, [batch]), [batch])
+    # equal shifts (up to rounding) go to the feature that is monitored first
+    place = F.struct(F.round("psi", 12), -F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature")))
+    worst = shift.groupBy(batch).agg(
+        F.max("psi").alias("max_psi"), F.max_by("feature", place).alias("max_psi_feature"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", "psi")))).alias("psi_by_feature"))
     df = base.join(worst, batch, "left").join(slices, batch, "left")
     fpr = F.col("_fp") / F.greatest(F.lit(1), F.col("_neg"))
     rate = F.col("review_rate")
@@ -86,7 +105,7 @@ def drift_report(
     ))
     return df.select(
         batch, "sessions", "max_psi", "max_psi_feature", "review_rate", fpr.alias("clean_fpr"),
-        F.coalesce("worst_slice_fpr", F.lit(0.0)).alias("worst_slice_fpr"),
+        F.coalesce("worst_slice_fpr", F.lit(0.0)).alias("worst_slice_fpr"), "psi_by_feature", "slice_fpr",
         F.concat(alerts, F.coalesce("_slice_alerts", F.array().cast("array<string>"))).alias("alerts"))
 
 

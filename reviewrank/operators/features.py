@@ -32,13 +32,18 @@ def need(window: int) -> Column:
     return F.greatest(F.lit(1), F.floor(F.least(F.lit(window), F.col("ticks")) / 2))
 
 
-def _fixed(c: Column) -> Column:
-    return F.rint(c * SCALE).cast("bigint")
+def _scale(name: str) -> int:
+    """Pasted characters are whole numbers without a small bound; all other signals are small."""
+    return 1 if name == "paste_chars" else SCALE
+
+
+def _fixed(name: str) -> Column:
+    return F.rint(F.col(name) * _scale(name)).cast("bigint")
 
 
 def _running(names: list[str]) -> list[Column]:
     """Running fixed-point sums ``_s_*`` and counts ``_n_*``."""
-    sums = [F.coalesce(F.sum(_fixed(F.col(n))).over(_run()), F.lit(0)).alias(f"_s_{n}") for n in names]
+    sums = [F.coalesce(F.sum(_fixed(n)).over(_run()), F.lit(0)).alias(f"_s_{n}") for n in names]
     return sums + [F.count(n).over(_run()).alias(f"_n_{n}") for n in names]
 
 
@@ -50,7 +55,7 @@ def _lagged(pairs: list[tuple[str, int]]) -> list[Column]:
 
 def _mean(n: str, w: int) -> Column:
     total, seen = F.col(f"_s_{n}") - F.col(f"_ls_{n}_{w}"), F.col(f"_n_{n}") - F.col(f"_ln_{n}_{w}")
-    return F.when(seen >= need(w), total / SCALE / seen).alias(f"{n}__r{w}")
+    return F.when(seen >= need(w), total / _scale(n) / seen).alias(f"{n}__r{w}")
 
 
 def with_rolling(grid: DataFrame, wanted: dict[int, list[str]]) -> DataFrame:

@@ -38,8 +38,12 @@ def lengths_of(sessions: DataFrame, step_ms: int = 1000) -> DataFrame:
 
 
 def _moment() -> Column:
-    """``(ts_ms, event_seq)`` as one number: a struct would force sort-based aggregation of raw events."""
-    return F.col("ts_ms").cast("decimal(13,0)") * F.lit(10**15).cast("decimal(16,0)") + F.col("event_seq").cast("decimal(15,0)")
+    """``(ts_ms, event_seq)`` as one number: a struct would force sort-based aggregation of raw events.
+
+    Any two longs fit.  An event without a place cannot be ordered, which is an error and not a silent NULL.
+    """
+    seq = F.coalesce(F.col("event_seq").cast("bigint"), F.raise_error(F.lit("an event has no event_seq")).cast("bigint"))
+    return F.col("ts_ms").cast("decimal(19,0)") * F.expr("CAST('10000000000000000000' AS DECIMAL(20,0))") + seq.cast("decimal(19,0)")
 
 
 def _reduced() -> dict[str, tuple[str, Column]]:

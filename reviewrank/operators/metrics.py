@@ -249,13 +249,16 @@ def bootstrap_ci(scored: DataFrame, threshold: float, replicates: int = 1000, bi
     """95 % intervals of average precision, recall and FPR.
 
     A Poisson bootstrap: the resampled size of a group of n equal rows is Poisson(n), so replicates are
-    drawn on the binned counts, not on the rows.  Groups handed to Python have at most ``bins + 1`` rows.
+    drawn on the binned counts, not on the rows; the bin that holds the threshold is cut at it, so recall and FPR are
+    exact.  Groups handed to Python have at most ``bins + 2`` rows.
     """
-    counted = binned_counts(scored, bins).withColumn("hit", F.col("p") >= threshold)
+    hit = F.col("p") >= threshold
+    counted = scored.groupBy(F.floor(clip(F.col("p"), 0.0, 1.0) * bins).alias("bin"), hit.alias("hit")).agg(
+        F.sum(F.col("y").cast("bigint")).alias("pos"), F.sum(1 - F.col("y").cast("bigint")).alias("neg"))
     spread = counted.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bin", ascending=False)
+        pdf = pdf.sort_values(["bin", "hit"], ascending=False)
         rng = np.random.default_rng([seed, int(pdf["replicate"].iloc[0])])
         pos, neg = rng.poisson(pdf["pos"].to_numpy()), rng.poisson(pdf["neg"].to_numpy())
         tp, fp, hit = pos.cumsum(), neg.cumsum(), pdf["hit"].to_numpy()

@@ -110,6 +110,7 @@ def record_errors(parsed: DataFrame) -> Column:
         _when(c("_t_schema") != R.EVENT_SCHEMA, f"schema must be '{R.EVENT_SCHEMA}'"),
         _when(~c("_t_session_id").rlike(R.SESSION_ID_PATTERN), "session_id must match ^[A-Za-z0-9_-]{3,64}$"),
         _when((c("_k_ts_ms") != "BIGINT") | (ts < 0), "ts_ms must be a non-negative integer"),
+        _when(ts > R.MAX_TS_MS, "ts_ms is beyond the longest session"),
         F.when(~known_channel, F.lit(f"channel must be one of {_listed(R.CHANNELS)}")),
         _when(c("_t_detector") == "", "detector must be a non-empty string"),
         _when(c("_t_detector_version") == "", "detector_version must be a non-empty string"),

@@ -19,13 +19,12 @@ def binned(grid: DataFrame) -> DataFrame:
         scale = 1.0 if kind == "binary" else 2 * thr
         return clip(F.coalesce(F.col(name), F.lit(0.0)) / scale, 0.0, 3.0)
 
-    inside = grid.where(F.col("sec") < R.MAX_BINS * R.BIN_S)
-    return inside.groupBy("session_id", F.floor(F.col("sec") / R.BIN_S).alias("bin")).agg(
+    return grid.groupBy("session_id", F.floor(F.col("sec") / R.BIN_S).alias("bin")).agg(
         *[(F.sum(squashed(n, k, t)) / R.BIN_S).alias(n) for n, _, k, t in R.SIGNALS])
 
 
 def bin_series(grid: DataFrame) -> DataFrame:
-    """``session_id, length, series``: bins in order, one array per bin, never more than 540 bins."""
+    """``session_id, length, series``: all bins in order, one array per bin; a session's length bounds them."""
     row = F.struct("bin", F.array(*R.SIGNAL_NAMES).alias("v"))
     ordered = F.array_sort(F.collect_list(row))
     return binned(grid).groupBy("session_id").agg(

@@ -62,6 +62,7 @@ def with_reason(flat: DataFrame) -> DataFrame:
     checks = [
         rule(~F.col("session_id").rlike(R.SESSION_ID_PATTERN), "invalid session_id"),
         rule(~_finite(ts) | (ts < 0) | (ts != F.floor(ts)), "invalid ts_ms"),
+        soft(ts > R.MAX_TS_MS, "ts_ms beyond the longest session"),
         rule(~F.col("channel").isin(R.CHANNELS), "unknown channel"),
         rule(F.col("detector") == "", "empty detector"),
         rule(F.col("detector_version") == "", "empty detector_version"),

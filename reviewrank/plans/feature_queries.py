@@ -164,5 +164,5 @@ def feat_luma(spark, sf_dir):
 @query()
 def session_features(spark, sf_dir):
     """The whole feature row; its groups are checked one by one above."""
-    out = FE.session_features(event_grid(spark, sf_dir))
+    out = FE.session_features(event_grid(spark, sf_dir), needed=NEEDED)
     return out.select("session_id", *r6s(out.columns[1:]))

@@ -219,7 +219,7 @@ def _sql_wilson(k: str, n: str) -> str:
 
 
 @query(f"""{_BATCHED}, {_sql_psi('scored', 'nb', 'batch', ['p', 'y'])},
-mx AS (SELECT batch, max(psi) AS max_psi, arg_max(feature, psi) AS max_psi_feature FROM psi GROUP BY batch),
+mx AS (SELECT batch, max(psi) AS max_psi, (list(feature ORDER BY round(psi, 12) DESC, feature))[1] AS max_psi_feature FROM psi GROUP BY batch),
 ref AS (SELECT avg(CAST(p >= {THR} AS INT)) AS rate FROM scored),
 bs AS (SELECT batch, count(*) AS sessions, avg(CAST(p >= {THR} AS INT)) AS review_rate, count(*) FILTER (WHERE y = 0) AS neg, count(*) FILTER (WHERE y = 0 AND p >= {THR}) AS fp FROM nb GROUP BY batch),
 sl AS (SELECT batch, lang, count(*) AS n, count(*) FILTER (WHERE p >= {THR}) AS k FROM nb WHERE y = 0 GROUP BY ALL HAVING count(*) >= 20),
@@ -271,4 +271,4 @@ def metric_diff(spark, sf_dir):
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    return M.bootstrap_ci(B.scored_rows(spark, sf_dir), THR, replicates=200)
+    return M.bootstrap_ci(B.scored_rows(spark, sf_dir), THR)

@@ -15,7 +15,7 @@ from reviewrank.operators import scoring as S
 from reviewrank.operators import temporal as P
 from reviewrank.operators import training as T
 from reviewrank.plans.catalog import query, r6, sql_r6
-from reviewrank.plans.feature_queries import event_grid, valid_events
+from reviewrank.plans.feature_queries import NEEDED, event_grid, valid_events
 from reviewrank.plans.grid_sql import SQL_GRID, col, rolling
 from reviewrank.session import cut_lineage
 from reviewrank.sources import bridge as B
@@ -184,12 +184,13 @@ def _once(spark, sf_dir, what, make):
 
 
 def training_rows(spark, sf_dir):
-    """Feature rows with a label (heavy pasting or much hidden time) and a stratified split."""
+    """Feature rows with a label from outside the features (the user's account is overdrawn) and a stratified split."""
 
     def make():
-        feats = FE.session_features(event_grid(spark, sf_dir))
-        y = ((F.col("paste_chars__mean") > 0.9) | (F.col("id_mismatch__mean") > 0.62)).cast("int")
-        rows = cut_lineage(feats.withColumn("y", y))
+        feats = FE.session_features(event_grid(spark, sf_dir), needed=NEEDED)
+        accounts = B.table(spark, sf_dir, "customer").select(
+            F.concat(F.lit("usr"), F.col("c_custkey").cast("string")).alias("session_id"), (F.col("c_acctbal") < 0).cast("int").alias("y"))
+        rows = cut_lineage(feats.join(accounts, "session_id", "left").withColumn("y", F.coalesce("y", F.lit(0))))
         units = rows.select("session_id", F.col("session_id").alias("unit"), (F.col("y") == 1).alias("violation"), F.lit("all").alias("profile"))
         return cut_lineage(rows.join(H.stratified_split(units, 11), "session_id"))
 
@@ -197,7 +198,7 @@ def training_rows(spark, sf_dir):
 
 
 def trained(spark, sf_dir) -> S.RiskModel:
-    return _once(spark, sf_dir, "model", lambda: T.train(training_rows(spark, sf_dir), R.model_features(), [0.03, 0.3], replicates=50))
+    return _once(spark, sf_dir, "model", lambda: T.train(training_rows(spark, sf_dir), R.model_features()))
 
 
 @query()
@@ -211,7 +212,7 @@ def risk_model(spark, sf_dir):
 @query()
 def contributions(spark, sf_dir):
     model = trained(spark, sf_dir)
-    ready = S.prepare_features(training_rows(spark, sf_dir), model.features, model.directions)
+    ready = S.ready(training_rows(spark, sf_dir), model)
     return ready.select("session_id", F.explode(S.top_reasons(S.contributions(model))).alias("x")).select("session_id", "x.*")
 
 
@@ -262,21 +263,20 @@ def missing_channel(spark, sf_dir):
 
 @query()
 def interpretation(spark, sf_dir):
-    """Most important features, and the partial dependence of the first one that varies."""
+    """Most important features, and the partial dependence of the ten most important."""
     model, rows = trained(spark, sf_dir), training_rows(spark, sf_dir)
     imp = T.importance(rows, model)
-    first = imp.select("feature").first()
     out = imp.select(F.lit("importance").alias("part"), "feature", F.lit(None).cast("double").alias("at"), F.col("mean_abs").alias("value"))
-    if first is None:
-        return out
-    pd_rows = T.partial_dependence(rows, model, first["feature"])
-    return out.unionByName(pd_rows.select(F.lit("partial_dependence").alias("part"), "feature", F.col("value").alias("at"), F.col("mean_risk").alias("value")))
+    for r in imp.select("feature").limit(10).collect():
+        swept = T.partial_dependence(rows, model, r["feature"])
+        out = out.unionByName(swept.select(F.lit("partial_dependence").alias("part"), "feature", F.col("value").alias("at"), F.col("mean_risk").alias("value")))
+    return out
 
 
 @query()
 def ablations(spark, sf_dir):
-    """Three channels and the window sets; the operator takes any list."""
-    return T.ablations(training_rows(spark, sf_dir), R.model_features(), ["screen", "identity", "behavioral"], windows=True)
+    """Every channel, normalisation and the window sets."""
+    return T.ablations(training_rows(spark, sf_dir), R.model_features(), windows=True)
 
 
 @query()
@@ -314,9 +314,9 @@ def temporal_model(spark, sf_dir):
     """Scored sessions of the temporal model, with the run logged."""
     t0 = time.time()
     rows = training_rows(spark, sf_dir).select("session_id", "y", "split")
-    made = cut_lineage(P.kernel_features(_series(spark, sf_dir), 100))
-    scored, trials = T.fit_temporal(made.join(rows, "session_id"), [0.01, 0.1])
-    T.log_run(spark, sinks.new_folder(spark, "runs"), "temporal", {"kernels": 100}, {"trials": trials}, t0)
+    made = cut_lineage(P.kernel_features(_series(spark, sf_dir)))
+    scored, trials = T.fit_temporal(made.join(rows, "session_id"))
+    T.log_run(spark, sinks.new_folder(spark, "runs"), "temporal", {"kernels": R.N_KERNELS}, {"trials": trials}, t0)
     return scored
 
 
@@ -350,7 +350,7 @@ def evaluation_report(spark, sf_dir):
   CAST(count(DISTINCT session_id) AS BIGINT) AS n_sessions FROM valid""")
 def feature_schema_hash(spark, sf_dir):
     """Store manifest: the hash that pins the ordered feature columns, and the sessions covered."""
-    columns = [c for c in FE.session_features(event_grid(spark, sf_dir)).columns if c != "session_id"]
+    columns = [c for c in FE.session_features(event_grid(spark, sf_dir), needed=NEEDED).columns if c != "session_id"]
     text = F.concat_ws("|", F.lit(R.FEATURE_VERSION), *[F.lit(c) for c in columns])
     return valid_events(spark, sf_dir).agg(
         F.sha2(F.first(text), 256).alias("schema_hash"), F.lit(len(columns)).cast("bigint").alias("n_features"), F.countDistinct("session_id").alias("n_sessions"))
@@ -361,7 +361,7 @@ def feature_store_write(spark, sf_dir):
     """Features and flags as zstd Parquet, read back and counted."""
     base = sinks.new_folder(spark, "store")
     grid = event_grid(spark, sf_dir)
-    sinks.write_store_table(FE.session_features(grid), f"{base}/features")
+    sinks.write_store_table(FE.session_features(grid, needed=NEEDED), f"{base}/features")
     sinks.write_store_table(L.flags(grid, B.STEP_MS), f"{base}/flags")
     from reviewrank.operators.listing import row_counts
 

@@ -9,10 +9,12 @@ from reviewrank.operators import drift as D
 from reviewrank.operators import records as C
 from reviewrank.operators import scoring as S
 from reviewrank.operators import serving as V
-from reviewrank.plans.catalog import query, r6
+from reviewrank.plans.catalog import query, r6, sql_r6
 from reviewrank.plans.feature_queries import valid_events
 from reviewrank.sources import bridge as B
+from reviewrank.sources import flat as FL
 from reviewrank.sources import sinks
+from reviewrank.session import cut_lineage
 from reviewrank.streaming import ingest as I
 
 _EV = f"WITH {B.SQL_EVENTS}"
@@ -53,30 +55,57 @@ def stream_ingest(spark, sf_dir):
     return good.unionByName(bad).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-@query()
+def _windows(spark, df, name, keys):
+    """Every window, closed or still open at the end of the input; starts as whole seconds since the epoch."""
+    path = sinks.new_folder(spark, name)
+    I.run_windows(df, path, sinks.new_folder(spark, f"{name}-checkpoint"))
+    out = I.latest(spark.read.schema(df.schema.add("batch_id", "long")).parquet(path), keys)
+    return out.withColumns({c: F.unix_timestamp(c) for c, t in out.dtypes if t == "timestamp"})
+
+
+_MS = "(ts_ms + 1704067200000)"
+
+
+def _sql_ticks(ms: int) -> str:
+    return f"""{_EV} SELECT session_id, CAST({_MS} // {ms} * {ms // 1000} AS BIGINT) AS tick_start, CAST(count(*) AS BIGINT) AS n_events,
+  max(p0) FILTER (WHERE event_type = 'FACE_OBSERVATION') AS faces, {sql_r6("sum(p0) FILTER (WHERE event_type = 'PASTE')", 'pasted')},
+  min(p1) FILTER (WHERE event_type = 'IDENTITY_CHECK') AS verified FROM ev GROUP BY 1, 2"""
+
+
+@query(_sql_ticks(3_600_000))
 def stream_ticks(spark, sf_dir):
-    """Closed hourly ticks of every session."""
-    return _into_parquet(spark, I.tick_counts(_stream(spark, sf_dir), "at", _HOUR, _HOUR), "ticks")
+    """Hourly ticks of every session."""
+    out = _windows(spark, I.tick_counts(_stream(spark, sf_dir), "at", _HOUR, _HOUR), "ticks", ["session_id", "tick_start"])
+    return out.withColumn("pasted", r6("pasted"))
 
 
-@query()
+@query(f"SELECT * FROM ({_sql_ticks(36_000_000)}) WHERE n_events >= 2")
 def stream_lanes(spark, sf_dir):
-    """Closed ten-hour bins of every session."""
-    return _into_parquet(spark, I.tick_counts(_stream(spark, sf_dir), "at", "10 hours", _HOUR), "lanes")
+    """Ten-hour bins of every session that are active: two events at least."""
+    out = _windows(spark, I.tick_counts(_stream(spark, sf_dir), "at", "10 hours", _HOUR), "lanes", ["session_id", "tick_start"])
+    return out.where("n_events >= 2").withColumn("pasted", r6("pasted"))
 
 
-@query()
+@query(f"""{_EV}, w AS (SELECT session_id, CAST(({_MS} // 3600000 - k.k) * 3600 AS BIGINT) AS window_start, CASE WHEN event_type = 'IDENTITY_CHECK' THEN CAST(p1 < 0.5 AS DOUBLE) END AS v
+  FROM ev, range(10) k(k))
+SELECT session_id, window_start, CAST(window_start + 36000 AS BIGINT) AS window_end, {sql_r6('avg(v)', 'mean')}, CAST(count(v) AS BIGINT) AS observed FROM w GROUP BY 1, 2""")
 def stream_sliding(spark, sf_dir):
     """Sliding means of identity mismatch over ten hours in hourly steps."""
     miss = F.when(F.col("event_type") == "IDENTITY_CHECK", (F.col("p1") < 0.5).cast("double"))
-    return _into_parquet(spark, I.sliding_means(_stream(spark, sf_dir), "at", miss, "10 hours", _HOUR, _HOUR), "sliding")
+    out = _windows(spark, I.sliding_means(_stream(spark, sf_dir), "at", miss, "10 hours", _HOUR, _HOUR), "sliding", ["session_id", "window_start", "window_end"])
+    return out.withColumn("mean", r6("mean"))
 
 
-@query()
+@query(f"""{_EV}, w AS (SELECT session_id, {_MS} // 36000000 * 36000 AS s, count(*) AS n, max(CASE WHEN k % 5 = 0 THEN {_MS} / 1000.0 + 1200 END) AS e
+  FROM ev WHERE event_type = 'INPUT_ACTIVITY' GROUP BY 1, 2)
+SELECT session_id, CAST(s AS BIGINT) AS window_start, CAST(n AS BIGINT) AS keystrokes, {sql_r6('least(s + 36000, coalesce(e, s + 36000)) - s', 'window_s')} FROM w
+WHERE e IS NULL OR e >= s + 36000 OR e - s >= 14400""")
 def stream_keys(spark, sf_dir):
-    """Input events as keystrokes in ten-hour windows."""
-    keys = _stream(spark, sf_dir).where("event_type = 'INPUT_ACTIVITY'").withColumn("ended", F.lit(None).cast("timestamp"))
-    return _into_parquet(spark, I.typing_counts(keys, "at", "10 hours", _HOUR), "keys")
+    """Input events in ten-hour windows; a fifth of them say that the session ends twenty minutes later."""
+    ended = F.when(F.col("k") % 5 == 0, F.col("at") + F.expr("INTERVAL 20 MINUTES"))
+    keys = _stream(spark, sf_dir).where("event_type = 'INPUT_ACTIVITY'").withColumn("ended", ended)
+    out = _windows(spark, I.typing_counts(keys, "at", "10 hours", _HOUR, 14_400.0), "keys", ["session_id", "window_start"])
+    return out.withColumn("window_s", r6("window_s"))
 
 
 @query()
@@ -89,7 +118,8 @@ def stream_drift(spark, sf_dir):
     reference = scored(valid_events(spark, sf_dir))
     rate = D.review_rate(reference, 0.05)
     path = sinks.new_folder(spark, "drift")
-    report = lambda rows: D.drift_report(reference, rows, ["p", "load"], 0.05, "lighting", rate)
+    shares = cut_lineage(D.reference_shares(D.long_features(reference, ["p", "load"])))  # once, not in every micro-batch
+    report = lambda rows: D.drift_report(None, rows, ["p", "load"], 0.05, "lighting", rate, shares=shares)
     I.drift(scored(_stream(spark, sf_dir)), report, path, sinks.new_folder(spark, "drift-checkpoint"))
     return spark.read.parquet(path).select("batch", "sessions", r6("max_psi").alias("max_psi"), r6("review_rate").alias("review_rate"), r6("clean_fpr").alias("clean_fpr"))
 
@@ -98,14 +128,12 @@ def stream_drift(spark, sf_dir):
 def score_directory(spark, sf_dir):
     """Session records written as text by session, scored with the baseline weights as a linear model."""
     path = sinks.new_folder(spark, "sessions")
-    numbered = F.concat_ws("\t", F.col("event_seq").cast("string"), C.canonical_json())
-    records = valid_events(spark, sf_dir).select("session_id", "event_seq", numbered.alias("value"))
-    # ranged by session and order: a busy session is written by several tasks, each line carries its place
+    records = valid_events(spark, sf_dir).select("session_id", "event_seq", C.canonical_json().alias("value"))
+    # ranged by session and order: a busy session is written by several tasks, whose part names keep the order
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    records.repartitionByRange(parts, "session_id", "event_seq").drop("event_seq").write.partitionBy("session_id").text(path)
-    lines = spark.read.schema("value STRING, session_id STRING").text(path).select(
-        "session_id", F.substring_index("value", "\t", 1).cast("bigint").alias("index"),
-        F.substring(F.col("value"), F.instr("value", "\t") + 1, F.length("value")).alias("event"))
+    ranged = records.repartitionByRange(parts, "session_id", "event_seq").sortWithinPartitions("session_id", "event_seq")
+    ranged.drop("event_seq").write.partitionBy("session_id").text(path)
+    lines = FL.read_session_parts(spark, path)
     model = S.RiskModel(list(R.RULE_WEIGHTS), list(R.RULE_WEIGHTS.values()), R.RULE_BIAS, {}, [0.0] * len(R.RULE_WEIGHTS))
     meta = valid_events(spark, sf_dir).select("session_id").distinct().withColumn("duration_s", F.lit(B.TICKS * B.STEP_MS / 1000.0))
     scored, failed = V.score_records(lines, meta, model, B.STEP_MS, B.LATE_MS)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewrank.functions.prefix import Ordered
+
 FLAT_SCHEMA = (
     "session_id STRING, ts_ms BIGINT, channel STRING, detector STRING, detector_version STRING, event_type STRING, "
     "confidence DOUBLE, p0 DOUBLE, p1 DOUBLE, p2 DOUBLE, p3 DOUBLE, label STRING, usable BOOLEAN, frame_blur DOUBLE, "
@@ -28,24 +30,40 @@ def session_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FLAT_SCHEMA).parquet(path).select("session_id", F.col("_metadata.file_name").alias("file")).distinct()
 
 
+def numbered_lines(files: DataFrame, session_id: Column) -> DataFrame:
+    """``session_id, index, event`` of text files read line by line; ``index`` is the line's place among those not blank.
+
+    A line's place follows from its file, the start of its block and its order inside the block, so files of any
+    size are read in parts.
+    """
+    placed = files.select(
+        session_id.alias("session_id"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"), F.col("value").alias("event"),
+    ).where(F.trim("event") != "")
+    order = [F.col(c) for c in ("_file", "_block", "_row")]
+    numbered = Ordered(placed, ["session_id"], order).running(sums={"_nth": F.lit(1)})
+    return numbered.select("session_id", (F.col("_nth") - 1).cast("bigint").alias("index"), "event")
+
+
+def read_session_parts(spark: SparkSession, path: str) -> DataFrame:
+    """Numbered lines of ``<path>/session_id=<session>/<parts>``, the parts in the order of their names."""
+    return numbered_lines(spark.read.schema("value STRING, session_id STRING").text(path), F.col("session_id"))
+
+
 def read_session_folder(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``(events, meta)`` of a folder of ``<session>.jsonl`` / ``<session>.json`` / ``<session>.meta.json``.
 
-    Events are one row per record (``session_id, index, event``); a ``.json`` file holds one JSON list.
+    Events are one row per record (``session_id, index, event``); ``index`` is a record's place in its file.  A ``.json``
+    file holds one JSON list and is parsed as a whole, so the format bounds it by a task's memory; ``.jsonl`` has no bound.
     """
     name = F.col("_metadata.file_name")
-    lines = (
-        spark.read.option("pathGlobFilter", "*.jsonl").text(path)
-        .where(F.trim("value") != "")
-        .select(F.regexp_replace(name, r"\.jsonl$", "").alias("session_id"), F.lit(None).cast("int").alias("index"),
-                F.col("value").alias("event"))
-    )
+    lines = numbered_lines(spark.read.option("pathGlobFilter", "*.jsonl").text(path), F.regexp_replace(name, r"\.jsonl$", ""))
     whole = spark.read.option("pathGlobFilter", "*.json").option("wholetext", True).text(path)
     named = whole.select(name.alias("file"), "value")
     lists = named.where(~F.col("file").endswith(".meta.json")).select(
         F.regexp_replace("file", r"\.json$", "").alias("session_id"),
         F.posexplode_outer(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")).alias("index", "event"),
-    ).select("session_id", "index", F.col("event").cast("string").alias("event"))
+    ).select("session_id", F.col("index").cast("bigint").alias("index"), F.col("event").cast("string").alias("event"))
     meta = named.where(F.col("file").endswith(".meta.json")).select(
         F.regexp_replace("file", r"\.meta\.json$", "").alias("session_id"),
         F.get_json_object("value", "$.duration_s").cast("double").alias("duration_s"))

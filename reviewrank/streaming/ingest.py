@@ -21,6 +21,25 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
     q.awaitTermination()
 
 
+def run_windows(df: DataFrame, path: str, checkpoint: str) -> None:
+    """Write every micro-batch's new or changed windows, then stop.
+
+    Windows still open at the end of the input are written too; each micro-batch owns a folder and replaces it when it
+    is run again.  :func:`latest` reads the newest version of every window.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    q = df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def latest(written: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per window of what :func:`run_windows` wrote: that of the last micro-batch that changed it."""
+    values = [c for c in written.columns if c not in (*keys, "batch_id")]
+    return written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_v")).select(*keys, "_v.*")
+
+
 def run_batches(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Hand every micro-batch to ``each``, then stop."""
     q = df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

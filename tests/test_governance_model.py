@@ -111,3 +111,13 @@ def test_illegal_transitions_across_chunks(spark, tiny_tasks):
     bad = [(r["from_status"], r["status"]) for r in H.illegal_transitions(hist, ["i"]).collect()]
     want = [(a, b) for a, b in zip(path, path[1:], strict=False) if b not in R.TRANSITIONS[a]]
     assert sorted(bad) == sorted(want)
+
+
+def test_a_missing_value_weighs_no_more_than_the_largest_seen(spark):
+    rows = [(f"s{i}", int(i % 3 == 0), float(i % 3 == 0) + 0.1, 5.0 - 4 * (i % 3 == 0) + i % 2) for i in range(90)]
+    frame = spark.createDataFrame(rows, "session_id STRING, y INT, a DOUBLE, b DOUBLE")
+    model = T.fit_linear(frame, ["a", "b"], {"a": 1, "b": -1})
+    assert model.caps == {"b": 6.0} and model.weights[1] < 0
+    asked = spark.createDataFrame([("null", 1.1, None), ("most", 1.1, 6.0), ("beyond", 1.1, 1e9), ("low", 1.1, 1.0)], "session_id STRING, a DOUBLE, b DOUBLE")
+    raw = {r["session_id"]: r["raw"] for r in S.score(asked, model).collect()}
+    assert raw["null"] == raw["most"] == raw["beyond"] < raw["low"] and raw["null"] > 1e-4

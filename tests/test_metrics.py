@@ -146,3 +146,26 @@ def test_spearman_with_ties(spark):
 
     pdf = pd.DataFrame(rows, columns=["y", "a", "c"])
     assert got["a"] == pytest.approx(pdf["a"].rank().corr(pdf["y"].rank())) and got["c"] is None
+
+
+def test_running_sum_starts_at_zero_before_the_first_value(spark, tiny_tasks):
+    df = spark.createDataFrame([(None, i, v) for i, v in enumerate([None, None, 5, None, 2])], "k STRING, i INT, v INT")
+    out = Ordered(df, ["k"], [F.col("i")])
+    assert [r["s"] for r in out.running(sums={"s": F.col("v")}).orderBy("i").collect()] == [0, 0, 5, 5, 7]
+    assert [r["m"] for r in out.running(maxes={"m": F.col("v")}).orderBy("i").collect()] == [None, None, 5, 5, 5]
+    assert [r["a"] for r in out.neighbours(prev={"a": F.col("v")}).orderBy("i").collect()] == [None, None, None, 5, None]
+
+
+def test_bootstrap_knows_which_side_of_the_threshold_a_row_is(spark):
+    # all scores share one bin; half of the clean rows are above the threshold
+    rows = [(0, 0.50020), (0, 0.50080)] * 400 + [(1, 0.5009)] * 50
+    out = {r["metric"]: r for r in M.bootstrap_ci(spark.createDataFrame(rows, "y INT, p DOUBLE"), 0.5005, replicates=200).collect()}
+    assert 0.42 < out["fpr"]["low"] < 0.5 < out["fpr"]["high"] < 0.58 and out["recall"]["low"] == out["recall"]["high"] == 1.0
+
+
+def test_equal_drift_goes_to_the_first_monitored_feature(spark):
+    rows = [(1, i % 2, 0.1 + 0.8 * (i % 10) / 10, float(i % 7), "x") for i in range(60)]
+    df = spark.createDataFrame(rows, "batch INT, y INT, p DOUBLE, load DOUBLE, lighting STRING")
+    for order in (["p", "load"], ["load", "p"]):
+        got = D.drift_report(df.drop("batch"), df, order, 0.5, "lighting", 0.5).first()
+        assert got["max_psi_feature"] == order[0] and got["psi_by_feature"].keys() == {"p", "load"} and list(got["slice_fpr"]) == ["x"]

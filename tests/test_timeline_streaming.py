@@ -49,10 +49,13 @@ def test_folder_of_sessions(spark, flat, tmp_path):
     (tmp_path / "xyz.json").write_text("[" + ",".join(lines[:5]) + ', {"schema": "v0"}]')
     (tmp_path / "bad.jsonl").write_text("{oops\n")
     records, meta = FL.read_session_folder(spark, str(tmp_path))
-    from pyspark.sql import functions as F
-
-    records = records.withColumn("index", F.coalesce(F.col("index").cast("bigint"), F.monotonically_increasing_id()))
+    assert [r["index"] for r in records.where("session_id = 'abc'").orderBy("index").collect()] == list(range(20))
     model = S.RiskModel(list(R.RULE_WEIGHTS), list(R.RULE_WEIGHTS.values()), R.RULE_BIAS, {}, [0.0] * len(R.RULE_WEIGHTS))
     scored, failed = V.score_records(records, meta, model)
     assert {r["session_id"] for r in scored.collect()} == {"abc", "xyz"}
+    (tmp_path / "same.json").write_text("[" + ",".join(lines) + "]")
+    (tmp_path / "same.meta.json").write_text('{"duration_s": 40}')
+    scored, _ = V.score_records(*FL.read_session_folder(spark, str(tmp_path)), model)
+    rows = {r["session_id"]: r.asDict() | {"session_id": None} for r in scored.drop("flags").collect()}
+    assert rows["same"] == rows["abc"]  # a list and lines of the same records
     assert [(r["session_id"], r["error"]) for r in failed.collect()] == [("bad", "1 records are not JSON")]
