@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import datetime
-import json
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewrank.functions import registry as R
@@ -89,32 +90,43 @@ def without_holdout(df: DataFrame, splits: DataFrame) -> DataFrame:
     return df.join(splits.where("split = 'holdout'").select("session_id"), "session_id", "left_anti")
 
 
+_LOG = "claim STRING, purpose STRING, operator STRING, accessed_at STRING"
+
+
 def open_holdout(
     splits: DataFrame, expected_hash: str, log_path: str, purpose: str, operator: str, digits: int = 3
 ) -> DataFrame:
-    """The holdout ids, after checking purpose, earlier accesses and the hash; the access is logged first."""
-    spark = splits.sparkSession
-    if len(purpose.strip()) < 10:
-        raise ValueError("state the purpose of this holdout access (>= 10 characters)")
-    done = accesses(spark, log_path).count()
-    if done >= R.MAX_HOLDOUT_ACCESSES:
-        raise HoldoutSealed(f"the sealed holdout was already accessed {done} times; access refused")
-    ids = splits.where("split = 'holdout'").select("session_id")
-    if ids_hash(ids, "session_id", digits).first()["ids_sha256"] != expected_hash:
-        raise HoldoutSealed("holdout hash mismatch: the split list was modified")
-    entry = {"access_no": done + 1, "purpose": purpose.strip(), "operator": operator,
-             "accessed_at": datetime.datetime.now(datetime.timezone.utc).isoformat()}
-    small_table(spark, [{"value": json.dumps(entry)}], "value STRING").write.mode("append").text(log_path)
-    return ids
+    """The ids of the sealed holdout, for one of the few accesses there are.
+
+    Every caller first appends a claim to the log and only then counts the claims; with its own among more than
+    the limit it is refused.  Of any callers, however they overlap, the last to append sees all claims before it, so
+    no more than the limit are ever let in; two that race for the last place may both be refused.
+    """
+    held = splits.where("split = 'holdout'").select("session_id")
+    problems = {
+        "a purpose of at least ten characters is asked for": len(purpose.strip()) < 10,
+        "the holdout is not the sealed one: its hash differs": ids_hash(held, "session_id", digits).first()["ids_sha256"] != expected_hash,
+    }
+    for what, found in problems.items():
+        if found:
+            raise (ValueError if "purpose" in what else HoldoutSealed)(what)
+    now = datetime.datetime.now(datetime.timezone.utc).isoformat()
+    claim = {"claim": uuid.uuid4().hex, "purpose": purpose.strip(), "operator": operator, "accessed_at": now}
+    small_table(splits.sparkSession, [claim], _LOG).write.mode("append").json(log_path)
+    if (n := splits.sparkSession.read.schema(_LOG).json(log_path).count()) > R.MAX_HOLDOUT_ACCESSES:
+        raise HoldoutSealed(f"all {R.MAX_HOLDOUT_ACCESSES} accesses of the holdout are claimed ({n} claims in the log)")
+    return held
 
 
 def accesses(spark: SparkSession, log_path: str) -> DataFrame:
-    """The access log; empty when nothing was logged yet."""
-    schema = "access_no INT, purpose STRING, operator STRING, accessed_at STRING"
-    path = spark._jvm.org.apache.hadoop.fs.Path(log_path)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).json(log_path)
+    """The log of accesses in order, refused claims left out; empty where nothing was logged yet."""
+    try:
+        claims = spark.read.schema(_LOG).json(log_path)
+    except AnalysisException:  # no log yet
+        claims = spark.createDataFrame([], _LOG)
+    # a handful of rows: claims end at the limit and its refusals
+    numbered = claims.withColumn("access_no", F.row_number().over(Window.orderBy("accessed_at", "claim")))
+    return numbered.where(F.col("access_no") <= R.MAX_HOLDOUT_ACCESSES).select("access_no", "purpose", "operator", "accessed_at")
 
 
 def script_intervals(episodes: DataFrame, sessions: DataFrame) -> DataFrame:

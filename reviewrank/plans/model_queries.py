@@ -92,7 +92,7 @@ def reasons(spark, sf_dir):
     rows = _means(spark, sf_dir)
     cells = F.array(*[F.struct(
         F.lit(f"{s}__mean").alias("feature"),
-        F.when(F.col(f"{s}__mean") > 0, S.reason_text(f"{s}__mean", True)).otherwise(S.reason_text(f"{s}__mean", False)).alias("explanation")) for s in _MEANS])
+        S.reason(f"{s}__mean", F.col(f"{s}__mean") > 0).alias("explanation")) for s in _MEANS])
     return rows.select("session_id", F.explode(cells).alias("x")).select("session_id", "x.*")
 
 
@@ -125,9 +125,10 @@ def rule_score(spark, sf_dir):
     return _rule_frame(spark, sf_dir).select("session_id", r6(S.rule_score()).alias("score"))
 
 
+_SAID = {f: R.PHRASES[f if f in R.PHRASES else f.split("__")[0]].replace("'", "''") for f in R.RULE_WEIGHTS}
 _RULE_LONG = " UNION ALL ".join(
-    f"SELECT session_id, {i} AS i, '{f}' AS feature, {w} * {f} AS v, CASE WHEN {w} * {f} > 0 THEN '{S.reason_text(f, True).replace(chr(39), chr(39) * 2)}' "
-    f"ELSE '{S.reason_text(f, False).replace(chr(39), chr(39) * 2)}' END AS explanation FROM rf" for i, (f, w) in enumerate(R.RULE_WEIGHTS.items()))
+    f"SELECT session_id, {i} AS i, '{f}' AS feature, {w} * {f} AS v, CASE WHEN {w} * {f} > 0 THEN 'Raised the score: {_SAID[f]}.' "
+    f"ELSE 'Lowered the score: little evidence that {_SAID[f]}.' END AS explanation FROM rf" for i, (f, w) in enumerate(R.RULE_WEIGHTS.items()))
 
 
 @query(f"""{_RULE_SQL}, lg AS ({_RULE_LONG}), d AS (SELECT *, row_number() OVER (PARTITION BY session_id, explanation ORDER BY abs(v) DESC, i) AS dup FROM lg),
