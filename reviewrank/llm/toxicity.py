@@ -1,7 +1,7 @@
 """Toxicity by a learned lexicon, misspellings included.
 
-Terms are learned from labelled rows: whole words and word beginnings that occur in toxic texts far more than chance
-and in clean ones hardly ever, counted over all rows and only where their neighbours differ.  At scoring time a
+Terms are learned from a bounded sample of labelled rows: whole words and word beginnings that occur in toxic texts far
+more than chance and in clean ones hardly ever, and only where their neighbours differ.  At scoring time a
 Levenshtein automaton of each word walks the lexicon's trie, so a misspelled term costs one walk and no enumeration.
 Each hit is weighed by its context window (quotation marks and reporting words against it, further hits for it), and a
 logistic model turns the sums into a score.
@@ -31,7 +31,7 @@ MIN_CONTEXTS = 6  # different neighbouring words a term must have been seen with
 MIN_SHARE = 0.9  # of a term's occurrences that lie in toxic texts
 MIN_EVIDENCE = 12.0  # log likelihood ratio against the base rate
 PREFIXES = range(3, 9)  # lengths of word beginnings that may be terms
-FIT_ROWS = 20_000  # most labelled rows the logistic model is fitted on, taken by hash; the lexicon sees all of them
+FIT_ROWS = 40_000  # most labelled rows that lexicon and logistic model are fitted on, taken by hash
 WINDOW = 6  # words on each side of a hit
 FUZZY_LENGTH = 5  # words of at least so many letters may differ by one edit from a term
 CACHED_WORDS, COUNTED_WORDS = 300_000, 400_000  # words a worker keeps at a time; more only cost speed
@@ -41,12 +41,17 @@ _WORD = re.compile(r"[^\W\d_]+")
 FEATURES = ("exact", "fuzzy", "quoted", "dense", "share")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(doc_id, text, toxic)`` of labelled rows outside the held-out fold; equal texts count once."""
-    usable = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = own_columns(docs, "doc_id", "text").join(usable, "doc_id")
-    # pre-aggregated by hash so that a text with very many copies is counted once
-    return rows.groupBy(F.xxhash64("text").alias("text_hash"), F.col("text")).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFrame:
+    """``(text, toxic)`` of labelled rows outside the held-out fold: all, or about ``most`` taken by the hash of their ids.
+
+    At most ``most`` ids with their labels are broadcast, so no text is shuffled to meet its label.
+    """
+    usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    usable = cut_lineage(usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
+    n = usable.count()
+    if n > most:
+        usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < int(0.97 * most)).limit(most)
+    return own_columns(docs, "doc_id", "text").join(F.broadcast(usable), "doc_id").select("text", "toxic")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -244,9 +249,9 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> tuple[float, ...]:
-    """Newton's method; without both labels the weights are zero and the bias is the smoothed base rate."""
-    rate = (y.sum() + 0.5) / (len(y) + 1.0)
+def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> tuple[float, ...]:
+    """Newton's method on rows that count ``n`` times; without both labels the weights are zero and the bias is the smoothed base rate."""
+    rate = ((n * y).sum() + 0.5) / (n.sum() + 1.0)
     w = np.zeros(x.shape[1] + 1)
     w[0] = math.log(rate / (1 - rate))
     if 0 < y.sum() < len(y):
@@ -254,27 +259,29 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int =
         penalty = ridge * np.diag([0.0] + [1.0] * x.shape[1])
         for _ in range(steps):
             p = 1 / (1 + np.exp(-np.clip(full @ w, -30, 30)))
-            step = np.linalg.solve((full * (p * (1 - p))[:, None]).T @ full + penalty + 1e-9 * np.eye(len(w)), full.T @ (p - y) + penalty @ w)
+            step = np.linalg.solve((full * (n * p * (1 - p))[:, None]).T @ full + penalty + 1e-9 * np.eye(len(w)), full.T @ (n * (p - y)) + penalty @ w)
             w -= np.clip(step, -5, 5)
     return tuple(float(v) for v in w)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Lexicon from the counts of all labelled training rows, then the logistic model on at most :data:`FIT_ROWS` of them."""
+    """Lexicon and logistic model from at most :data:`FIT_ROWS` labelled rows outside the held-out fold.
+
+    Copies of a text add no evidence to a term: they repeat its neighbours, and terms need several.
+    """
     train = cut_lineage(training_rows(docs, labels))
     terms = learn_terms(cut_lineage(term_counts(train)))
     shipped = docs.sparkSession.sparkContext.broadcast(terms)
-    n = train.count()
-    some = train if n <= FIT_ROWS else train.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < int(FIT_ROWS * 0.97)).limit(FIT_ROWS)
 
     def rows_of():
         lexicon = Lexicon(shipped.value)
         return lambda b: [(*lexicon.features(t), y) for t, y in zip(b["text"], b["toxic"], strict=True)]
 
     ddl = ", ".join(f"{f} double" for f in FEATURES) + ", toxic double"
-    rows = map_rows(some.select("text", F.col("toxic").cast("double").alias("toxic")), ddl, rows_of).collect()
-    held = np.array([tuple(r) for r in rows], float).reshape(-1, len(FEATURES) + 1)
-    return Model(terms, fit_logistic(held[:, :-1], held[:, -1]))
+    rows = map_rows(train.select("text", F.col("toxic").cast("double").alias("toxic")), ddl, rows_of)
+    # equal rows are added up first: most texts have no hit at all
+    held = np.array([tuple(r) for r in rows.groupBy(*FEATURES, "toxic").count().collect()], float).reshape(-1, len(FEATURES) + 2)
+    return Model(terms, fit_logistic(held[:, : len(FEATURES)], held[:, -2], held[:, -1]))
 
 
 _LEXICONS: dict[int, Lexicon] = {}
