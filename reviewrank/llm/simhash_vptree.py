@@ -9,12 +9,13 @@ own tree down to small blocks, where distances are computed.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewrank.llm.common import map_rows, own_columns
@@ -31,6 +32,8 @@ VANTAGES = 8  # candidates tried per node
 DEDUP_SHINGLE, DEDUP_LIKENESS = 5, 0.8
 SAMPLES, SAMPLE_SIZE = 10, 3  # at a likeness of 0.8 a pair shares no sample with a chance of (1 - 0.8 ** 3) ** 10 < 0.001
 LEADERS = 3
+FIRST_LEADERS = 16  # of a key in the first exact round
+ORDER_TEXTS, ORDER_SHINGLES = 65_536, 65_536  # texts read and shingles kept to put frequent shingles last
 _ODD = [(0x9E3779B97F4A7C15 * (2 * j + 1) ^ (j << 40)) % (1 << 64) | 1 for j in range(SAMPLES)]
 
 
@@ -301,13 +304,115 @@ def _same_key(names: DataFrame, keys: dict) -> DataFrame:
     return names.select("no_id", F.coalesce("doc_id", F.lit(0)), "text_hash").toDF(*keys)
 
 
+def _least_shared(a: Column, b: Column, least: float) -> Column:
+    """Shingles that texts of ``a`` and ``b`` shingles share at least, to have a likeness of ``least``."""
+    return (a + b) * (least / (1 + least)) - 1e-6
+
+
+def _frequent(held: DataFrame, k: int, sample: int = ORDER_TEXTS, most: int = ORDER_SHINGLES) -> np.ndarray:
+    """The shingles found most often in a bounded sample of texts, the rarest of them first.
+
+    They only set the order of :func:`_postings`: any order finds the same pairs, a good one with fewer comparisons.
+    """
+    n = held.count()
+    share = min(1.0, sample / max(1, n))
+    some = held.where(F.pmod(F.xxhash64("text_hash"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else held
+
+    def rows_of():
+        return lambda b: [(h,) for t in b["text"] for h in shingle_hashes(t, k).view(np.int64).tolist()]
+
+    counted = map_rows(some, "key long", rows_of).groupBy("key").count().where("count > 2")
+    rows = counted.orderBy(F.col("count").desc(), "key").limit(most).collect()
+    return np.array([r[0] for r in reversed(rows)], np.int64).view(np.uint64)
+
+
+def _postings(held: DataFrame, k: int, least: float) -> DataFrame:
+    """``(key, text_hash, n, at)``: the first shingles of each text in one order of all shingles, frequent ones last.
+
+    Texts with a likeness of ``least`` share one of the first ``n - ceil(least * n) + 1`` of their ``n`` shingles.  ``at``
+    is its place; texts whose first common shingle is this one share at most ``n - at``.
+    """
+    shipped = held.sparkSession.sparkContext.broadcast(_frequent(held, k))
+
+    def rows_of():
+        order = np.argsort(shipped.value)
+        known = shipped.value[order]
+
+        def each(b):
+            out = []
+            for h, t in zip(b["text_hash"], b["text"], strict=True):
+                mine = shingle_hashes(t, k)
+                n = len(mine)
+                if not n:
+                    out.append((0, h, 0, 0))  # texts without words are alike
+                    continue
+                rank = np.full(n, -1, np.int64)
+                if len(known):
+                    near = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+                    rank = np.where(known[near] == mine, order[near], -1)
+                first = mine[np.lexsort((mine, rank))][: n - math.ceil(least * n - 1e-6) + 1]
+                out += [(key, h, n, at) for at, key in enumerate(first.view(np.int64).tolist())]
+            return out
+
+        return each
+
+    return map_rows(held, "key long, text_hash long, n int, at int", rows_of)
+
+
+def _rooted(links: DataFrame) -> DataFrame:
+    return cut_lineage(connected_components(links).withColumnRenamed("node", "text_hash"))
+
+
+def _with_root(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots, "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash"))
+
+
+def link_all(held: DataFrame, links: DataFrame, k: int = DEDUP_SHINGLE, least: float = DEDUP_LIKENESS, first: int = FIRST_LEADERS) -> DataFrame:
+    """``links`` and more of them, until all texts of ``held(text_hash, text)`` with a likeness of ``least`` are connected.
+
+    Texts meet by the keys of :func:`_postings`.  Under a key, those already connected need no comparison: all members
+    outside the key's largest group are compared with all of other groups, a share of them a round so that links found
+    meanwhile save the rest.  The share grows fourfold, and the rounds end when no key is left with two groups.
+    """
+    alive = cut_lineage(_postings(held, k, least))
+    tested, n = None, first
+    while True:
+        roots = _rooted(links)
+        alive = _with_root(alive.select("key", "text_hash", "n", "at"), roots)
+        groups = alive.groupBy("key", "root").agg(F.count("*").alias("size"))
+        keys = groups.groupBy("key").agg(F.sum("size").alias("all"), F.max(F.struct("size", "root")).alias("big")).where("all > big.size")
+        keys = keys.select("key", F.col("big.root").alias("big"), (F.col("all") - F.col("big.size")).alias("outside"))
+        alive = alive.join(keys, "key")
+        dice = F.pmod(F.xxhash64("text_hash", "key", F.lit(n)), F.lit(1 << 20))
+        alive = cut_lineage(alive.withColumn("leads", (F.col("root") != F.col("big")) & (dice * F.col("outside") < F.lit(n << 20))))
+        if alive.isEmpty():
+            return links
+        lead = alive.where("leads").select("key", *[F.col(c).alias(f"{c}_b") for c in ("text_hash", "n", "at", "root")])
+        least_of = F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b"))
+        met = alive.alias("x").join(
+            lead.alias("y"),
+            (F.col("x.key") == F.col("y.key")) & (F.col("root") != F.col("root_b")) & (least_of >= _least_shared(F.col("n"), F.col("n_b"), least)),
+        )
+        pairs = met.select(F.least("text_hash", "text_hash_b").alias("a"), F.greatest("text_hash", "text_hash_b").alias("b")).distinct()
+        pairs = cut_lineage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = cut_lineage(links.unionByName(_alike(_with_texts(pairs, held), k, least)))
+        alive = alive.where("not leads")
+        n *= 4
+
+
+def _with_texts(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    text_of = lambda c, to: held.select(F.col("text_hash").alias(c), F.col("text").alias(to))
+    return pairs.join(text_of("a", "x"), "a").join(text_of("b", "y"), "b").select("a", "b", "x", "y")
+
+
 def near_texts(docs: DataFrame, r: int = RADIUS, k: int = DEDUP_SHINGLE, least: float = DEDUP_LIKENESS) -> DataFrame:
     """``(text_hash, best)``: for every distinct text the smallest ``(no id, doc_id, text_hash)`` of its group.
 
     Texts link if their SimHashes over ``k``-word shingles differ in at most ``r`` bits, or if the SimHashes of one of
     several min-wise samples are equal and the Jaccard likeness of their shingles, taken from the whole texts, is ``least`` or
-    more.  Of those that share a sample, a text is compared with the smallest ``doc_id`` and with :data:`LEADERS` more,
-    chosen anew by hash for every sample, never with all of them.
+    more.  Of those that share a sample, a text is first compared with the smallest ``doc_id`` and with :data:`LEADERS`
+    more; all texts of samples that this leaves in several groups go on to :func:`link_all`.
     """
     docs = own_columns(docs, "doc_id", "text")
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
@@ -331,24 +436,30 @@ def near_texts(docs: DataFrame, r: int = RADIUS, k: int = DEDUP_SHINGLE, least:
     lead_of = lambda c: leads.select(F.col("fp").alias(c), F.col("lead").alias(f"{c}_lead"))
     close = close.join(lead_of("a"), "a").join(lead_of("b"), "b").select(F.col("a_lead").alias("a"), F.col("b_lead").alias("b"))
 
-    drawn = texts.select("name", F.posexplode("samples").alias("j", "sample"))
+    members = texts.select("name", F.posexplode("samples").alias("j", "sample"))
     dealt = [F.struct(F.xxhash64("name.text_hash", "j", F.lit(n)).alias("h"), "name") for n in range(LEADERS)]
     leaders = F.array(F.min("name"), *[F.min(d)["name"] for d in dealt])  # mergeable: a group is never gathered
-    first = drawn.groupBy("j", "sample").agg(F.count("*").alias("n"), F.array_distinct(leaders).alias("first")).where("n > 1")
-    drawn = drawn.join(first, ["j", "sample"]).select("name", F.explode("first").alias("first"))
+    first = members.groupBy("j", "sample").agg(F.count("*").alias("n"), F.array_distinct(leaders).alias("first")).where("n > 1")
+    members = cut_lineage(members.join(first, ["j", "sample"]))
+    drawn = members.select("name", F.explode("first").alias("first"))
     drawn = cut_lineage(drawn.where("name.text_hash <> first.text_hash").distinct())
-    wanted = drawn.select("name.*").unionByName(drawn.select("first.*")).distinct()
     keyed, keys = _keyed(docs)
-    held = keyed.join(_same_key(wanted, keys), list(keys), "left_semi").dropDuplicates(list(keys)).select("_text", "text")
-    held = cut_lineage(held)
-    text_of = lambda c, to: held.select(F.col("_text").alias(c), F.col("text").alias(to))
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        held = keyed.join(_same_key(wanted, keys), list(keys), "left_semi").dropDuplicates(list(keys))
+        return cut_lineage(held.select(F.col("_text").alias("text_hash"), "text"))
+
+    held = texts_of(drawn.select("name.*").unionByName(drawn.select("first.*")).distinct())
     pairs = drawn.select(F.col("name.text_hash").alias("a"), F.col("first.text_hash").alias("b"))
-    sampled = _alike(pairs.join(text_of("a", "x"), "a").join(text_of("b", "y"), "b").select("a", "b", "x", "y"), k, least)
+    links = cut_lineage(same.where("a <> b").unionByName(close).unionByName(_alike(_with_texts(pairs, held), k, least)))
+
+    roots = _rooted(links)
+    members = _with_root(members.select("j", "sample", "n", "name", F.col("name.text_hash").alias("text_hash")).where("n > 2"), roots)
+    several = members.groupBy("j", "sample").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    rest = members.join(several, ["j", "sample"], "left_semi").select("name.*").distinct()
+    links = link_all(texts_of(rest), links, k, least)
 
-    links = cut_lineage(same.where("a <> b").unionByName(close).unionByName(sampled))
-    member = cut_lineage(connected_components(links))
-    grouped = texts.select("text_hash", "name").join(member.withColumnRenamed("node", "text_hash"), "text_hash", "left")
-    grouped = grouped.withColumn("root", F.coalesce("root", "text_hash"))
+    grouped = _with_root(texts.select("text_hash", "name"), _rooted(links))
     best = grouped.groupBy("root").agg(F.min("name").alias("best"))
     return grouped.join(best, "root").select("text_hash", "best")
 

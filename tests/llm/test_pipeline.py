@@ -91,3 +91,48 @@ def test_registered():
     names = [n for n in queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names if n[2].isdigit()) == list(range(1, 11))
     assert "pipeline" in queries() and "op10_tool_calls" in oracle_sql()
+
+
+def test_near_copies_behind_a_shared_passage_are_found(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    passage, texts = [word() for _ in range(150)], []
+    for _ in range(150):
+        own = [word() for _ in range(40)]
+        copy = list(own)
+        copy[20:22] = [word(), word()]
+        copy[5] = word()
+        texts += [" ".join(passage + own), " ".join(passage + copy)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash_vptree.drop_near_duplicates(frame).collect()}
+    assert kept == set(plain_groups(rows).values()) and len(kept) == 150
+
+
+def test_exact_links_equal_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda: rng.choice("abcdef")
+    texts = ["", " "] + [" ".join(word() for _ in range(rng.randint(1, 7))) for _ in range(40)]
+    base = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(120)]
+    for n in range(100):
+        own = list(base[: rng.choice([60, 100, 120])])
+        for _ in range(rng.randint(0, 4)):
+            own[rng.randrange(len(own))] = f"w{rng.randint(0, 40)}"
+        texts.append(" ".join(own))
+    texts = list(dict.fromkeys(texts))
+    held = spark.createDataFrame(list(enumerate(texts)), "text_hash long, text string")
+    none = spark.createDataFrame([], "a long, b long")
+    links = simhash_vptree.link_all(held, none, first=1).collect()
+    sets = [shingles(t) for t in texts]
+    near = lambda x, y: x == y or (bool(x | y) and len(x & y) / len(x | y) >= 0.8)
+    assert all(near(sets[a], sets[b]) for a, b in links)
+    joined = simhash_vptree.connected_components(spark.createDataFrame(links, "a long, b long")).collect()
+    got = {r.node: r.root for r in joined}
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if near(sets[i], sets[j]) and want[i] != want[j]:
+                low, high = sorted((want[i], want[j]))
+                want = [low if w == high else w for w in want]
+    assert [got.get(i, i) for i in range(len(texts))] == want
