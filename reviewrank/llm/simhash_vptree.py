@@ -409,10 +409,10 @@ def _with_texts(pairs: DataFrame, held: DataFrame) -> DataFrame:
 def near_texts(docs: DataFrame, r: int = RADIUS, k: int = DEDUP_SHINGLE, least: float = DEDUP_LIKENESS) -> DataFrame:
     """``(text_hash, best)``: for every distinct text the smallest ``(no id, doc_id, text_hash)`` of its group.
 
-    Texts link if their SimHashes over ``k``-word shingles differ in at most ``r`` bits, or if the SimHashes of one of
-    several min-wise samples are equal and the Jaccard likeness of their shingles, taken from the whole texts, is ``least`` or
-    more.  Of those that share a sample, a text is first compared with the smallest ``doc_id`` and with :data:`LEADERS`
-    more; all texts of samples that this leaves in several groups go on to :func:`link_all`.
+    Texts link if the Jaccard likeness of their ``k``-word shingles, taken from the whole texts, is ``least`` or more.
+    Compared are texts whose SimHashes are equal, whole or of one of several min-wise samples, and such as the tree joins at
+    ``r`` bits.  Of those with an equal SimHash, a text is first compared with the smallest ``doc_id`` and with
+    :data:`LEADERS` more; all texts of those that this leaves in several groups go on to :func:`link_all`.
     """
     docs = own_columns(docs, "doc_id", "text")
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
@@ -430,18 +430,17 @@ def near_texts(docs: DataFrame, r: int = RADIUS, k: int = DEDUP_SHINGLE, least:
     name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     texts = every.groupBy("text_hash").agg(F.min(name).alias("name"), F.first("fp").alias("fp"), F.first("samples").alias("samples"))
     texts = cut_lineage(texts)
-    leads = cut_lineage(texts.groupBy("fp").agg(F.min("name").alias("lead")).select("fp", F.col("lead.text_hash").alias("lead")))
-    same = texts.join(leads, "fp").select(F.col("text_hash").alias("a"), F.col("lead").alias("b"))
+    leads = cut_lineage(texts.groupBy("fp").agg(F.min("name").alias("lead")))
     close = near_links(leads.select("fp"), r)
     lead_of = lambda c: leads.select(F.col("fp").alias(c), F.col("lead").alias(f"{c}_lead"))
-    close = close.join(lead_of("a"), "a").join(lead_of("b"), "b").select(F.col("a_lead").alias("a"), F.col("b_lead").alias("b"))
+    close = close.join(lead_of("a"), "a").join(lead_of("b"), "b").select(F.col("a_lead").alias("name"), F.col("b_lead").alias("first"))
 
-    members = texts.select("name", F.posexplode("samples").alias("j", "sample"))
+    members = texts.select("name", F.posexplode(F.concat("samples", F.array("fp"))).alias("j", "sample"))
     dealt = [F.struct(F.xxhash64("name.text_hash", "j", F.lit(n)).alias("h"), "name") for n in range(LEADERS)]
     leaders = F.array(F.min("name"), *[F.min(d)["name"] for d in dealt])  # mergeable: a group is never gathered
     first = members.groupBy("j", "sample").agg(F.count("*").alias("n"), F.array_distinct(leaders).alias("first")).where("n > 1")
     members = cut_lineage(members.join(first, ["j", "sample"]))
-    drawn = members.select("name", F.explode("first").alias("first"))
+    drawn = members.select("name", F.explode("first").alias("first")).unionByName(close)
     drawn = cut_lineage(drawn.where("name.text_hash <> first.text_hash").distinct())
     keyed, keys = _keyed(docs)
 
@@ -451,7 +450,7 @@ def near_texts(docs: DataFrame, r: int = RADIUS, k: int = DEDUP_SHINGLE, least:
 
     held = texts_of(drawn.select("name.*").unionByName(drawn.select("first.*")).distinct())
     pairs = drawn.select(F.col("name.text_hash").alias("a"), F.col("first.text_hash").alias("b"))
-    links = cut_lineage(same.where("a <> b").unionByName(close).unionByName(_alike(_with_texts(pairs, held), k, least)))
+    links = cut_lineage(_alike(_with_texts(pairs, held), k, least))
 
     roots = _rooted(links)
     members = _with_root(members.select("j", "sample", "n", "name", F.col("name.text_hash").alias("text_hash")).where("n > 2"), roots)

@@ -96,7 +96,7 @@ def test_registered():
 def test_near_copies_behind_a_shared_passage_are_found(spark):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
-    passage, texts = [word() for _ in range(150)], []
+    passage, texts = [word() for _ in range(200)], []
     for _ in range(150):
         own = [word() for _ in range(40)]
         copy = list(own)
@@ -136,3 +136,12 @@ def test_exact_links_equal_brute_force(spark):
                 low, high = sorted((want[i], want[j]))
                 want = [low if w == high else w for w in want]
     assert [got.get(i, i) for i in range(len(texts))] == want
+
+
+def test_texts_with_one_repeated_line_are_not_near(spark):
+    rng = random.Random(13)
+    prose = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60))
+    texts = [f"{prose()} " + "one " * 200 for _ in range(3)]
+    assert len({simhash_vptree.fingerprint(t, 5) for t in texts}) == 1
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash_vptree.drop_near_duplicates(frame).count() == 3
