@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from reviewrank.llm import (
-    elias_fano, forced_bpe, jump_sharding, license_scan, simhash_vptree, spaced_seeds, tool_calls, toxicity, winnowing, wordpiece_counts,
+    elias_fano, forced_bpe, jump_sharding, license_scan, simhash_vptree, source_mixing, spaced_seeds, tool_calls, toxicity, winnowing,
+    wordpiece_counts,
 )
 from reviewrank.llm.common import read
 
@@ -81,3 +82,12 @@ def op10_tool_calls(spark, sf_dir):
 
 
 ORACLES["op10_tool_calls"] = tool_calls.ORACLE_SQL
+
+
+@query
+def op13_source_mixing(spark, sf_dir):
+    """Words a mix of all sources takes from each document."""
+    return source_mixing.taken_words(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_source_mixing"] = source_mixing.ORACLE_SQL
