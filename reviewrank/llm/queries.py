@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from reviewrank.llm import (
-    elias_fano, forced_bpe, jump_sharding, license_scan, simhash_vptree, source_mixing, spaced_seeds, tool_calls, toxicity, winnowing,
-    wordpiece_counts,
+    elias_fano, forced_bpe, jump_sharding, license_scan, simhash_vptree, source_mixing, spaced_seeds, spelling, tool_calls, toxicity,
+    winnowing, wordpiece_counts,
 )
 from reviewrank.llm.common import read
 
@@ -84,6 +84,12 @@ def op10_tool_calls(spark, sf_dir):
 ORACLES["op10_tool_calls"] = tool_calls.ORACLE_SQL
 
 
+@query
+def op11_spelling_variants(spark, sf_dir):
+    """Words of all documents with their neighbours one edit apart, forms and roots."""
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 @query
 def op13_source_mixing(spark, sf_dir):
     """Words a mix of all sources takes from each document."""
