@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from reviewrank.llm import (
-    elias_fano, forced_bpe, jump_sharding, license_scan, simhash_vptree, source_mixing, spaced_seeds, spelling, tool_calls, toxicity,
-    winnowing, wordpiece_counts,
+    elias_fano, forced_bpe, jump_sharding, license_scan, simhash_vptree, source_mixing, spaced_seeds, spelling, token_alignment,
+    tool_calls, toxicity, winnowing, wordpiece_counts,
 )
 from reviewrank.llm.common import read
 
@@ -90,6 +90,12 @@ def op11_spelling_variants(spark, sf_dir):
     return spelling.variants(read(spark, sf_dir, "documents"))
 
 
+@query
+def op12_token_alignment(spark, sf_dir):
+    """All documents with the tokens of two tokenizers aligned, and corpus counts of the id pairs linked in them."""
+    return token_alignment.aligned_documents(read(spark, sf_dir, "documents"))
+
+
 @query
 def op13_source_mixing(spark, sf_dir):
     """Words a mix of all sources takes from each document."""

@@ -89,8 +89,8 @@ def test_stages_keep_columns_and_take_empty_tables(spark):
 
 def test_registered():
     names = [n for n in queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n[2].isdigit()) == list(range(1, 11))
-    assert "pipeline" in queries() and "op10_tool_calls" in oracle_sql()
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n[2].isdigit()) == list(range(1, 14))
+    assert "pipeline" in queries() and {"op10_tool_calls", "op13_source_mixing"} <= set(oracle_sql())
 
 
 def test_near_copies_behind_a_shared_passage_are_found(spark):
