@@ -23,7 +23,7 @@ def field_table(spark: SparkSession) -> DataFrame:
             {
                 "name": f["name"], "kind": f["kind"], "slot": f["slot"],
                 "lo": None if f["lo"] is None else float(f["lo"]), "hi": None if f["hi"] is None else float(f["hi"]),
-                "lo_text": f["lo"], "hi_text": f["hi"], "allowed": f["allowed"],
+                "lo_text": None if f["lo"] is None else str(f["lo"]), "hi_text": None if f["hi"] is None else str(f["hi"]), "allowed": f["allowed"],
                 "listed": f["allowed"] and _listed(f["allowed"]),
             }
             for f in t["fields"]

@@ -128,22 +128,26 @@ def signal_lanes(events: DataFrame, lengths: DataFrame, bin_ms: int = R.LANE_MS)
 def event_log(events: DataFrame, grid: DataFrame, step_ms: int = 1000) -> DataFrame:
     """``session_id, t, end, kind, text``: everything a reviewer reads, one row per entry."""
     none = F.lit(None).cast("bigint")
-    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("text")
+
+    def text(name: str, *values: Column) -> Column:
+        """The sentence with its gaps filled."""
+        first, *rest = R.LOG_SENTENCES[name].split("{}")
+        return F.concat(F.lit(first), *[p for v, r in zip(values, rest, strict=True) for p in (v, F.lit(r))]).alias("text")
+
     took = duration_text((F.col("end_ms") - F.col("start_ms")) / 1000)
     row = lambda df, t, end, kind, txt: df.select(
         "session_id", t.alias("t"), end.alias("end"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), txt)
 
     tab = toggle_pairs(events, "TAB_VISIBILITY", 1.0)
     full = toggle_pairs(events, "FULLSCREEN_CHANGE", 0.0).where("end_ms IS NOT NULL")
-    left = F.when(F.col("end_ms").isNull(), F.lit("Left the exam tab and did not return before the end")).otherwise(
-        F.concat(F.lit("Left the exam tab; returned after "), took)).alias("text")
+    left = F.when(F.col("end_ms").isNull(), text("tab_open")).otherwise(text("tab", took)).alias("text")
     start, end = F.col("start_ms"), F.col("end_ms")
     et, p0 = F.col("event_type"), F.col("p0").cast("bigint").cast("string")
     single = (
-        F.when(et == "PASTE", F.struct(F.lit("screen").alias("kind"), text("Pasted ", p0, " characters into an answer")))
-        .when((et == "MONITOR_COUNT") & (F.col("p0") >= 2), F.struct(F.lit("device").alias("kind"), text(p0, " displays connected")))
+        F.when(et == "PASTE", F.struct(F.lit("screen").alias("kind"), text("paste", p0)))
+        .when((et == "MONITOR_COUNT") & (F.col("p0") >= 2), F.struct(F.lit("device").alias("kind"), text("monitors", p0)))
         .when((et == "LIVENESS_CHECK") & (F.col("p1") == 0),
-              F.struct(F.lit("liveness").alias("kind"), text("Liveness check failed (no blink in the last minute)")))
+              F.struct(F.lit("liveness").alias("kind"), text("liveness")))
     )
     points = events.select("session_id", "ts_ms", single.alias("e")).where("e IS NOT NULL")
     sound = F.coalesce(*[F.when(F.col("label") == k, F.lit(v)) for k, v in R.SOUND_NAMES.items()], F.col("label"))
@@ -160,9 +164,9 @@ def event_log(events: DataFrame, grid: DataFrame, step_ms: int = 1000) -> DataFr
     episodes = runs.where(length >= least)
     branches = [
         row(tab, start, end, "screen", left),
-        row(full, start, end, "screen", text("Left full-screen mode for ", took)),
+        row(full, start, end, "screen", text("full", took)),
         row(points, F.col("ts_ms"), none, F.col("e.kind"), F.col("e.text").alias("text")),
-        row(sound_runs(events), start, end, "sound", text(sound, " heard for ", took)),
+        row(sound_runs(events), start, end, "sound", text("sound", sound, took)),
         row(episodes, F.col("start") * step_ms, F.col("end") * step_ms, channel, capitalized(sentence).alias("text")),
     ]
     out = branches[0]

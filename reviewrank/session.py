@@ -58,6 +58,33 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that cut lineage like :func:`cut_lineage` and go once nothing reads them any more.
+
+    A table may be dropped as soon as every table made from it is written: recovery then starts from those files.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._paths = spark, {}
+
+    def cut(self, df: DataFrame, *replaced: DataFrame) -> DataFrame:
+        """Write ``df`` and read it back, then drop the tables it replaces."""
+        path = f"{shared_dir(self.spark)}/cut-{uuid.uuid4().hex}"
+        df.write.mode("errorifexists").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(out)] = (out, path)
+        self.drop(*replaced)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove the files of tables made here; others are left alone."""
+        for table in tables:
+            _, path = self._paths.pop(id(table), (None, None))
+            if path is not None:
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small_table(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
     """A fixed lookup table held in the plan itself (no job, no Python worker)."""
     schema = StructType.fromDDL(ddl)
