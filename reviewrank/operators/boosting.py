@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from reviewrank.functions.reshape import long_format
 from reviewrank.operators import metrics as M
 from reviewrank.session import Scratch
 
@@ -82,12 +83,14 @@ def bin_edges(train: DataFrame, features: list[str], bins: int = BINS) -> dict[s
     """
     half = max(1, bins // 2)
     probs = F.array(*[F.lit(i / half) for i in range(half)])
-    cells = [F.struct(F.percentile_approx(f, probs, 1000).alias("all"), F.percentile_approx(F.when(F.col(f) > 0, F.col(f)), probs, 1000).alias("some")).alias(f) for f in features]
-    row = train.agg(*cells, *[F.max(f).alias(f"{f}!") for f in features]).first()  # two short lists a feature
+    value = F.col("value").cast("double")
+    some = F.percentile_approx(F.when(value > 0, value), probs, 1000)
+    aggs = [F.percentile_approx(value, probs, 1000).alias("all"), some.alias("some"), F.max(value).alias("top")]
+    row = {r["feature"]: r for r in long_format(train, [], features).groupBy("feature").agg(*aggs).collect()}  # two short lists a feature
     out = {}
     for f in features:
-        points = {float(v) for part in (row[f]["all"], row[f]["some"]) for v in part or []}
-        out[f] = sorted(v for v in points if v < row[f"{f}!"])[: bins - 1]
+        points = {float(v) for part in (row[f]["all"], row[f]["some"]) for v in part or []} if f in row else set()
+        out[f] = sorted(v for v in points if v < row[f]["top"])[: bins - 1]
     return out
 
 
@@ -205,7 +208,10 @@ def _split(sums: np.ndarray, sign: int, low: float, high: float, v: Variant) ->
 
 
 def best_splits(partial: DataFrame, bounds: dict[tuple[int, int], tuple[float, float]], signs: list[int], variants: list[Variant]) -> list:
-    """The best split of every (variant, node), as rows; nodes without one are missing."""
+    """The best split of every (variant, node), as rows; nodes without one are missing.
+
+    Every task that brings sums together returns its best of each node.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int, int], np.ndarray] = {}
@@ -222,9 +228,12 @@ def best_splits(partial: DataFrame, bounds: dict[tuple[int, int], tuple[float, f
             names = [c.split()[0] for c in _BEST.split(", ")]
             yield pa.RecordBatch.from_pandas(pd.DataFrame(list(best.values()), columns=names).astype({c: "int32" for c in ("variant", "node", "feature", "code")}), preserve_index=False)
 
-    each = partial.repartition("variant", "node", "feature").mapInArrow(run, _BEST)
-    place = F.struct("gain", -F.col("feature"), -F.col("code"))
-    return each.groupBy("variant", "node").agg(F.max_by(F.struct(*each.columns[2:]), place).alias("s")).select("variant", "node", "s.*").collect()
+    best = {}
+    for r in partial.repartition("variant", "node", "feature").mapInArrow(run, _BEST).collect():
+        key = (r["variant"], r["node"])
+        if key not in best or (r["gain"], -r["feature"]) > (best[key]["gain"], -best[key]["feature"]):
+            best[key] = r
+    return [best[k] for k in sorted(best)]
 
 
 def _tried(v: Variant, index: dict[str, int], edges: dict[str, list[float]], number: int) -> list[int]:
@@ -350,6 +359,30 @@ def _advanced(rows: DataFrame, width: int, pending: dict[int, list[Tree]]) -> Da
 
 
 # ---- using ----
+def scored(frame: DataFrame, features: list[str], ensembles: list[Ensemble], names: list[str], keep: list[str]) -> DataFrame:
+    """``variant, keep..., p``: the scores of every row by every ensemble, from values."""
+    types = ", ".join(f"`{n}` {t}" for n, t in frame.select(*keep).dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.column_stack([b.column(len(keep) + j).to_numpy(zero_copy_only=False) for j in range(len(features))])
+            for name, e in zip(names, ensembles, strict=True):
+                p = 1 / (1 + np.exp(-(e.base + sum((_reached(x, t) for t in e.trees), np.zeros(len(x))))))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(x)), *[b.column(i) for i in range(len(keep))], pa.array(p)], names=["variant", *keep, "p"])
+
+    return frame.select(*keep, *[F.col(f).cast("double") for f in features]).mapInArrow(run, f"variant string, {types}, p double")
+
+
+def _reached(x: np.ndarray, tree: Tree) -> np.ndarray:
+    """The tree's value of every row of ``x``."""
+    at, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+    feature, cut = np.array(tree.feature), np.array(tree.cut)
+    for _ in range(_depth(tree)):
+        f = feature[at]
+        at = np.where(f < 0, at, 2 * at + 1 + (x[rows, np.maximum(f, 0)] > cut[at]))
+    return np.array(tree.value)[at]
+
+
 def tree_column(tree: Tree, features: list[str], fixed: dict[str, float] | None = None, node: int = 0) -> Column | float:
     """A tree's value of a row, with some features fixed; a number where nothing of the row matters."""
     f = tree.feature[node]

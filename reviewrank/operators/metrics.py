@@ -6,8 +6,6 @@ Everything that needs an order first counts rows per distinct score, then runs o
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +30,11 @@ def score_counts(scored: DataFrame, keys: list[str]) -> DataFrame:
 
 def curve(scored: DataFrame, keys: list[str]) -> DataFrame:
     """Score counts with ``tp`` and ``fp`` accepted at or above each score."""
-    return Ordered(score_counts(scored, keys), keys, [F.col("p").desc()]).running(
-        sums={"tp": F.col("pos"), "fp": F.col("neg")})
+    return run_counts(score_counts(scored, keys), keys)
+
+
+def run_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    return Ordered(counts, keys, [F.col("p").desc()]).running(sums={"tp": F.col("pos"), "fp": F.col("neg")})
 
 
 def ranking(scored: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -152,10 +153,11 @@ def cost_curve(calibration: DataFrame, validation: DataFrame, ratios: list[int]
         (1000 * (F.col("fp_to_fn_cost_ratio") * F.col("fp") + F.col("fn")) / F.col("n")).alias("val_expected_cost_per_1000"))
 
 
-def by_factor(scored: DataFrame, factors: list[str]) -> DataFrame:
-    """``factor, level, y, p`` rows, one per factor."""
+def by_factor(scored: DataFrame, factors: list[str], keys: list[str] | None = None) -> DataFrame:
+    """``keys, factor, level, y, p`` rows, one per factor."""
+    keys = keys or []
     cells = [F.struct(F.lit(f).alias("factor"), F.col(f).cast("string").alias("level")) for f in factors]
-    return exploded(scored, ["y", "p"], F.array(*cells), "s").select("s.factor", "s.level", "y", "p")
+    return exploded(scored, [*keys, "y", "p"], F.array(*cells), "s").select(*keys, "s.factor", "s.level", "y", "p")
 
 
 def slice_metrics(scored: DataFrame, factors: list[str], threshold: float, underpowered: int = 300) -> DataFrame:
@@ -169,12 +171,13 @@ def slice_metrics(scored: DataFrame, factors: list[str], threshold: float, under
     return ranked.drop("roc_auc").join(cal, keys).join(plain, keys).withColumn("underpowered", F.col("n") < underpowered)
 
 
-def fpr_disparity(scored: DataFrame, factors: list[str], threshold: float) -> DataFrame:
+def fpr_disparity(scored: DataFrame, factors: list[str], threshold: float, keys: list[str] | None = None) -> DataFrame:
     """Largest over smallest smoothed FPR of each factor; NULL with fewer than two levels."""
-    clean = by_factor(scored, factors).where("y = 0").groupBy("factor", "level").agg(
+    keys = keys or []
+    clean = by_factor(scored, factors, keys).where("y = 0").groupBy(*keys, "factor", "level").agg(
         F.count("*").alias("n"), F.count(F.when(above(threshold), 1)).alias("fp"))
     smooth = (F.col("fp") + 1) / (F.col("n") + 2)
-    return clean.groupBy("factor").agg(
+    return clean.groupBy(*keys, "factor").agg(
         F.when(F.count("*") > 1, F.max(smooth) / F.min(smooth)).alias("fpr_disparity"))
 
 
@@ -237,37 +240,3 @@ def metric_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Two ``keys, value`` sets side by side with the absolute difference; a one-sided row has NULL."""
     left, right = a.withColumnRenamed("value", "left_value"), b.withColumnRenamed("value", "right_value")
     return left.join(right, keys, "full_outer").withColumn("diff", F.abs(F.col("left_value") - F.col("right_value")))
-
-
-def binned_counts(scored: DataFrame, bins: int = 1000) -> DataFrame:
-    """At most ``bins + 1`` rows of class counts over equal score bins, for resampling."""
-    return scored.groupBy(F.floor(clip(F.col("p"), 0.0, 1.0) * bins).alias("bin")).agg(
-        F.sum(F.col("y").cast("bigint")).alias("pos"), F.sum(1 - F.col("y").cast("bigint")).alias("neg"), F.avg("p").alias("p"))
-
-
-def bootstrap_ci(scored: DataFrame, threshold: float, replicates: int = 1000, bins: int = 1000, seed: int = 0) -> DataFrame:
-    """95 % intervals of average precision, recall and FPR.
-
-    A Poisson bootstrap: the resampled size of a group of n equal rows is Poisson(n), so replicates are
-    drawn on the binned counts, not on the rows; the bin that holds the threshold is cut at it, so recall and FPR are
-    exact.  Groups handed to Python have at most ``bins + 2`` rows.
-    """
-    hit = F.col("p") >= threshold
-    counted = scored.groupBy(F.floor(clip(F.col("p"), 0.0, 1.0) * bins).alias("bin"), hit.alias("hit")).agg(
-        F.sum(F.col("y").cast("bigint")).alias("pos"), F.sum(1 - F.col("y").cast("bigint")).alias("neg"))
-    spread = counted.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["bin", "hit"], ascending=False)
-        rng = np.random.default_rng([seed, int(pdf["replicate"].iloc[0])])
-        pos, neg = rng.poisson(pdf["pos"].to_numpy()), rng.poisson(pdf["neg"].to_numpy())
-        tp, fp, hit = pos.cumsum(), neg.cumsum(), pdf["hit"].to_numpy()
-        ap = float((pos * tp / np.maximum(tp + fp, 1)).sum() / pos.sum()) if pos.sum() else np.nan
-        recall = float(pos[hit].sum() / pos.sum()) if pos.sum() else np.nan
-        fpr = float(neg[hit].sum() / neg.sum()) if neg.sum() else np.nan
-        return pd.DataFrame({"metric": ["pr_auc", "recall", "fpr"], "value": [ap, recall, fpr]})
-
-    drawn = spread.groupBy("replicate").applyInPandas(one, "metric string, value double")
-    q = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975)))  # at most `replicates` values per metric
-    return drawn.where(~F.isnan("value")).groupBy("metric").agg(q.alias("q")).select(
-        "metric", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))

@@ -8,6 +8,7 @@ from reviewrank.functions import registry as R
 from reviewrank.functions.scalars import wilson_low as wilson
 from reviewrank.operators import drift as D
 from reviewrank.operators import metrics as M
+from reviewrank.operators import resampling as Z
 from reviewrank.plans.catalog import query, r6, sql_r6
 from reviewrank.sources import bridge as B
 
@@ -271,4 +272,13 @@ def metric_diff(spark, sf_dir):
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    return M.bootstrap_ci(B.scored_rows(spark, sf_dir), THR)
+    """95 % intervals of the headline metrics over all distinct scores."""
+    return Z.ranking_intervals(B.scored_rows(spark, sf_dir), THR)
+
+
+@query()
+def slice_intervals(spark, sf_dir):
+    """95 % intervals of the FPR of every slice level, and of the disparity of each factor (no level)."""
+    rows = B.scored_rows(spark, sf_dir)
+    gap = Z.disparity_intervals(rows, ["lang", "source"], THR).withColumn("level", F.lit(None).cast("string"))
+    return Z.slice_fpr_intervals(rows, ["lang", "source"], THR).unionByName(gap)

@@ -213,8 +213,8 @@ def risk_model(spark, sf_dir):
 @query()
 def contributions(spark, sf_dir):
     model = trained(spark, sf_dir)
-    ready = S.ready(training_rows(spark, sf_dir), model)
-    return ready.select("session_id", F.explode(S.top_reasons(S.contributions(model))).alias("x")).select("session_id", "x.*")
+    ready, parts = S.with_contributions(S.ready(training_rows(spark, sf_dir), model), model)
+    return ready.select("session_id", F.explode(S.top_reasons(parts)).alias("x")).select("session_id", "x.*")
 
 
 @query()

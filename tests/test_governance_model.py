@@ -1,12 +1,16 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from reviewrank.functions import registry as R
+from reviewrank.operators import boosting
 from reviewrank.operators import governance as H
+from reviewrank.operators import metrics as M
 from reviewrank.operators import scoring as S
 from reviewrank.operators import training as T
+from tests.test_calibration import plain_isotonic
 
 
 def units(spark, n=2000):
@@ -81,10 +85,21 @@ def feature_rows(spark, n=400):
     return spark.createDataFrame(rows, "session_id STRING, y INT, split STRING, " + ", ".join(f"`{f}` DOUBLE" for f in names))
 
 
-def test_missing_channels_never_raise_the_score(spark):
+@pytest.mark.parametrize("family", ["trees", "linear"])
+def test_missing_channels_never_raise_the_score(spark, family):
     names = [f for f in R.model_features() if f.endswith("__mean") or f.startswith(("unk_", "x_"))]
     frame = feature_rows(spark).select("session_id", "y", "split", *names).persist()
-    model = T.train(frame, names, [0.03], replicates=10)
+    if family == "trees":
+        model = T.train(frame, names, ({"least_rows": 10, "rate": 0.2},), replicates=10, most_trees=20)
+        assert model.trees and model.caps is None
+        line = T.fit_linear(frame.where("split = 'train'"), names, model.directions)
+        ap = {m: M.ranking(S.score(frame.where("split = 'validation'"), x).select("y", F.col("raw").alias("p"))).first()["pr_auc"] for m, x in (("trees", model), ("line", line))}
+        assert ap["trees"] >= ap["line"] - 0.02 and ap["trees"] == pytest.approx(model.notes["trials"][0]["val_pr_auc"])
+        prepared, parts = S.with_contributions(S.ready(frame, model), model)
+        total = S.tree_sum(list(parts.values())) + F.lit(boosting.expected(model.trees, model.intercept))
+        assert prepared.where(F.abs(total - S.margin(model)) > 1e-9).count() == 0 and prepared.count() == 400
+    else:
+        model = T.train(frame, names, [0.03], replicates=10, family="linear")
     assert all(w >= 0 if model.directions[f] > 0 else w <= 0 for f, w in zip(model.features, model.weights, strict=True) if model.directions[f])
     assert model.tiers["ROUTINE_REVIEW"] <= model.tiers["HUMAN_REVIEW"] <= model.tiers["PRIORITY_REVIEW"]
     test = {r["channel"]: r for r in T.missing_channel_test(frame, model).collect()}
@@ -121,3 +136,35 @@ def test_a_missing_value_weighs_no_more_than_the_largest_seen(spark):
     asked = spark.createDataFrame([("null", 1.1, None), ("most", 1.1, 6.0), ("beyond", 1.1, 1e9), ("low", 1.1, 1.0)], "session_id STRING, a DOUBLE, b DOUBLE")
     raw = {r["session_id"]: r["raw"] for r in S.score(asked, model).collect()}
     assert raw["null"] == raw["most"] == raw["beyond"] < raw["low"] and raw["null"] > 1e-4
+
+
+def test_ablations_and_mitigation_share_their_passes(spark):
+    names = ["phone__mean", "phone__w10_max", "bn_yaw_abs__w60_max", "tab_hidden__mean", "foreign__mean", "unk_device", *R.RULE_WEIGHTS]
+    names = list(dict.fromkeys(names))
+    frame = feature_rows(spark, 320).select("session_id", "y", "split", *names)
+    got = {r["variant"]: r for r in T.ablations(frame, names, ["environment", "screen"], most_trees=10).collect()}
+    assert set(got) == {"all features", "without environment", "without screen", "baseline normalisation off", "whole-session only", "whole-session + 10 s",
+                        "whole-session + 60 s", "whole-session + 300 s", "logistic regression", "rule baseline"}
+    assert got["without environment"]["val_pr_auc"] < got["all features"]["val_pr_auc"] and got["all features"]["n_features"] == len(names)
+    assert all(0 <= r["val_fpr_at_op"] <= 1 and 0 <= r["val_recall_at_op"] <= 1 for r in got.values())
+    cells = frame.withColumn("light", F.when(F.col("phone__mean") > 0.2, "dim").otherwise("bright"))
+    out = T.mitigation(cells, names, ["light"], ["light"], most_trees=10).collect()
+    assert {(r["variant"], r["factor"]) for r in out} == {("before", "light"), ("after", "light")}
+
+
+def test_operating_point_equals_the_calibrated_threshold(spark, tiny_tasks):
+    rng = random.Random(5)
+    rows = [(v, rng.random() < 0.3, s, round(rng.random() ** 2, 2)) for v in "ab" for s in ("calibration", "validation") for _ in range(150)]
+    rows += [("none", True, s, 0.5) for s in ("calibration", "validation")]
+    frame = spark.createDataFrame([(v, int(y), s, p) for v, y, s, p in rows], "variant STRING, y INT, split STRING, p DOUBLE")
+    got = T.operating_points(frame, 0.1).collect()
+    for v in "ab":
+        cal = [(y, p) for w, y, s, p in rows if w == v and s == "calibration"]
+        xs, want = plain_isotonic(np.array([p for _, p in cal]), np.array([int(y) for y, _ in cal]))
+        mapped = lambda p: np.interp(p, xs, want)  # noqa: B023, E731
+        clean = sorted((mapped(p) for y, p in cal if not y), reverse=True)
+        cut = clean[int(0.1 * len(clean))]
+        for r in got:
+            if r["variant"] == v:
+                assert r["flagged"] == (mapped(r["p"]) > cut + 1e-12)
+    assert [r["flagged"] for r in got if r["variant"] == "none"] == [True]

@@ -10,6 +10,7 @@ from reviewrank.functions.scalars import wilson_low
 from reviewrank.operators import drift as D
 from reviewrank.operators import intervals as X
 from reviewrank.operators import metrics as M
+from reviewrank.operators import resampling as Z
 
 
 def scored(spark, n=400, seed=1, digits=2):
@@ -157,9 +158,9 @@ def test_running_sum_starts_at_zero_before_the_first_value(spark, tiny_tasks):
 
 
 def test_bootstrap_knows_which_side_of_the_threshold_a_row_is(spark):
-    # all scores share one bin; half of the clean rows are above the threshold
+    # half of the clean rows are above the threshold
     rows = [(0, 0.50020), (0, 0.50080)] * 400 + [(1, 0.5009)] * 50
-    out = {r["metric"]: r for r in M.bootstrap_ci(spark.createDataFrame(rows, "y INT, p DOUBLE"), 0.5005, replicates=200).collect()}
+    out = {r["metric"]: r for r in Z.ranking_intervals(spark.createDataFrame(rows, "y INT, p DOUBLE"), 0.5005, replicates=200).collect()}
     assert 0.42 < out["fpr"]["low"] < 0.5 < out["fpr"]["high"] < 0.58 and out["recall"]["low"] == out["recall"]["high"] == 1.0
 
 
