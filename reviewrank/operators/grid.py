@@ -19,9 +19,13 @@ _AUDIO_SEEN, _AUDIO_GONE, _SCREEN_GONE = "_audio", "_audio_gone", "_screen_gone"
 
 def late_flags(events: DataFrame, window_ms: int = R.LATE_WINDOW_MS, arrival: list[str] | None = None) -> DataFrame:
     """Add ``late``: the event is older than the newest one seen before it, minus the window."""
+    return with_newest(events, "_newest", arrival).withColumn("late", F.col("ts_ms") < F.col("_newest") - window_ms).drop("_newest")
+
+
+def with_newest(events: DataFrame, name: str, arrival: list[str] | None = None) -> DataFrame:
+    """Add the newest time up to each event of its session, in arrival order."""
     order = [F.col(c) for c in (arrival or ["arrival_ms", "event_seq"])]
-    seen = Ordered(events, ["session_id"], order).running(maxes={"_newest": F.col("ts_ms")})
-    return seen.withColumn("late", F.col("ts_ms") < F.col("_newest") - window_ms).drop("_newest")
+    return Ordered(events, ["session_id"], order).running(maxes={name: F.col("ts_ms")})
 
 
 def default_lengths(events: DataFrame, step_ms: int = 1000) -> DataFrame:

@@ -16,6 +16,7 @@ from reviewrank.sources import flat as FL
 from reviewrank.sources import sinks
 from reviewrank.session import cut_lineage
 from reviewrank.streaming import ingest as I
+from reviewrank.streaming import ledger as L
 
 _EV = f"WITH {B.SQL_EVENTS}"
 _HOUR = "1 hour"
@@ -42,6 +43,28 @@ def stream_late(spark, sf_dir):
     return out.where("late").select("event_seq", "session_id", "ts_ms")
 
 
+@query(f"""{_EV}, o AS (SELECT *, max(ts_ms) OVER (PARTITION BY session_id ORDER BY arrival_ms, event_seq
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS newest FROM ev)
+SELECT event_seq, session_id, ts_ms, coalesce(ts_ms < newest - {B.LATE_MS}, false) AS late FROM o""")
+def stream_split_late(spark, sf_dir):
+    """The same rule with state in tables: every event comes out, accepted or late."""
+    base = sinks.new_folder(spark, "late-split")
+    L.split_late(_stream(spark, sf_dir), base, sinks.new_folder(spark, "late-split-checkpoint"), B.LATE_MS)
+    of = lambda name, late: spark.read.schema("event_seq BIGINT, session_id STRING, ts_ms BIGINT").parquet(f"{base}/{name}").withColumn("late", F.lit(late))
+    return of("accepted", False).unionByName(of("late", True)).select("event_seq", "session_id", "ts_ms", "late")
+
+
+@query(f"""{_EV} SELECT CAST(count(*) FILTER (WHERE k % 50 > 1) AS BIGINT) AS accepted, CAST(count(*) FILTER (WHERE k % 50 > 1) AS BIGINT) AS duplicates,
+  CAST(2 * count(*) FILTER (WHERE k % 50 <= 1) AS BIGINT) AS dead FROM ev""")
+def stream_balance(spark, sf_dir):
+    """Every event sent twice: accepted, duplicate and dead rows add up to what arrived."""
+    once = _stream(spark, sf_dir).withColumn("event_uid", F.concat(F.lit("event-"), F.col("event_seq").cast("string")))
+    sent = once.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    base = sinks.new_folder(spark, "balance")
+    L.ingest_all(sent, base, sinks.new_folder(spark, "balance-checkpoint"), F.col("ts_ms"), 100 * L.RETRY_MS)
+    return L.balance(spark, base).agg(*[F.sum(c).alias(c) for c in ("accepted", "duplicates", "dead")])
+
+
 @query(f"""{_EV} SELECT coalesce(CASE k % 50 WHEN 0 THEN 'confidence out of [0,1]' WHEN 1 THEN concat('unknown channel; ', event_type, ' on wrong channel') END, 'accepted') AS outcome,
   CAST(count(*) AS BIGINT) AS n FROM ev GROUP BY 1""")
 def stream_ingest(spark, sf_dir):
