@@ -193,3 +193,21 @@ def illegal_transitions(history: DataFrame, order: list[str]) -> DataFrame:
         "from_status STRING, status STRING, _ok BOOLEAN")
     steps = Ordered(history, ["session_id"], [F.col(c) for c in order]).neighbours(prev={"from_status": F.col("status")})
     return steps.where("from_status IS NOT NULL").join(F.broadcast(edges), ["from_status", "status"], "left_anti")
+
+
+def content_digest(df: DataFrame, columns: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """``by, rows, content_sha256``: a digest of the rows as a set with repeats, whatever their order, files and partitions.
+
+    Every row's SHA-256 is cut into four numbers, and each is summed: sums merge in any order, and a changed, doubled or
+    missing row changes them.  A row is its values in ``columns`` (all, by name), each with its length in front and null
+    apart, so that no two different rows read alike.
+    """
+    by, names = by or [], sorted(columns or [c for c in df.columns if c not in (by or [])])
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    cells = [F.coalesce(F.concat(F.length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("-")) for c in names]
+    digest = F.sha2(F.concat_ws("|", *cells), 256)
+    parts = [F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)") for i in range(4)]
+    summed = df.select(*by, *[p.alias(f"_p{i}") for i, p in enumerate(parts)]).groupBy(*by).agg(
+        F.count("*").alias("rows"), *[F.coalesce(F.sum(f"_p{i}"), F.lit(0)).cast("decimal(38,0)").alias(f"_p{i}") for i in range(4)])
+    joined = F.concat_ws("|", F.col("rows").cast("string"), *[F.col(f"_p{i}").cast("string") for i in range(4)])
+    return summed.select(*by, "rows", F.sha2(joined, 256).alias("content_sha256"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewrank.functions import registry as R
+from reviewrank.session import small_table
 
 FACTORS = [
     "lighting", "webcam_class", "room_noise", "connection_stability", "eyewear", "head_covering", "behavior_profile",
@@ -120,9 +121,10 @@ def eligible(sessions: DataFrame, min_duration_s: float = 1200.0) -> DataFrame:
 
 
 def coverage_grid(rows: DataFrame, lightings: tuple = ("bright", "normal", "dim"), webcams: tuple = ("hd", "sd", "low")) -> DataFrame:
-    """Sessions per lighting and webcam with zeros, as one row per known lighting."""
+    """Sessions per lighting and webcam, with zeros, as one row per known lighting, whether it has sessions or not."""
+    known = small_table(rows.sparkSession, [{"lighting": x} for x in lightings], "lighting STRING")
     counts = rows.groupBy("lighting").pivot("webcam_class", list(webcams)).count()
-    return counts.where(F.col("lighting").isin(list(lightings))).na.fill(0, list(webcams)).select("lighting", *webcams)
+    return known.join(counts, "lighting", "left").na.fill(0, list(webcams)).select("lighting", *webcams)
 
 
 def coverage_summary(rows: DataFrame, target: int = 60) -> DataFrame:

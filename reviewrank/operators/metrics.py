@@ -6,8 +6,13 @@ Everything that needs an order first counts rows per distinct score, then runs o
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from reviewrank.functions import registry as R
 from reviewrank.functions.prefix import Ordered, exact_quantiles
@@ -215,8 +220,42 @@ def spearman(wide: DataFrame, columns: list[str], label: str = "y") -> DataFrame
     return s.select("feature", F.when(var > 0, cov / var).alias("rho"))
 
 
-def ks_test(a: DataFrame, b: DataFrame, columns: list[str], least: int = 5) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov statistic per column with the asymptotic p-value."""
+def exact_ks_p(ks: float, n: int, m: int) -> float:
+    """The chance of a statistic of ``ks`` or more between samples of ``n`` and ``m`` from one distribution, without ties.
+
+    An order of both samples is a path through an ``n`` by ``m`` lattice, all equally likely; the statistic stays below
+    ``ks`` on the paths that keep ``|i / n - j / m|`` below it.  Those are counted row by row: a row is the running sum of
+    the one before, cut to the band.  Counts are scaled as they grow.
+    """
+    bound = round(ks * n * m)  # in steps of 1 / (n * m)
+    if bound <= 0:
+        return 1.0
+    j = np.arange(m + 1)
+    row, scale = (j * n < bound).astype(float), 0.0
+    for i in range(1, n + 1):
+        inside = np.abs(i * m - j * n) < bound
+        row = np.cumsum(np.where(inside, row, 0.0))
+        row = np.where(inside, row, 0.0)
+        top = row.max()
+        if top <= 0:
+            return 1.0
+        row, scale = row / top, scale + math.log(top)
+    paths = math.lgamma(n + m + 1) - math.lgamma(n + 1) - math.lgamma(m + 1)
+    within = math.exp(math.log(row[m]) + scale - paths) if row[m] > 0 else 0.0
+    return min(1.0, max(0.0, 1.0 - within))
+
+
+def ks_report(tested: DataFrame, top: int = 15, level: float = 0.01) -> tuple[DataFrame, DataFrame]:
+    """The ``top`` columns of :func:`ks_test` that differ most (ties by name), and how many are below ``level``."""
+    below = tested.agg(F.count("*").alias("compared"), F.count(F.when(F.col("p_value") < level, 1)).alias("differing"))
+    return tested.orderBy(F.col("ks").desc(), "feature").limit(top), below
+
+
+def ks_test(a: DataFrame, b: DataFrame, columns: list[str], least: int = 5, exact_upto: int = 10_000) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov statistic per column with its p-value.
+
+    The p-value is exact where both samples have at most ``exact_upto`` values, else that of the limit.
+    """
     side = lambda df, n: long_format(df, [], columns).where("value IS NOT NULL").withColumn("a", F.lit(n))
     both = side(a, 1).unionByName(side(b, 0))
     counted = both.groupBy("feature", "value").agg(F.sum("a").alias("na"), F.sum(1 - F.col("a")).alias("nb"))
@@ -232,7 +271,14 @@ def ks_test(a: DataFrame, b: DataFrame, columns: list[str], least: int = 5) -> D
     lam2 = F.col("ks") ** 2 * F.col("ta") * F.col("tb") / (F.col("ta") + F.col("tb"))
     term = lambda k: F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * lam2)
     series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda acc, k: acc + term(k))
-    p = F.when(lam2 < 0.04, F.lit(1.0)).otherwise(clip(series, 0.0, 1.0))
+    limit = F.when(lam2 < 0.04, F.lit(1.0)).otherwise(clip(series, 0.0, 1.0))
+
+    @pandas_udf("double")
+    def exact(ks: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([exact_ks_p(k, int(i), int(j)) if max(i, j) <= exact_upto else np.nan for k, i, j in zip(ks, n, m)], dtype=float)
+
+    found = exact("ks", F.col("ta").cast("long"), F.col("tb").cast("long"))  # one row a column
+    p = F.nanvl(found, limit)
     return stat.select("feature", "ks", p.alias("p_value"), "mean_a", "mean_b")
 
 

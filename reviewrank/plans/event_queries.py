@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reviewrank.functions import registry as R
+from reviewrank.operators import governance as H
 from reviewrank.operators import grid as G
 from reviewrank.operators import ingest as I
 from reviewrank.operators import records as C
@@ -199,10 +200,23 @@ def late_events(spark, sf_dir):
   CAST(count(*) FILTER (WHERE k % 50 < 2) AS BIGINT) AS dead_letter_events,
   {sql_r6("avg(CAST(event_type = 'PASTE' AS DOUBLE))", "paste_share")} FROM ev""")
 def dataset_manifest(spark, sf_dir):
-    """Counts of a registered dataset version (the content digest is checked in the tests)."""
+    """Counts of a registered dataset version; :func:`dataset_content` pins its rows."""
     checked = V.with_reason(B.session_events(spark, sf_dir))
     sessions = checked.groupBy("session_id").agg(
         F.count("*").alias("n"), F.count("reason").alias("dead"), F.count(F.when(F.col("event_type") == "PASTE", 1)).alias("pastes"))
     return sessions.agg(
         F.count("*").alias("n_sessions"), (F.sum("n") - F.sum("dead")).alias("n_events"),
         F.sum("dead").alias("dead_letter_events"), r6(F.sum("pastes") / F.sum("n")).alias("paste_share"))
+
+
+_CELLS = ["confidence", "detector", "event_type", "session_id", "ts_ms"]
+_ROW_SQL = " || '|' || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in _CELLS)
+_PART_SQL = ", ".join(f"sum(CAST('0x' || substr(d, {1 + 15 * i}, 15) AS BIGINT)) AS p{i}" for i in range(4))
+
+
+@query(f"""{_EV}, r AS (SELECT event_type, sha256({_ROW_SQL}) AS d FROM ev), s AS (SELECT event_type AS profile, count(*) AS n, {_PART_SQL} FROM r GROUP BY 1)
+SELECT profile, CAST(n AS BIGINT) AS rows, sha256(n || '|' || p0 || '|' || p1 || '|' || p2 || '|' || p3) AS content_sha256 FROM s""")
+def dataset_content(spark, sf_dir):
+    """Rows and content digest of every part of a dataset, here by event type."""
+    rows = B.session_events(spark, sf_dir).withColumn("profile", F.col("event_type"))
+    return H.content_digest(rows.select("profile", *_CELLS), by=["profile"])

@@ -8,7 +8,7 @@ from reviewrank.functions import registry as R
 from reviewrank.operators import features as FE
 from reviewrank.operators import grid as G
 from reviewrank.operators import validate as V
-from reviewrank.plans.catalog import query, r6, r6s, sql_r6
+from reviewrank.plans.catalog import ORACLES, query, r6, r6s, sql_r6
 from reviewrank.plans.grid_sql import (
     SQL_GRID, SQL_INTERACTIONS, col, longest_runs, rolling, whole_stats, window_stats,
 )
@@ -161,8 +161,18 @@ def feat_luma(spark, sf_dir):
     return out.select("session_id", *r6s(out.columns[1:]))
 
 
-@query()
+_GROUPS = ["feat_whole", "feat_longest_run", "feat_windows", "feat_baseline", "feat_interactions", "paste_after_return", "feat_unknown", "feat_luma"]
+
+
+def _sql_features() -> str:
+    """The SQL of all groups, side by side; every session of the event table is equally long."""
+    joined = " ".join(f"JOIN ({ORACLES[g]}) {g} USING (session_id)" for g in _GROUPS)
+    minutes = f"CAST({B.TICKS * B.STEP_MS / 60000.0} AS DOUBLE) AS duration_min"
+    return f"SELECT * FROM ({SQL_GRID} SELECT session_id, {minutes} FROM sess) d {joined}"
+
+
+@query(_sql_features())
 def session_features(spark, sf_dir):
-    """The whole feature row; its groups are checked one by one above."""
+    """The whole feature row: every group, from one plan."""
     out = FE.session_features(event_grid(spark, sf_dir), needed=NEEDED)
     return out.select("session_id", *r6s(out.columns[1:]))

@@ -92,7 +92,8 @@ def eligible_sessions(spark, sf_dir):
     return O.eligible(B.sessions(spark, sf_dir)).select("id", "lighting", "webcam_class")
 
 
-@query(f"{_ELIGIBLE} SELECT lighting, " + ", ".join(f"CAST(count(*) FILTER (WHERE webcam_class = '{w}') AS BIGINT) AS {w}" for w in ("hd", "sd", "low")) + " FROM el GROUP BY lighting")
+@query(f"{_ELIGIBLE} SELECT k.lighting, " + ", ".join(f"CAST(count(*) FILTER (WHERE webcam_class = '{w}') AS BIGINT) AS {w}" for w in ("hd", "sd", "low"))
+       + " FROM (SELECT unnest(['bright', 'normal', 'dim']) AS lighting) k LEFT JOIN el ON el.lighting = k.lighting GROUP BY k.lighting")
 def coverage_grid(spark, sf_dir):
     return O.coverage_grid(O.eligible(B.sessions(spark, sf_dir)))
 

@@ -168,3 +168,14 @@ def test_operating_point_equals_the_calibrated_threshold(spark, tiny_tasks):
             if r["variant"] == v:
                 assert r["flagged"] == (mapped(r["p"]) > cut + 1e-12)
     assert [r["flagged"] for r in got if r["variant"] == "none"] == [True]
+
+
+def test_content_digest_tells_every_change(spark):
+    rows = [("a", 1, None), ("a|", 2, "x"), ("a", 1, None), ("", 3, "-")]
+    make = lambda r, parts=1: spark.createDataFrame(r, "s STRING, n INT, t STRING").repartition(parts)
+    digest = lambda r, parts=1: tuple(H.content_digest(make(r, parts)).first())
+    own = digest(rows)
+    assert own[0] == 4 and digest(rows[::-1], 3) == own
+    changed = [rows[:3], rows + rows[:1], [("a", 1, ""), *rows[1:]], [("a", 2, None), *rows[1:]], [("a", 1, None), ("a", 2, "|x"), *rows[2:]], rows[:2] + rows[1:2] + rows[3:], []]
+    assert len({own, *map(digest, changed)}) == 1 + len(changed)
+    assert {r["t"]: r["rows"] for r in H.content_digest(make(rows), by=["t"]).collect()} == {None: 2, "x": 1, "-": 1}

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -170,3 +171,31 @@ def test_equal_drift_goes_to_the_first_monitored_feature(spark):
     for order in (["p", "load"], ["load", "p"]):
         got = D.drift_report(df.drop("batch"), df, order, 0.5, "lighting", 0.5).first()
         assert got["max_psi_feature"] == order[0] and got["psi_by_feature"].keys() == {"p", "load"} and list(got["slice_fpr"]) == ["x"]
+
+
+def test_exact_ks_equals_enumeration():
+    for n, m in ((1, 1), (3, 2), (4, 4), (5, 3), (2, 6)):
+        stats = []
+        for mine in itertools.combinations(range(n + m), n):
+            i = j = 0
+            most = 0
+            for k in range(n + m):
+                i, j = (i + 1, j) if k in mine else (i, j + 1)
+                most = max(most, abs(i * m - j * n))
+            stats.append(most)
+        for d in sorted(set(stats)):
+            want = sum(s >= d for s in stats) / len(stats)
+            assert M.exact_ks_p(d / (n * m), n, m) == pytest.approx(want)
+    assert M.exact_ks_p(0.05, 4000, 3000) == pytest.approx(2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * 0.0025 * 12e6 / 7000) for k in range(1, 50)), rel=0.1)
+
+
+def test_ks_report_orders_and_counts(spark):
+    rng = random.Random(3)
+    names = [f"f{i:02d}" for i in range(20)]
+    side = lambda shift: spark.createDataFrame([tuple(rng.gauss(i * shift, 1) for i in range(20)) for _ in range(40)], ", ".join(f"{n} DOUBLE" for n in names))
+    tested = M.ks_test(side(0.0), side(0.2), names)
+    top, below = M.ks_report(tested)
+    got, every = top.collect(), tested.collect()
+    assert [r["feature"] for r in got] == [r["feature"] for r in sorted(every, key=lambda r: (-r["ks"], r["feature"]))[:15]]
+    assert below.first()["differing"] == sum(r["p_value"] < 0.01 for r in every) > 10
+    assert all(r["p_value"] == pytest.approx(M.exact_ks_p(r["ks"], 40, 40)) for r in every)
