@@ -11,8 +11,10 @@ from reviewrank.operators import ingest as I
 from reviewrank.operators import records as C
 from reviewrank.operators import validate as V
 from reviewrank.plans.catalog import query, r6, sql_r6
+from reviewrank.session import cut_lineage
 from reviewrank.sources import bridge as B
 from reviewrank.sources import flat as S
+from reviewrank.sources import session_index as IX
 from reviewrank.sources import sinks
 
 _EV = f"WITH {B.SQL_EVENTS}"
@@ -35,11 +37,33 @@ def scan_one_session(spark, sf_dir):
     return S.one_session(B.session_events(spark, sf_dir), "usr7", cols)
 
 
-@query()
-def session_file_index(spark, sf_dir):
+def _indexed_store(spark, sf_dir) -> str:
     path = sinks.new_folder(spark, "events")
     sinks.write_event_store(V.split_valid(B.session_events(spark, sf_dir))[0].select(*R.FLAT_COLUMNS), path)
-    return S.session_files(spark, path)
+    IX.build(spark, path)
+    return path
+
+
+@query(f"{_EV} SELECT session_id, CAST(count(*) AS BIGINT) AS n_events, true AS in_few_files FROM ev WHERE k % 50 > 1 GROUP BY 1")
+def session_file_index(spark, sf_dir):
+    """The events of every session by the index of a store, and that a session lies in one or two neighbouring files."""
+    found = IX.entries(spark, _indexed_store(spark, sf_dir))
+    return found.groupBy("session_id").agg(F.sum("n_events").alias("n_events"), (F.count("*") <= 2).alias("in_few_files"))
+
+
+@query(f"{_EV} SELECT ts_ms, event_type, confidence FROM ev WHERE k % 50 > 1 AND session_id = 'usr7'")
+def indexed_session(spark, sf_dir):
+    """One session, read from the files that the index names."""
+    return IX.read_sessions(spark, _indexed_store(spark, sf_dir), ["usr7"]).select("ts_ms", "event_type", "confidence")
+
+
+@query(f"{_EV} SELECT session_id, CAST(count(*) AS BIGINT) AS n_events FROM ev WHERE k % 50 > 1 AND NOT session_id LIKE '%3' GROUP BY 1")
+def erase_from_store(spark, sf_dir):
+    """A store after an erasure that rewrote only the files concerned."""
+    path = _indexed_store(spark, sf_dir)
+    gone = IX.entries(spark, path).where("session_id LIKE '%3'").select("session_id").distinct()
+    IX.erase_sessions(spark, path, cut_lineage(gone))
+    return S.scan(spark, path).groupBy("session_id").agg(F.count("*").alias("n_events"))
 
 
 @query(f"""{_EV} SELECT event_seq, k % 50 > 1 AS ok, CASE k % 50 WHEN 0 THEN 'confidence out of [0,1]'
@@ -192,7 +216,8 @@ def dead_letter_out(spark, sf_dir):
 SELECT event_seq, session_id, ts_ms FROM o WHERE ts_ms < newest - {B.LATE_MS}""")
 def late_events(spark, sf_dir):
     """Events older than the newest one that arrived before them, by more than the window."""
-    flagged = G.late_flags(B.session_events(spark, sf_dir), B.LATE_MS)
+    narrow = B.session_events(spark, sf_dir).select("session_id", "arrival_ms", "event_seq", "ts_ms")  # what the order is cut from is written
+    flagged = G.late_flags(narrow, B.LATE_MS)
     return flagged.where("late").select("event_seq", "session_id", "ts_ms")
 
 
