@@ -11,6 +11,7 @@ from reviewrank.operators import features as FE
 from reviewrank.operators import flags as L
 from reviewrank.operators import governance as H
 from reviewrank.operators import metrics as M
+from reviewrank.operators import reporting as O
 from reviewrank.operators import scoring as S
 from reviewrank.operators import temporal as P
 from reviewrank.operators import training as T
@@ -282,8 +283,7 @@ def ablations(spark, sf_dir):
 
 @query()
 def mitigation(spark, sf_dir):
-    rows = training_rows(spark, sf_dir).withColumn("lighting", F.when(F.col("q_luma_mean") > 90, "bright").otherwise("dim")).withColumn(
-        "webcam_class", F.when(F.col("face_area__mean") > 0.03, "hd").otherwise("sd"))
+    rows = _sliced(spark, sf_dir)
     return T.mitigation(rows, R.model_features(), ["lighting", "webcam_class"], ["lighting", "webcam_class"])
 
 
@@ -333,18 +333,26 @@ def run_log(spark, sf_dir):
     return spark.read.schema("run_id STRING, name STRING, params STRING, metrics STRING, seconds DOUBLE").json(path)
 
 
+def _sliced(spark, sf_dir):
+    return training_rows(spark, sf_dir).withColumn("lighting", F.when(F.col("q_luma_mean") > 90, "bright").otherwise("dim")).withColumn(
+        "webcam_class", F.when(F.col("face_area__mean") > 0.03, "hd").otherwise("sd"))
+
+
 @query()
 def evaluation_report(spark, sf_dir):
-    """Headline metrics of model and baseline on one split, as rows."""
-    model = trained(spark, sf_dir)
-    rows = training_rows(spark, sf_dir).where("split = 'validation'")
-    out = None
-    for name, df, thr in (("model", S.score(rows, model), model.tiers["HUMAN_REVIEW"]), ("rules", rows.select("y", S.rule_score().alias("p")), 0.05)):
-        s = M.summary(df.select("y", "p"), thr)
-        cols = ["pr_auc", "roc_auc", "ece", "brier", "recall", "fpr", "precision", "flag_rate"]
-        long = s.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "metric", "value").withColumn("scorer", F.lit(name))
-        out = long if out is None else out.unionByName(long)
-    return out
+    """The whole evaluation bundle of the model on the validation split, as rows."""
+    model, rows = trained(spark, sf_dir), _sliced(spark, sf_dir)
+    part = lambda name: cut_lineage(S.score(rows.where(F.col("split") == name), model).select("session_id", "y", "p", "lighting", "webcam_class"))
+    more = {"missing channel": (T.missing_channel_test(rows.where("split = 'validation'"), model), ["channel"]), "importance": (T.importance(rows, model), ["feature"])}
+    return O.evaluation(part("validation"), part("calibration"), model.tiers["HUMAN_REVIEW"], ["lighting", "webcam_class"], "lighting", more)
+
+
+@query()
+def model_drift(spark, sf_dir):
+    """Batches of all sessions against those of the validation split, by the ten features that matter most."""
+    rows = _sliced(spark, sf_dir)
+    out = O.model_drift(rows.where("split = 'validation'"), rows, trained(spark, sf_dir), ["session_id"], "lighting", 50)
+    return out.drop("psi_by_feature", "slice_fpr", "alerts")
 
 
 @query(f"""WITH {B.SQL_EVENTS} SELECT sha256('{R.FEATURE_VERSION}|' || '{'|'.join(R.feature_names())}') AS schema_hash, CAST({len(R.feature_names())} AS BIGINT) AS n_features,
