@@ -15,7 +15,6 @@ TOOLS = {
     "measure": [("query", "string", True, None, None, None), ("exact", "boolean", False, None, None, None)],
 }
 _VARIANT_TYPES = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DOUBLE"), "boolean": ("BOOLEAN",)}
-ROUNDS = 64  # most rounds of moving calls behind what they depend on
 
 
 def _argument_errors(parsed: Column, tool: str, params: list[tuple]) -> Column:
@@ -51,41 +50,60 @@ def argument_errors(name: Column, arguments: Column, tools: dict[str, list[tuple
     return F.when(F.coalesce(is_object, F.lit(False)), errors).otherwise(F.array(F.lit("arguments: not an object")))
 
 
-def topological_keys(calls: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def _behind(key: Column, steps: Column) -> Column:
+    """The place ``steps`` behind a place; null stays null."""
+    return F.when(key.isNotNull(), F.struct(key["at"].alias("at"), (key["bump"] + steps).alias("bump")))
+
+
+def topological_keys(calls: DataFrame) -> DataFrame:
     """``(conv_id, call_id, at, bump, settled)``: sorting by ``(at, bump, call_id)`` puts every call behind what it depends on.
 
-    A call stands at its turn.  One that depends on a call standing at the same place or later moves directly behind it; so do those
-    that depend on the moved one, round by round, until nothing moves.  Only identifiers are joined, and only calls
-    with a dependency take part.  Where calls still move after ``rounds`` rounds (a cycle, or a longer chain of backward
-    steps), those that moved in the later half of the rounds are not ``settled``.  Dependencies on unknown calls or on itself order nothing.
+    A call stands at its turn, or directly behind the last of what it depends on if that stands there or later.  Only
+    identifiers are joined, and only calls with a dependency take part.  A dependency on a call that has just one itself is
+    replaced by that one, with the places passed on the way; doing so again doubles the steps, so chains of any length
+    take as many rounds as the logarithm of their length.  What is left, calls with several dependencies, move round by
+    round until nothing moves.  Rounds have no limit but the number of calls: a dependency that outlasts it is on
+    a cycle or leads to one and orders nothing; calls with such a one are not ``settled``.  Dependencies on unknown calls
+    or on the call itself order nothing.
     """
-    keys = calls.groupBy("conv_id", "call_id").agg(F.min(F.struct(F.col("turn").alias("at"), F.lit(0).alias("bump"))).alias("k"))
-    edges = calls.select("conv_id", "call_id", F.explode("after").alias("dep")).where("dep <> call_id").distinct()
-    edges = cut_lineage(edges)
-    still = None
-    for n in range(rounds + 1):
-        keys = cut_lineage(keys.select("conv_id", "call_id", "k"))
+    node = ["conv_id", "call_id"]
+    own = cut_lineage(calls.groupBy(*node).agg(F.min(F.struct(F.col("turn").alias("at"), F.lit(0).alias("bump"))).alias("k")))
+    place = own.select("conv_id", F.col("call_id").alias("dep"), F.col("k").alias("dk"))
+    edges = calls.select(*node, F.explode("after").alias("dep")).where("dep <> call_id").distinct().join(place.select("conv_id", "dep"), ["conv_id", "dep"])
+    none = F.lit(None).cast(own.schema["k"].dataType)
+    edges = cut_lineage(edges.select(*node, "dep", none.alias("floor"), F.lit(1).alias("steps")))
+    per_call = edges.groupBy(*node).agg(F.count("*").alias("n"))
+    single = cut_lineage(per_call.where("n = 1").select("conv_id", F.col("call_id").alias("dep"), F.lit(True).alias("passes")))
+    most = own.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(most.bit_length() + 1):
+        onward = edges.select("conv_id", F.col("call_id").alias("dep"), F.col("dep").alias("next"), F.col("floor").alias("next_floor"), F.col("steps").alias("next_steps"))
+        onward = onward.join(single, ["conv_id", "dep"]).join(place, ["conv_id", "dep"])
+        met = edges.join(onward, ["conv_id", "dep"], "left")
+        if met.where("passes").isEmpty():
+            break
+        steps = F.col("steps")
+        floor = F.greatest("floor", _behind(F.col("dk"), steps), _behind(F.col("next_floor"), steps))
+        edges = cut_lineage(met.select(
+            *node, F.coalesce("next", "dep").alias("dep"), F.when(F.col("passes"), floor).otherwise(F.col("floor")).alias("floor"),
+            (steps + F.coalesce("next_steps", F.lit(0))).alias("steps")))
+    endless = edges.join(single, ["conv_id", "dep"], "left_semi").select(*node)
+    edges = cut_lineage(edges.join(single, ["conv_id", "dep"], "left_anti"))
+    several = per_call.where("n > 1").groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    keys, n = own, 0
+    while True:
         dep = keys.select("conv_id", F.col("call_id").alias("dep"), F.col("k").alias("dk"))
-        behind = edges.join(dep, ["conv_id", "dep"]).groupBy("conv_id", "call_id").agg(
-            F.max(F.struct(F.col("dk.at").alias("at"), (F.col("dk.bump") + 1).alias("bump"))).alias("need")
-        )
-        moved = behind.join(keys, ["conv_id", "call_id"]).where((F.col("need") > F.col("k")) & (F.col("need.at") >= F.col("k.at")))
-        moved = moved.select("conv_id", "call_id", "need")
-        if moved.isEmpty():
-            still = None
+        need = edges.join(dep, ["conv_id", "dep"]).groupBy(*node).agg(F.max(F.greatest("floor", _behind(F.col("dk"), F.col("steps")))).alias("need"))
+        moved = cut_lineage(need.join(keys, node).where(F.col("need") > F.col("k")).select(*node, "need"))
+        if moved.isEmpty() or n > 2 * several + 2:
             break
-        if 2 * n >= rounds:
-            late = moved.select("conv_id", "call_id")
-            still = late if still is None else still.unionByName(late)
-        keys = keys.join(moved, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.coalesce("need", "k").alias("k"))
-    at = keys.select("conv_id", "call_id", "k.at", "k.bump")
-    if still is None:
-        return at.withColumn("settled", F.lit(True))
-    marked = at.join(still.distinct().withColumn("settled", F.lit(False)), ["conv_id", "call_id"], "left")
-    return marked.withColumn("settled", F.coalesce("settled", F.lit(True)))
-
-
-def link_calls(calls: DataFrame, results: DataFrame, tools: dict[str, list[tuple]] = TOOLS, rounds: int = ROUNDS) -> DataFrame:
+        if n > several:
+            endless = endless.unionByName(moved.select(*node))
+        keys, n = cut_lineage(keys.join(moved, node, "left").select(*node, F.coalesce("need", "k").alias("k"))), n + 1
+    marked = keys.join(endless.distinct().withColumn("settled", F.lit(False)), node, "left")
+    return marked.select(*node, "k.at", "k.bump", F.coalesce("settled", F.lit(True)).alias("settled"))
+
+
+def link_calls(calls: DataFrame, results: DataFrame, tools: dict[str, list[tuple]] = TOOLS) -> DataFrame:
     """One row per call: ``(conv_id, seq, call_id, tool, n_results, settled, errors, canonical_json)``.
 
     ``calls(conv_id, call_id, turn, name, arguments, after)`` and ``results(conv_id, call_id, turn, content)`` meet by
@@ -101,7 +119,7 @@ def link_calls(calls: DataFrame, results: DataFrame, tools: dict[str, list[tuple
     first = results.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(
         F.count("*").alias("n_results"), F.min(F.struct("turn", "content"))["content"].alias("content")
     )
-    keys = topological_keys(calls.select("conv_id", "call_id", "turn", "after"), rounds)
+    keys = topological_keys(calls.select("conv_id", "call_id", "turn", "after"))
     linked = calls.hint("shuffle_hash").join(first.hint("shuffle_hash"), ["conv_id", "call_id"], "left").join(keys, ["conv_id", "call_id"], "left")
     rows = linked.select(
         "conv_id", "call_id", "at", "bump", "turn", F.monotonically_increasing_id().alias("tie"), F.col("name").alias("tool"),

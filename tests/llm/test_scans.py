@@ -181,6 +181,31 @@ def test_calls_follow_what_they_depend_on(spark):
         assert sorted(s for (k, _), s in seq.items() if k == conv) == list(range(sum(k == conv for k, _ in seq)))
 
 
+def test_long_chains_are_put_in_order(spark):
+    rng = random.Random(9)
+    rows, deps = [], []
+    for conv, n in ((1, 1000), (2, 130)):  # every call depends on the one with the next number; all at one turn, or backward in turns
+        for i in range(n):
+            after = [f"c{i + 1:04d}"] if i + 1 < n else []
+            rows.append((conv, f"c{i:04d}", 7 if conv == 1 else i, "measure", '{"query":"q"}', after))
+            deps += [(conv, f"c{i:04d}", a) for a in after]
+    for i in range(60):  # several dependencies each
+        after = [f"m{j:03d}" for j in {i - 1, i - 2, rng.randrange(i + 1)} if 0 <= j < i]
+        rows.append((3, f"m{i:03d}", 60 - i, "measure", '{"query":"q"}', after + (["ring1"] if i == 50 else [])))
+        deps += [(3, f"m{i:03d}", a) for a in after]
+    ring = [(3, f"ring{i}", i, "measure", '{"query":"q"}', [f"ring{(i + 1) % 3}"]) for i in range(3)]
+    got = tool_calls.link_calls(calls(spark, rows + ring + [(3, "lead", 1, "measure", '{"query":"q"}', ["ring0"])]), results(spark, [])).collect()
+    seq = {(r.conv_id, r.call_id): r.seq for r in got}
+    assert all(seq[c, a] < seq[c, i] for c, i, a in deps)
+    assert {r.call_id for r in got if not r.settled} == {"ring0", "ring1", "ring2", "lead", "m050"}
+
+
+def test_a_ring_of_calls_with_several_dependencies_is_told(spark):
+    rows = [(1, "a", 0, "measure", "{}", ["b", "z"]), (1, "b", 1, "measure", "{}", ["a", "z"]), (1, "z", 5, "measure", "{}", []), (1, "y", 0, "measure", "{}", ["z"])]
+    got = {r.call_id: r for r in tool_calls.link_calls(calls(spark, rows), results(spark, [])).collect()}
+    assert {c for c, r in got.items() if not r.settled} == {"a", "b"} and got["y"].seq > got["z"].seq
+
+
 def test_cycles_are_told_and_links_are_made(spark):
     rows = [
         (1, "a", 0, "search", '{"query":"x","limit":3}', ["b"]), (1, "b", 1, "search", '{"limit":30,"query":7,"more":1}', ["a"]),
@@ -189,7 +214,7 @@ def test_cycles_are_told_and_links_are_made(spark):
         (1, "i", 9, "measure", '{"query":"q","exact":null}', []), (1, "j", 10, "measure", '{"exact":"y"}', []),
     ]
     found = [(1, "c", 5, "late"), (1, "c", 3, None), (1, "c", 3, "b"), (1, "zz", 3, "orphan"), (None, "c", 1, "x"), (1, "d", 4, 'say "hi"\n')]
-    got = {(r.call_id, r.tool): r for r in tool_calls.link_calls(calls(spark, rows), results(spark, found), rounds=5).collect()}
+    got = {(r.call_id, r.tool): r for r in tool_calls.link_calls(calls(spark, rows), results(spark, found)).collect()}
     assert len(got) == 10 and {c for (c, _), r in got.items() if not r.settled} == {"a", "b"}
     errors = {k: r.errors for k, r in got.items()}
     assert errors["a", "search"] == "" and errors["b", "search"] == "query: not string; limit: above 20; more: unexpected"
