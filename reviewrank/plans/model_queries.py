@@ -18,6 +18,7 @@ from reviewrank.operators import training as T
 from reviewrank.plans.catalog import query, r6, sql_r6
 from reviewrank.plans.feature_queries import NEEDED, event_grid, valid_events
 from reviewrank.plans.grid_sql import SQL_GRID, col, rolling
+from reviewrank.plans.timeline_queries import _sql_flags
 from reviewrank.session import cut_lineage
 from reviewrank.sources import bridge as B
 from reviewrank.sources import sinks
@@ -365,7 +366,8 @@ def feature_schema_hash(spark, sf_dir):
         F.sha2(F.first(text), 256).alias("schema_hash"), F.lit(len(columns)).cast("bigint").alias("n_features"), F.countDistinct("session_id").alias("n_sessions"))
 
 
-@query()
+@query(f"""SELECT 'features' AS "table", CAST(count(*) AS BIGINT) AS n FROM ({SQL_GRID} SELECT session_id FROM sess)
+UNION ALL SELECT 'flags', CAST(count(*) AS BIGINT) FROM ({_sql_flags()})""")
 def feature_store_write(spark, sf_dir):
     """Features and flags as zstd Parquet, read back and counted."""
     base = sinks.new_folder(spark, "store")

@@ -76,6 +76,10 @@ class Scratch:
         self.drop(*replaced)
         return out
 
+    def tidy(self) -> None:
+        """Free the shuffle files of finished jobs now: Spark removes them once the driver's JVM has collected their plans."""
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Remove the files of tables made here; others are left alone."""
         for table in tables:
