@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,12 +12,36 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 TEXT_BATCH_BYTES = 8 * 1024 * 1024
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_HELD: dict = {}
+
+
+def held_by_worker(key: tuple | None = None, make: Callable[[], object] | None = None):
+    """What a Python worker keeps between tasks: the tables and caches of one operator at a time.
+
+    Another ``key`` frees what was held and is made anew; none only frees.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if key is not None:
+            _HELD[key] = make()
+    return _HELD.get(key)
+
+
+def bound_arrow(spark: SparkSession, limit: int = TEXT_BATCH_BYTES) -> None:
+    """Let the session hand Python at most ``limit`` bytes a batch: ten thousand long texts are too many for both sides."""
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(ARROW_BYTES))
+    spark.conf.set(ARROW_BYTES, str(min(limit, now)))
+
+
 def bounded_batches(batches: Iterator[pa.RecordBatch], limit: int = TEXT_BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Halve batches until each holds at most ``limit`` bytes or one row, so long texts never pile up as Python objects."""
     for batch in batches:

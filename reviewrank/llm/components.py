@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewrank.session import cut_lineage
+from reviewrank.session import Scratch
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -14,12 +14,13 @@ def connected_components(links: DataFrame) -> DataFrame:
     Alternates two star operations until nothing changes: every node hands its larger neighbours, then all its
     neighbours, to the smallest node it knows.  Rounds grow with the logarithm of a component's size.  The
     neighbourhood of a node is reduced to its minimum before it moves and is never gathered, so a hub of any degree is
-    spread over tasks.  Each round is a written table in the shared folder.  No links give no rows; loops are ignored.
+    spread over tasks.  Each round is a written table in the shared folder that takes the place of the last.  No links give no rows; loops are ignored.
     """
-    edges = cut_lineage(_down(links.select("a", "b")))
+    scratch = Scratch(links.sparkSession)
+    edges = scratch.cut(_down(links.select("a", "b")))
     before = None
     while True:
-        edges = cut_lineage(_small_star(_large_star(edges)))
+        edges = scratch.cut(_small_star(_large_star(edges)), edges)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             break

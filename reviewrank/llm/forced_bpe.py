@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer, models
 
-from reviewrank.llm.common import map_rows, own_columns
+from reviewrank.llm.common import held_by_worker, map_rows, own_columns
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 CACHED_CHUNKS, CACHED_FRAGMENTS = 700_000, 400_000  # kept per worker; beyond that a cache starts anew (speed only)
@@ -131,14 +131,9 @@ class ForcedBoundaryBPE:
         return " ".join([names[i] for i in ids])
 
 
-_ENCODERS: dict[str, ForcedBoundaryBPE] = {}
-
-
 def encoder(path: str = VOCABULARY) -> ForcedBoundaryBPE:
     """One encoder per Python worker and file: tables and caches outlive a task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ForcedBoundaryBPE(path)
-    return _ENCODERS[path]
+    return held_by_worker(("encoder", path), lambda: ForcedBoundaryBPE(path))
 
 
 def encode_documents(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from reviewrank.llm.common import bounded_batches, keep_rows, map_rows, own_columns
+from reviewrank.llm.common import bounded_batches, held_by_worker, keep_rows, map_rows, own_columns
 from reviewrank.session import cut_lineage
 
 THRESHOLD = 0.3
@@ -284,16 +284,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(terms, fit_logistic(held[:, : len(FEATURES)], held[:, -2], held[:, -1]))
 
 
-_LEXICONS: dict[int, Lexicon] = {}
-
-
 def _scorer(shipped):
     model: Model = shipped.value
-    key = hash((tuple(model.terms), model.weights))
-    if key not in _LEXICONS:  # the word cache outlives a task
-        _LEXICONS.clear()
-        _LEXICONS[key] = Lexicon(model.terms)
-    lexicon = _LEXICONS[key]
+    # the word cache outlives a task
+    lexicon = held_by_worker(("lexicon", hash((tuple(model.terms), model.weights))), lambda: Lexicon(model.terms))
     return lambda text: model.score(lexicon.features(text))
 
 

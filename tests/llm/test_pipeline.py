@@ -1,11 +1,14 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
-from reviewrank.llm import forced_bpe, simhash_vptree, spaced_seeds, toxicity
+from reviewrank.llm import forced_bpe, near_dedup, simhash_vptree, spaced_seeds, toxicity
+from reviewrank.llm.components import connected_components
+from reviewrank.session import cut_lineage
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,11 +19,9 @@ def shingles(text, k=5):
 
 
 def alike(a, b):
-    """Near by definition: two bits of SimHash, or a Jaccard likeness of 0.8 over five-word shingles."""
-    if (simhash_vptree.fingerprint(a, 5) ^ simhash_vptree.fingerprint(b, 5)).bit_count() <= 2:
-        return True
+    """Near by definition: a Jaccard likeness of 0.8 over five-word shingles."""
     x, y = shingles(a), shingles(b)
-    return bool(x | y) and len(x & y) / len(x | y) >= 0.8
+    return x == y or len(x & y) / len(x | y) >= 0.8
 
 
 def plain_groups(rows):
@@ -54,10 +55,13 @@ def test_near_copies_leave_one_of_each_group(spark):
     ids = list(range(len(texts)))
     rng.shuffle(ids)
     rows = sorted(zip(ids, texts))
-    frame = spark.createDataFrame([(i, t, "fp", 0.5) for i, t in rows], "doc_id long, text string, fp string, samples double")
-    kept = simhash_vptree.drop_near_duplicates(frame)
+    names = "doc_id long, text string, fp string, n double, _id string, id int, Text_Hash string, no_id int, repeated int, `a.b` int"
+    frame = spark.createDataFrame([(i, t, "fp", 0.5, "x", 3, "h", 4, 5, 6) for i, t in rows], names)
+    kept = near_dedup.drop_near_duplicates(frame)
     assert kept.columns == frame.columns
-    got, groups = {r.doc_id for r in kept.collect()}, plain_groups(rows)
+    held = kept.collect()
+    assert {tuple(r)[2:] for r in held} == {("fp", 0.5, "x", 3, "h", 4, 5, 6)}
+    got, groups = {r.doc_id for r in held}, plain_groups(rows)
     assert got == set(groups.values())
 
 
@@ -107,7 +111,7 @@ def test_near_copies_behind_a_shared_passage_are_found(spark):
     rows = [(i, t) for i, (_, t) in enumerate(texts)]
     first = {pair: i for i, (pair, _) in reversed(list(enumerate(texts)))}
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = {r.doc_id for r in simhash_vptree.drop_near_duplicates(frame).collect()}
+    kept = {r.doc_id for r in near_dedup.drop_near_duplicates(frame).collect()}
     assert kept == set(first.values())
 
 
@@ -122,13 +126,16 @@ def test_exact_links_equal_brute_force(spark):
             own[rng.randrange(len(own))] = f"w{rng.randint(0, 40)}"
         texts.append(" ".join(own))
     texts = list(dict.fromkeys(texts))
-    held = spark.createDataFrame(list(enumerate(texts)), "text_hash long, text string")
-    none = spark.createDataFrame([], "a long, b long")
-    links = simhash_vptree.link_all(held, none, first=1).collect()
+    rows = [(False, i, i, t) for i, t in enumerate(texts)]
+    held = cut_lineage(spark.createDataFrame(rows, "no_id boolean, id long, text_hash long, text string"))
+    described = cut_lineage(near_dedup.described(held, 5, 0.8).selectExpr("*", "false as repeated"))
+    linker = near_dedup.Linker(described, held, 5, 0.8)
+    linker.link_rest(near_dedup.postings_of(described, 0.8), first=1)
+    links = linker.links.collect()
     sets = [shingles(t) for t in texts]
     near = lambda x, y: x == y or (bool(x | y) and len(x & y) / len(x | y) >= 0.8)
     assert all(near(sets[a], sets[b]) for a, b in links)
-    joined = simhash_vptree.connected_components(spark.createDataFrame(links, "a long, b long")).collect()
+    joined = connected_components(spark.createDataFrame(links, "a long, b long")).collect()
     got = {r.node: r.root for r in joined}
     want = list(range(len(texts)))
     for i in range(len(texts)):
@@ -145,4 +152,20 @@ def test_texts_with_one_repeated_line_are_not_near(spark):
     texts = [f"{prose()} " + "one " * 200 for _ in range(3)]
     assert len({simhash_vptree.fingerprint(t, 5) for t in texts}) == 1
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert simhash_vptree.drop_near_duplicates(frame).count() == 3
+    assert near_dedup.drop_near_duplicates(frame).count() == 3
+
+
+def test_repeated_rows_and_rows_without_an_id(spark):
+    long = " ".join(f"w{i}" for i in range(70_000))
+    rows = [(None, "a b"), (None, "a b"), (4, "a b"), (4, "a b"), (7, long), (7, long), (8, long + " x"), (None, None), (2, ""), (None, "only here"), (None, "only here")]
+    kept = near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, (r.text or "")[:5]) for r in kept), key=str) == sorted([(4, "a b"), (7, "w0 w1"), (2, ""), (None, "only ")], key=str)
+
+
+def test_parities_bound_the_difference():
+    rng = random.Random(14)
+    for _ in range(50):
+        a = {rng.getrandbits(64) for _ in range(rng.randint(0, 400))}
+        b = {x for x in a if rng.random() < 0.9} | {rng.getrandbits(64) for _ in range(rng.randint(0, 60))}
+        p, q = (near_dedup.parities(np.array(sorted(x), np.uint64)).view(np.uint64) for x in (a, b))
+        assert int(np.bitwise_count(p ^ q).sum()) <= len(a ^ b)

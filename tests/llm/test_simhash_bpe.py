@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from reviewrank.llm import forced_bpe, simhash_vptree
+from reviewrank.llm import forced_bpe, near_dedup, simhash_vptree
 from reviewrank.llm.components import connected_components
 
 AWKWARD = [None, "", " \n", "a", "a b", "A b c d", "x " * 30_000, "Ünï 漢字 İ. ΣΑΣ it's <|endoftext|> 12", "a b", None]
@@ -100,10 +100,10 @@ def test_components_of_chains_hubs_and_nothing(spark):
 def test_one_row_of_each_component_stays(spark):
     texts = ["a b c d e", "a b c d e", None, "", "q r s t u v", "q r s t u v"]
     frame = docs(spark, texts, [7, 3, None, 5, None, None])
-    kept = simhash_vptree.drop_near_duplicates(frame)
+    kept = near_dedup.drop_near_duplicates(frame)
     assert kept.columns == frame.columns
     assert sorted(map(str, [(r.doc_id, r.text) for r in kept.collect()])) == sorted(map(str, [(3, "a b c d e"), (5, ""), (None, "q r s t u v")]))
-    assert simhash_vptree.drop_near_duplicates(frame.limit(0)).count() == 0
+    assert near_dedup.drop_near_duplicates(frame.limit(0)).count() == 0
     assert simhash_vptree.near_duplicates(frame.limit(0)).count() == 0
 
 
