@@ -10,28 +10,32 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
-from reviewrank.llm import forced_bpe, simhash_vptree, spaced_seeds, toxicity  # noqa: E402
-from reviewrank.llm.common import read  # noqa: E402
+from reviewrank.llm import forced_bpe, near_dedup, spaced_seeds, toxicity  # noqa: E402
+from reviewrank.llm.common import bound_arrow, read  # noqa: E402
 from reviewrank.session import shared_dir  # noqa: E402
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold of the model learned from the labels."""
+    bound_arrow(spark)
     return toxicity.drop_toxic(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return simhash_vptree.drop_near_duplicates(docs)
+    bound_arrow(spark)
+    return near_dedup.drop_near_duplicates(docs)
 
 
 def not_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no passage with the benchmark."""
+    bound_arrow(spark)
     return spaced_seeds.decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the text they decode to."""
+    bound_arrow(spark)
     return forced_bpe.round_trip(docs)
 
 
