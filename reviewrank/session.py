@@ -76,6 +76,10 @@ class Scratch:
         self.drop(*replaced)
         return out
 
+    def drop_all(self) -> None:
+        """Remove all tables that are left."""
+        self.drop(*[table for table, _ in self._paths.values()])
+
     def tidy(self) -> None:
         """Free the shuffle files of finished jobs now: Spark removes them once the driver's JVM has collected their plans."""
         self.spark._jvm.System.gc()
