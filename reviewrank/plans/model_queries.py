@@ -288,8 +288,8 @@ def mitigation(spark, sf_dir):
     return T.mitigation(rows, R.model_features(), ["lighting", "webcam_class"], ["lighting", "webcam_class"])
 
 
-def _series(spark, sf_dir):
-    return P.bin_series(event_grid(spark, sf_dir))
+def _bins(spark, sf_dir):
+    return P.binned(event_grid(spark, sf_dir))
 
 
 def _sql_bins() -> str:
@@ -308,7 +308,7 @@ def bin_series(spark, sf_dir):
 
 @query()
 def kernel_features(spark, sf_dir):
-    return P.kernel_features(_series(spark, sf_dir))
+    return P.kernel_features(_bins(spark, sf_dir))
 
 
 @query()
@@ -316,7 +316,7 @@ def temporal_model(spark, sf_dir):
     """Scored sessions of the temporal model, with the run logged."""
     t0 = time.time()
     rows = training_rows(spark, sf_dir).select("session_id", "y", "split")
-    made = cut_lineage(P.kernel_features(_series(spark, sf_dir)))
+    made = cut_lineage(P.kernel_features(_bins(spark, sf_dir)))
     scored, trials = T.fit_temporal(made.join(rows, "session_id"))
     T.log_run(spark, sinks.new_folder(spark, "runs"), "temporal", {"kernels": R.N_KERNELS}, {"trials": trials}, t0)
     return scored
