@@ -134,8 +134,28 @@ def to_flat(spark, sf_dir):
     return parsed.select("event_seq", *C.flat_columns()).select("event_seq", *_SLOTS.split(", "))
 
 
-@query()
+def _sql_number(x: str) -> str:
+    """A double as JSON text, its shortest digits with an exponent below a thousandth and from ten million on."""
+    digits = f"ltrim(regexp_replace(split_part(CAST({x} AS VARCHAR), 'e', 1), '[-.]', '', 'g'), '0')"
+    return (f"CASE WHEN {x} <> 0 AND (abs({x}) < 1e-3 OR abs({x}) >= 1e7) THEN CASE WHEN {x} < 0 THEN '-' ELSE '' END || left({digits}, 1) || '.' "
+            f"|| coalesce(nullif(rtrim(substr({digits}, 2), '0'), ''), '0') || 'E' || CAST(floor(log10(abs({x}))) AS BIGINT) ELSE CAST(to_json({x}) AS VARCHAR) END")
+
+
+def _sql_canonical() -> str:
+    text = {"bool": "CAST(to_json(CAST({} AS BOOLEAN)) AS VARCHAR)", "int": "CAST(to_json(CAST({} AS BIGINT)) AS VARCHAR)", "label": "CAST(to_json({}) AS VARCHAR)"}
+    cell = lambda f: text[f["kind"]].format(f["slot"]) if f["kind"] in text else _sql_number(f["slot"])
+    payload = " ".join(
+        f"WHEN '{name}' THEN '{{' || " + " || ',' || ".join(f"""'"{f["name"]}":' || coalesce({cell(f)}, 'null')""" for f in t["fields"]) + " || '}'"
+        for name, t in R.TYPES.items())
+    head = ", ".join(f"{c}: {c}" for c in ("session_id", "ts_ms", "channel", "detector", "detector_version", "event_type"))
+    known = lambda c: f"""coalesce(',"{c}":' || {_sql_number(c)}, '')"""
+    return f"""{_EV} SELECT event_seq, rtrim(CAST(to_json({{schema: '{R.EVENT_SCHEMA}', {head}}}) AS VARCHAR), '}}') || ',"payload":' || CASE event_type {payload} END
+  || ',"confidence":' || {_sql_number('confidence')} || ',"quality":{{"usable":' || to_json(usable) || {known('frame_blur')} || {known('frame_luma')} || '}}}}' AS event FROM valid"""
+
+
+@query(_sql_canonical())
 def to_canonical(spark, sf_dir):
+    """Flat rows as JSON texts of the contract, letter by letter."""
     valid, _ = V.split_valid(B.session_events(spark, sf_dir))
     return valid.select("event_seq", C.canonical_json().alias("event"))
 

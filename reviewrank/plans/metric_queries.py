@@ -181,7 +181,7 @@ def wilson_low(spark, sf_dir):
 _DRIFTING = ["l_extendedprice", "l_quantity", "l_tax"]
 
 
-def _sql_psi(reference: str, current: str, batch: str, features: list[str]) -> str:
+def sql_psi(reference: str, current: str, batch: str, features: list[str]) -> str:
     """CTEs ending in ``psi(batch, feature, psi)``."""
     long = lambda src, keep: " UNION ALL ".join(f"SELECT {keep}'{f}' AS feature, CAST({f} AS DOUBLE) AS v FROM {src}" for f in features)
     return f"""rl AS ({long(reference, '')}), cl AS ({long(current, batch + ' AS batch, ')}),
@@ -197,7 +197,7 @@ psi AS (SELECT batch, feature, sum((c - r) * ln(c / r)) AS psi FROM sh GROUP BY
 
 
 @query(f"""WITH ref AS (SELECT * FROM lineitem WHERE year(l_shipdate) = 1995), cur AS (SELECT *, strftime(l_shipdate, '%Y-%m') AS ym FROM lineitem),
-{_sql_psi('ref', 'cur', 'ym', _DRIFTING)} SELECT batch AS month, feature, {sql_r6('psi', 'psi')} FROM psi""")
+{sql_psi('ref', 'cur', 'ym', _DRIFTING)} SELECT batch AS month, feature, {sql_r6('psi', 'psi')} FROM psi""")
 def psi(spark, sf_dir):
     """Shipped items of every month against the first year."""
     items = B.table(spark, sf_dir, "lineitem").withColumn("month", F.date_format("l_shipdate", "yyyy-MM"))
@@ -219,7 +219,7 @@ def _sql_wilson(k: str, n: str) -> str:
             f"/ (1 + 3.8416 / {n}) END")
 
 
-@query(f"""{_BATCHED}, {_sql_psi('scored', 'nb', 'batch', ['p', 'y'])},
+@query(f"""{_BATCHED}, {sql_psi('scored', 'nb', 'batch', ['p', 'y'])},
 mx AS (SELECT batch, max(psi) AS max_psi, (list(feature ORDER BY round(psi, 12) DESC, feature))[1] AS max_psi_feature FROM psi GROUP BY batch),
 ref AS (SELECT avg(CAST(p >= {THR} AS INT)) AS rate FROM scored),
 bs AS (SELECT batch, count(*) AS sessions, avg(CAST(p >= {THR} AS INT)) AS review_rate, count(*) FILTER (WHERE y = 0) AS neg, count(*) FILTER (WHERE y = 0 AND p >= {THR}) AS fp FROM nb GROUP BY batch),

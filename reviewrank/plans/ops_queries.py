@@ -271,14 +271,18 @@ def ids_hash(spark, sf_dir):
     return H.ids_hash(B.table(spark, sf_dir, "orders"), "o_orderkey")
 
 
-@query()
+_PURPOSES = ["first headline evaluation", "final sealed evaluation"]
+
+
+@query(_sql_split() + f""" SELECT (SELECT CAST(count(*) AS BIGINT) FROM orders JOIN asg ON asg.unit = orders.o_custkey WHERE split = 'holdout') AS n_ids,
+  CAST(n AS INT) AS access_no, (['{_PURPOSES[0]}', '{_PURPOSES[1]}'])[n] AS purpose FROM range(1, 3) AS r(n)""")
 def holdout_guard(spark, sf_dir):
     """Two logged openings of the holdout; a third is refused (see the tests)."""
     splits = H.stratified_split(_split_input(spark, sf_dir), 7).withColumn("session_id", F.col("session_id").cast("string"))
     sealed = H.ids_hash(splits.where("split = 'holdout'"), "session_id").first()["ids_sha256"]
     log = sinks.new_folder(spark, "holdout-log")
-    H.open_holdout(splits, sealed, log, "first headline evaluation", "checker")
-    ids = H.open_holdout(splits, sealed, log, "final sealed evaluation", "checker")
+    H.open_holdout(splits, sealed, log, _PURPOSES[0], "checker")
+    ids = H.open_holdout(splits, sealed, log, _PURPOSES[1], "checker")
     counted = ids.agg(F.count("*").alias("n_ids")).withColumn("k", F.lit(0))
     return counted.join(H.accesses(spark, log).withColumn("k", F.lit(0)), "k").select("n_ids", "access_no", "purpose")
 

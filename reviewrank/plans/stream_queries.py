@@ -11,6 +11,7 @@ from reviewrank.operators import scoring as S
 from reviewrank.operators import serving as V
 from reviewrank.plans.catalog import query, r6, sql_r6
 from reviewrank.plans.feature_queries import valid_events
+from reviewrank.plans.metric_queries import sql_psi
 from reviewrank.sources import bridge as B
 from reviewrank.sources import flat as FL
 from reviewrank.sources import sinks
@@ -131,7 +132,14 @@ def stream_keys(spark, sf_dir):
     return out.withColumn("window_s", r6("window_s"))
 
 
-@query()
+_CHECKS = "CAST(1 - p1 AS INT) AS y, 1 - p0 AS p, k / 100 AS load, CAST(k % 3 AS VARCHAR) AS lighting"
+
+
+# all files that wait make one batch
+@query(f"""{_EV}, ref AS (SELECT {_CHECKS} FROM valid WHERE event_type = 'IDENTITY_CHECK'), cur AS (SELECT 1 AS batch, {_CHECKS} FROM ev WHERE event_type = 'IDENTITY_CHECK'),
+{sql_psi('ref', 'cur', 'batch', ['p', 'load'])}, mx AS (SELECT max(psi) AS max_psi FROM psi)
+SELECT CAST(1 AS BIGINT) AS batch, CAST(count(*) AS BIGINT) AS sessions, {sql_r6('any_value(max_psi)', 'max_psi')}, {sql_r6('avg(CAST(p >= 0.05 AS INT))', 'review_rate')},
+  {sql_r6('count(*) FILTER (WHERE y = 0 AND p >= 0.05) / greatest(1, count(*) FILTER (WHERE y = 0))', 'clean_fpr')} FROM cur, mx""")
 def stream_drift(spark, sf_dir):
     """Arriving identity checks as scored rows against the whole table as reference."""
     def scored(df):
