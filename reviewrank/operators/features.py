@@ -6,11 +6,15 @@ window length, and do not depend on the order in which partial results arrive.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewrank.functions import registry as R
-from reviewrank.functions.reshape import exploded
 
 SCALE = 1_000_000_000
 
@@ -210,86 +214,212 @@ def baseline_aggs(needed: int = R.BASELINE_NEEDED) -> list[Column]:
     return out
 
 
-def _cells(windows: list[int], z: bool) -> dict[str, dict[str, Column | float]]:
-    """Everything a feature is reduced from: name -> value, run length, rolling means and cuts."""
-    none, zero = F.lit(None).cast("double"), F.lit(0).cast("bigint")
-
-    def cell(value: Column, run: Column = zero, rolled: list[Column] | None = None, cut: float = 0.0) -> dict:
-        return {"v": value.cast("double"), "run": run, "r": rolled or [none] * len(windows), "cut": F.lit(float(cut))}
-
-    out = {}
-    for n, _, kind, thr in R.SIGNALS:
-        out[n] = cell(F.col(n), F.col(f"{n}__run"), [F.col(f"{n}__r{w}") for w in windows], thr if kind == "continuous" else 0.5 * thr)
-    for c in R.CHANNELS:
-        out[f"obs_{c}"] = cell(F.col(f"obs_{c}"))
-    for name, cond in interaction_conditions().items():
-        out[name] = cell(cond)
-    out["returned"], out["luma"], out["p10"] = cell(F.col("_returned")), cell(F.col("luma")), cell(F.col("_p10"))
-    out["ticks"], out["duration"] = cell(F.col("ticks")), cell(F.col("duration_s"))
-    if z:
-        out["usable"] = cell(F.col("_usable"))
-        for n in R.BASELINE_FLOOR:
-            # the first rolling slot carries z itself, for its share above 3
-            out[f"z_{n}"] = cell(F.col(f"_z_{n}__r60"), F.col(f"_ok_{n}").cast("bigint"), [F.col(f"_z_{n}")] + [none] * (len(windows) - 1), 3.0)
+def _known(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """Values of some columns, a row each, 0 where unknown; and which are known."""
+    known = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in columns])
+    filled = np.stack([pc.fill_null(c.cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False) for c in columns])
+    return filled, known
+
+
+def _fixed_numbers(values: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Like :func:`_fixed`."""
+    return np.rint(values * scale).astype(np.int64)
+
+
+class _Rows:
+    """Consecutive grid rows of one or more sessions; the first session may have rows before, ``lead`` of them are here again."""
+
+    def __init__(self, starts: np.ndarray, n: int, lead: int):
+        self.starts, self.n, self.lead = starts, n, lead
+        self.first = np.repeat(starts, np.diff(np.append(starts, n)))  # of each row: the first row of its session
+        self.fresh = np.concatenate(([lead], starts[1:]))
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x, self.fresh, axis=1)
+
+    def tops(self, x: np.ndarray) -> np.ndarray:
+        return np.maximum.reduceat(x, self.fresh, axis=1)
+
+    def spread(self, x: np.ndarray) -> np.ndarray:
+        """A column for each new row from one for each session."""
+        return np.repeat(x, np.diff(np.append(self.fresh, self.n)), axis=1)
+
+    def rolled(self, fixed: np.ndarray, known: np.ndarray, scale: np.ndarray, window: int, ticks: np.ndarray) -> np.ndarray:
+        """NULL-aware means of the last ``window`` rows, NaN where too few are known; ``fixed`` and ``known`` are running from 0."""
+        before = np.maximum(self.first, np.arange(self.n) + 1 - window)
+        total, seen = fixed[:, 1:] - np.take(fixed, before, axis=1), known[:, 1:] - np.take(known, before, axis=1)
+        enough = seen >= np.maximum(1, np.minimum(window, ticks) // 2)
+        return np.where(enough, total / scale / np.maximum(seen, 1), np.nan)
+
+
+def _running_sums(x: np.ndarray) -> np.ndarray:
+    out = np.zeros((x.shape[0], x.shape[1] + 1), np.int64)
+    np.cumsum(x, axis=1, out=out[:, 1:])
     return out
 
 
+def _moments(rows: _Rows, v: np.ndarray, known: np.ndarray) -> dict[str, np.ndarray]:
+    """Count, mean and squared distances of every session's known values; a session of equal values gets no distance at all."""
+    n = rows.sums(known.astype(np.int64))
+    at = np.where(known, np.arange(rows.n), rows.n)
+    at = np.minimum.reduceat(at, rows.fresh, axis=1)
+    pivot = np.where(at < rows.n, np.take_along_axis(v, np.minimum(at, rows.n - 1), axis=1), 0.0)
+
+    def away(centre: np.ndarray) -> np.ndarray:
+        out = np.zeros(v.shape)
+        out[:, rows.lead:] = np.where(known[:, rows.lead:], v[:, rows.lead:] - rows.spread(centre), 0.0)
+        return out
+
+    mean = pivot + rows.sums(away(pivot)) / np.maximum(n, 1)
+    return {"n": n, "mean": mean, "m2": rows.sums(away(mean) ** 2)}
+
+
+_ADDED, _MOST, _MOMENTS = "added", "most", "moments"
+#: those of :func:`interaction_conditions`, in its order
+_COINCIDING = [n for n in R.INTERACTIONS if n != "x_paste_after_tab_return"]
+
+
+def _merged(a: dict, b: dict) -> dict:
+    """Statistics of rows that follow each other in one session."""
+    x, y = a[_MOMENTS], b[_MOMENTS]
+    n = x["n"] + y["n"]
+    delta, share = y["mean"] - x["mean"], y["n"] / np.maximum(n, 1)
+    mean = np.where(x["n"] == 0, y["mean"], x["mean"] + delta * share)
+    return {
+        _ADDED: {k: v + b[_ADDED][k] for k, v in a[_ADDED].items()},
+        _MOST: {k: np.fmax(v, b[_MOST][k]) for k, v in a[_MOST].items()},
+        _MOMENTS: {"n": n, "mean": mean, "m2": x["m2"] + y["m2"] + delta * delta * x["n"] * share},
+    }
+
+
+def _piece(batch: pa.RecordBatch, rows: _Rows, unbroken: np.ndarray, windows: list[int], zs: list[str]) -> tuple[dict, np.ndarray]:
+    """Statistics of the sessions in ``batch``, and for each signal the last second that was not above its threshold.
+
+    ``unbroken``: that second in the rows before the first session's.
+    """
+    col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+    lead = rows.lead
+    sec, ticks = (col[n].to_numpy(zero_copy_only=False) for n in ("sec", "ticks"))
+    v, known = _known([col[n] for n in R.SIGNAL_NAMES])
+    none = lambda x, there: np.where(there, x, -np.inf)
+
+    scale = np.array([[float(_scale(n))] for n in R.SIGNAL_NAMES])
+    fixed, counts = _running_sums(_fixed_numbers(v, scale) * known), _running_sums(known)
+    cut = np.array([[thr if kind == "continuous" else 0.5 * thr] for _, _, kind, thr in R.SIGNALS])
+    added, most = {}, {"max": rows.tops(none(v, known))}
+    for w in windows:
+        r = rows.rolled(fixed, counts, scale, w, ticks)
+        most[f"w{w}"] = rows.tops(none(r, ~np.isnan(r)))
+        added[f"w{w}"] = rows.sums((np.nan_to_num(r) > cut).astype(np.int64))
+
+    at = np.maximum.accumulate(np.where(v <= np.array([[R.THRESHOLD[n]] for n in R.SIGNAL_NAMES]), np.arange(rows.n), -1), axis=1)
+    before = np.full((len(v), rows.n), -1)
+    before[:, : rows.starts[1] if len(rows.starts) > 1 else rows.n] = unbroken[:, None]
+    last = np.where(at >= rows.first, sec[np.maximum(at, 0)], before)
+    most["run"] = rows.tops(sec - last)
+
+    others = [f"obs_{c}" for c in R.CHANNELS] + [*_COINCIDING, "_returned", "luma"]
+    x, there = _known([col[n] for n in others])
+    added |= {"sum": rows.sums(np.where(known, v, 0.0)), "n": rows.sums(known.astype(np.int64)), "others": rows.sums(np.where(there, x, 0.0)),
+              "others_n": rows.sums(there.astype(np.int64)), "rows": rows.sums(np.ones((1, rows.n), np.int64))}
+    whole = ["_p10", "ticks", "duration_s", *(["_usable"] if zs else []), *[f"_ok_{n}" for n in zs]]
+    x, there = _known([col[n] for n in whole])
+    most["whole"] = rows.tops(none(x, there))
+    if zs:
+        x, there = _known([col[f"_z_{n}"] for n in zs])
+        ones = np.full((len(zs), 1), float(SCALE))
+        r = rows.rolled(_running_sums(_fixed_numbers(x, ones) * there), _running_sums(there), ones, 60, ticks)
+        most["z"], added["z"] = rows.tops(none(r, ~np.isnan(r))), rows.sums((x > 3).astype(np.int64))
+    return {_ADDED: added, _MOST: most, _MOMENTS: _moments(rows, v, known)}, last[:, -1]
+
+
+def _feature_columns(s: dict, windows: list[int], zs: list[str], needed: int) -> dict[str, np.ndarray]:
+    """Features of finished sessions; NaN where a feature has no value."""
+    added, most, moments = s[_ADDED], s[_MOST], s[_MOMENTS]
+    n_rows = added["rows"][0]
+    zero = lambda x: np.where(np.isneginf(x), 0.0, x)
+    unknown = lambda x: np.where(np.isneginf(x), np.nan, x)
+    p10, _, duration, *baseline = most["whole"]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        others = added["others"] / np.where(added["others_n"] > 0, added["others_n"], np.nan)
+    f = {"duration_min": duration / 60.0}
+    for i, n in enumerate(R.SIGNAL_NAMES):
+        seen = np.maximum(added["n"][i], 1)
+        f |= {f"{n}__mean": added["sum"][i] / seen, f"{n}__max": zero(most["max"][i]), f"{n}__std": np.sqrt(moments["m2"][i] / seen)}
+        f[f"{n}__longest_run_s"] = most["run"][i].astype(float)
+        for w in windows:
+            f |= {f"{n}__w{w}_max": zero(most[f"w{w}"][i]), f"{n}__w{w}_over": added[f"w{w}"][i] / n_rows}
+    ready = baseline[0] >= needed if zs else np.zeros(len(n_rows), bool)
+    f["baseline_available"] = ready.astype(float)
+    for i, n in enumerate(R.BASELINE_FLOOR):
+        ok = ready & (baseline[1 + i] == 1) if zs else ready
+        f[f"bn_{n}__w60_max"] = np.where(ok, zero(most["z"][i]) if zs else 0.0, np.nan)
+        f[f"bn_{n}__frac_over3"] = np.where(ok, added["z"][i] / n_rows if zs else 0.0, np.nan)
+    k = len(R.CHANNELS)
+    f |= {f"unk_{c}": 1.0 - others[i] for i, c in enumerate(R.CHANNELS)}
+    f |= dict(zip(_COINCIDING, others[k:-2], strict=True))
+    f["x_paste_after_tab_return"] = added["others"][-2]
+    f |= {"q_luma_mean": others[-1], "q_luma_p10": unknown(p10)}
+    return f
+
+
+def _picked(s: dict, where: slice) -> dict:
+    return {part: {k: v[:, where] for k, v in values.items()} for part, values in s.items()}
+
+
 def session_features(
     grid: DataFrame, windows: list[int] = R.WINDOWS, baseline: bool = True, needed: int = R.BASELINE_NEEDED
 ) -> DataFrame:
     """One row per session with the feature columns in registry order.
 
-    The wide row is turned into about fifty small ones and reduced by a handful of aggregates: one
-    aggregation with three hundred functions does not compile to fast code.  No further shuffle happens.
+    Spark brings the rows of a session together in order and finds medians over sessions in windows.  What is left needs a
+    row and those of one window length before it: each task adds it up over its Arrow batches as they come, so it holds a
+    batch, the last rows of the one before and one session's statistics, however long a session is.
     """
-    names, pairs = list(R.SIGNAL_NAMES), [(n, w) for w in windows for n in R.SIGNAL_NAMES]
-    # each select below is one window operator: values that need nothing else first, then what builds on them
     p10 = F.percentile("luma", F.lit(0.1)).over(_whole()).alias("_p10")
-    df = grid.select("*", p10, _returned(), *[_run_length(n) for n in names], *_running(names), *([_usable_so_far()] if baseline else []))
-    keep = [c for c in df.columns if not c.startswith(("_s_", "_n_"))]
-    seconds = R.BASELINE_SECONDS
-    df = df.select("*", *_lagged(pairs), *(_baseline_centre(seconds) if baseline else []))
-    centre = [c for c in df.columns if c.startswith(("_usable", "_have_", "_med_"))]
-    df = df.select(*keep, *centre, *[_mean(n, w) for n, w in pairs])
+    df = grid.select("*", p10, _returned(), *([_usable_so_far()] if baseline else []))
+    zs = list(R.BASELINE_FLOOR) if baseline else []
     if baseline:
-        df = df.select("*", *_baseline_spread(seconds))
-        df = df.select("*", *_baseline_z(needed)).drop("_nth", *[f"{k}_{n}" for k in ("_have", "_med", "_mad") for n in R.BASELINE_FLOOR])
-        df = with_rolling(df, {60: [f"_z_{n}" for n in R.BASELINE_FLOOR]})
-    cells = _cells(windows, baseline)
-    at = {name: i for i, name in enumerate(cells)}
-    slots = [f"r{i}" for i in range(len(windows))]
-    rows = F.array(*[
-        F.struct(F.lit(i).alias("i"), c["v"].alias("v"), c["run"].alias("run"), *[x.alias(s) for x, s in zip(c["r"], slots, strict=True)], c["cut"].alias("cut"))
-        for i, c in enumerate(cells.values())
-    ])
-    long = exploded(df, ["session_id"], rows).select("session_id", "x.*")
-    stats = long.groupBy("session_id", "i").agg(
-        F.avg("v").alias("mean"), F.max("v").alias("max"), F.stddev_pop("v").alias("std"), F.sum("v").alias("sum"), F.max("run").alias("run"),
-        *[F.max(s).alias(f"{s}_max") for s in slots], *[_share(F.coalesce(F.col(s), F.lit(0.0)) > F.col("cut")).alias(f"{s}_over") for s in slots])
-    names = [c for c in stats.columns if c not in ("session_id", "i")]
-    packed = stats.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("i", *names))).alias("s"))
-
-    def get(name: str, stat: str) -> Column:
-        return F.col("s")[at[name]][stat]
-
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    f = {"duration_min": get("duration", "max") / 60.0}
-    for n in R.SIGNAL_NAMES:
-        f |= {f"{n}__{k}": zero(get(n, k)) for k in ("mean", "max", "std")}
-        f[f"{n}__longest_run_s"] = get(n, "run").cast("double")
-        for w, s in zip(windows, slots, strict=True):
-            f |= {f"{n}__w{w}_max": zero(get(n, f"{s}_max")), f"{n}__w{w}_over": get(n, f"{s}_over")}
-    ready = get("usable", "max") >= needed if baseline else F.lit(False)
-    f["baseline_available"] = ready.cast("double")
-    for n in R.BASELINE_FLOOR:
-        for stat in ("w60_max", "frac_over3"):
-            f[f"bn_{n}__{stat}"] = F.lit(None).cast("double")
-        if baseline:
-            ok = ready & (get(f"z_{n}", "run") == 1)
-            f[f"bn_{n}__w60_max"] = F.when(ok, zero(get(f"z_{n}", "max")))
-            f[f"bn_{n}__frac_over3"] = F.when(ok, get(f"z_{n}", "r0_over"))
-    f |= {x: get(x, "mean") for x in interaction_conditions()}
-    f["x_paste_after_tab_return"] = get("returned", "sum")
-    f |= {f"unk_{c}": 1.0 - get(f"obs_{c}", "mean") for c in R.CHANNELS}
-    f |= {"q_luma_mean": get("luma", "mean"), "q_luma_p10": get("p10", "max")}
-    return packed.select("session_id", *[f[n].alias(n) for n in R.feature_names() if n in f])
+        df = df.select("*", *_baseline_centre(R.BASELINE_SECONDS))
+        df = df.select("*", *_baseline_spread(R.BASELINE_SECONDS)).select("*", *_baseline_z(needed))
+    # the windows above leave the rows of a session together and in order
+    df = df.select(
+        "session_id", "sec", "ticks", "duration_s", *R.SIGNAL_NAMES, *[f"obs_{c}" for c in R.CHANNELS], "luma", "_p10", "_returned",
+        *[c.alias(n) for n, c in interaction_conditions().items()], *(["_usable"] if baseline else []), *[f"_{k}_{n}" for k in ("z", "ok") for n in zs])
+    names = [n for n in R.feature_names() if "__w" not in n or n.startswith("bn_") or int(n.rsplit("__w", 1)[1].split("_")[0]) in windows]
+    most = max([*windows, 60]) - 1
+    schema = pa.schema([("session_id", pa.string()), *[(n, pa.float64()) for n in names]])
+
+    def done(ids: pa.Array, stats: dict) -> pa.RecordBatch:
+        made = _feature_columns(stats, windows, zs, needed)
+        return pa.RecordBatch.from_arrays([ids, *[pa.array(made[n], pa.float64(), from_pandas=True) for n in names]], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = ids = lead = unbroken = None  # of the last session so far: statistics, id, last rows, and where its runs began
+        for b in batches:
+            if not b.num_rows:
+                continue
+            goes_on = held is not None and b.column(0)[0].equals(ids[0])
+            if held is not None and not goes_on:
+                yield done(ids, held)
+            whole = pa.concat_batches([lead, b]) if goes_on else b
+            ends = pc.run_end_encode(whole.column(0))
+            starts = np.concatenate(([0], ends.run_ends.to_numpy(zero_copy_only=False)[:-1])).astype(np.int64)
+            rows = _Rows(starts, whole.num_rows, lead.num_rows if goes_on else 0)
+            stats, last = _piece(whole, rows, unbroken if goes_on else np.full(len(R.SIGNAL_NAMES), -1), windows, zs)
+            n = len(starts)
+            if goes_on:
+                first = _merged(held, _picked(stats, slice(0, 1)))
+                if n > 1:
+                    yield done(ids, first)
+            if n - 1 > (1 if goes_on else 0):
+                some = slice(1 if goes_on else 0, n - 1)
+                yield done(ends.values.slice(some.start, some.stop - some.start), _picked(stats, some))
+            held = first if goes_on and n == 1 else _picked(stats, slice(n - 1, n))
+            ids = ends.values.slice(n - 1, 1)
+            lead = whole.slice(max(int(starts[-1]), whole.num_rows - most))
+            unbroken = last
+        if held is not None:
+            yield done(ids, held)
+
+    return df.mapInArrow(run, ", ".join(["session_id string", *[f"`{n}` double" for n in names]]))
