@@ -160,11 +160,8 @@ def score_directory(spark, sf_dir):
     """Session records written as text by session, scored with the baseline weights as a linear model."""
     path = sinks.new_folder(spark, "sessions")
     records = valid_events(spark, sf_dir).select("session_id", "event_seq", C.canonical_json().alias("value"))
-    # ranged by session and order: a busy session is written by several tasks, whose part names keep the order
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = records.repartitionByRange(parts, "session_id", "event_seq").sortWithinPartitions("session_id", "event_seq")
-    ranged.drop("event_seq").write.partitionBy("session_id").text(path)
-    lines = FL.read_session_parts(spark, path)
+    FL.write_session_lines(records, path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    lines = FL.read_session_lines(spark, path)
     model = S.RiskModel(list(R.RULE_WEIGHTS), list(R.RULE_WEIGHTS.values()), R.RULE_BIAS, {}, [0.0] * len(R.RULE_WEIGHTS))
     meta = valid_events(spark, sf_dir).select("session_id").distinct().withColumn("duration_s", F.lit(B.TICKS * B.STEP_MS / 1000.0))
     scored, failed = V.score_records(lines, meta, model, B.STEP_MS, B.LATE_MS)
