@@ -237,6 +237,14 @@ class _Rows:
     def sums(self, x: np.ndarray) -> np.ndarray:
         return np.add.reduceat(x, self.fresh, axis=1)
 
+    def sums_in_order(self, x: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Sums that add row after row, the first session's from ``start`` on: rounded means do not depend on batches."""
+        k, s = len(x), len(self.fresh)
+        values = np.concatenate((np.zeros((k, s)), x[:, self.lead:]), axis=1)
+        values[:, 0] = start
+        of = np.concatenate((np.arange(s), np.repeat(np.arange(s), np.diff(np.append(self.fresh, self.n)))))
+        return np.bincount((of + s * np.arange(k)[:, None]).ravel(), values.ravel(), k * s).reshape(k, s)
+
     def tops(self, x: np.ndarray) -> np.ndarray:
         return np.maximum.reduceat(x, self.fresh, axis=1)
 
@@ -274,7 +282,7 @@ def _moments(rows: _Rows, v: np.ndarray, known: np.ndarray) -> dict[str, np.ndar
     return {"n": n, "mean": mean, "m2": rows.sums(away(mean) ** 2)}
 
 
-_ADDED, _MOST, _MOMENTS = "added", "most", "moments"
+_ADDED, _MOST, _MOMENTS, _ORDERED = "added", "most", "moments", "ordered"
 #: those of :func:`interaction_conditions`, in its order
 _COINCIDING = [n for n in R.INTERACTIONS if n != "x_paste_after_tab_return"]
 
@@ -289,13 +297,16 @@ def _merged(a: dict, b: dict) -> dict:
         _ADDED: {k: v + b[_ADDED][k] for k, v in a[_ADDED].items()},
         _MOST: {k: np.fmax(v, b[_MOST][k]) for k, v in a[_MOST].items()},
         _MOMENTS: {"n": n, "mean": mean, "m2": x["m2"] + y["m2"] + delta * delta * x["n"] * share},
+        _ORDERED: b[_ORDERED],  # begun with those of ``a``
     }
 
 
-def _piece(batch: pa.RecordBatch, rows: _Rows, unbroken: np.ndarray, windows: list[int], zs: list[str]) -> tuple[dict, np.ndarray]:
+def _piece(
+    batch: pa.RecordBatch, rows: _Rows, held: dict | None, unbroken: np.ndarray, windows: list[int], zs: list[str]
+) -> tuple[dict, np.ndarray]:
     """Statistics of the sessions in ``batch``, and for each signal the last second that was not above its threshold.
 
-    ``unbroken``: that second in the rows before the first session's.
+    ``held`` and ``unbroken``: statistics and that second of the first session's rows before.
     """
     col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
     lead = rows.lead
@@ -318,10 +329,11 @@ def _piece(batch: pa.RecordBatch, rows: _Rows, unbroken: np.ndarray, windows: li
     last = np.where(at >= rows.first, sec[np.maximum(at, 0)], before)
     most["run"] = rows.tops(sec - last)
 
+    start = {k: x[:, 0] for k, x in held[_ORDERED].items()} if held else {"sum": 0.0, "others": 0.0}
     others = [f"obs_{c}" for c in R.CHANNELS] + [*_COINCIDING, "_returned", "luma"]
     x, there = _known([col[n] for n in others])
-    added |= {"sum": rows.sums(np.where(known, v, 0.0)), "n": rows.sums(known.astype(np.int64)), "others": rows.sums(np.where(there, x, 0.0)),
-              "others_n": rows.sums(there.astype(np.int64)), "rows": rows.sums(np.ones((1, rows.n), np.int64))}
+    ordered = {"sum": rows.sums_in_order(v, start["sum"]), "others": rows.sums_in_order(x, start["others"])}
+    added |= {"n": rows.sums(known.astype(np.int64)), "others_n": rows.sums(there.astype(np.int64)), "rows": rows.sums(np.ones((1, rows.n), np.int64))}
     whole = ["_p10", "ticks", "duration_s", *(["_usable"] if zs else []), *[f"_ok_{n}" for n in zs]]
     x, there = _known([col[n] for n in whole])
     most["whole"] = rows.tops(none(x, there))
@@ -330,22 +342,22 @@ def _piece(batch: pa.RecordBatch, rows: _Rows, unbroken: np.ndarray, windows: li
         ones = np.full((len(zs), 1), float(SCALE))
         r = rows.rolled(_running_sums(_fixed_numbers(x, ones) * there), _running_sums(there), ones, 60, ticks)
         most["z"], added["z"] = rows.tops(none(r, ~np.isnan(r))), rows.sums((x > 3).astype(np.int64))
-    return {_ADDED: added, _MOST: most, _MOMENTS: _moments(rows, v, known)}, last[:, -1]
+    return {_ADDED: added, _MOST: most, _MOMENTS: _moments(rows, v, known), _ORDERED: ordered}, last[:, -1]
 
 
 def _feature_columns(s: dict, windows: list[int], zs: list[str], needed: int) -> dict[str, np.ndarray]:
     """Features of finished sessions; NaN where a feature has no value."""
-    added, most, moments = s[_ADDED], s[_MOST], s[_MOMENTS]
+    added, most, moments, ordered = s[_ADDED], s[_MOST], s[_MOMENTS], s[_ORDERED]
     n_rows = added["rows"][0]
     zero = lambda x: np.where(np.isneginf(x), 0.0, x)
     unknown = lambda x: np.where(np.isneginf(x), np.nan, x)
     p10, _, duration, *baseline = most["whole"]
     with np.errstate(invalid="ignore", divide="ignore"):
-        others = added["others"] / np.where(added["others_n"] > 0, added["others_n"], np.nan)
+        others = ordered["others"] / np.where(added["others_n"] > 0, added["others_n"], np.nan)
     f = {"duration_min": duration / 60.0}
     for i, n in enumerate(R.SIGNAL_NAMES):
         seen = np.maximum(added["n"][i], 1)
-        f |= {f"{n}__mean": added["sum"][i] / seen, f"{n}__max": zero(most["max"][i]), f"{n}__std": np.sqrt(moments["m2"][i] / seen)}
+        f |= {f"{n}__mean": ordered["sum"][i] / seen, f"{n}__max": zero(most["max"][i]), f"{n}__std": np.sqrt(moments["m2"][i] / seen)}
         f[f"{n}__longest_run_s"] = most["run"][i].astype(float)
         for w in windows:
             f |= {f"{n}__w{w}_max": zero(most[f"w{w}"][i]), f"{n}__w{w}_over": added[f"w{w}"][i] / n_rows}
@@ -358,7 +370,7 @@ def _feature_columns(s: dict, windows: list[int], zs: list[str], needed: int) ->
     k = len(R.CHANNELS)
     f |= {f"unk_{c}": 1.0 - others[i] for i, c in enumerate(R.CHANNELS)}
     f |= dict(zip(_COINCIDING, others[k:-2], strict=True))
-    f["x_paste_after_tab_return"] = added["others"][-2]
+    f["x_paste_after_tab_return"] = ordered["others"][-2]
     f |= {"q_luma_mean": others[-1], "q_luma_p10": unknown(p10)}
     return f
 
@@ -406,7 +418,7 @@ def session_features(
             ends = pc.run_end_encode(whole.column(0))
             starts = np.concatenate(([0], ends.run_ends.to_numpy(zero_copy_only=False)[:-1])).astype(np.int64)
             rows = _Rows(starts, whole.num_rows, lead.num_rows if goes_on else 0)
-            stats, last = _piece(whole, rows, unbroken if goes_on else np.full(len(R.SIGNAL_NAMES), -1), windows, zs)
+            stats, last = _piece(whole, rows, held if goes_on else None, unbroken if goes_on else np.full(len(R.SIGNAL_NAMES), -1), windows, zs)
             n = len(starts)
             if goes_on:
                 first = _merged(held, _picked(stats, slice(0, 1)))
