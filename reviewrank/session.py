@@ -48,6 +48,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named or current
 
 
+METHOD_BYTES = "spark.sql.codegen.hugeMethodLimit"
+
+
+def compiled_methods(spark: SparkSession, limit: int = 8000) -> None:
+    """Let no step generate a method longer than the JVM compiles: such a step would run interpreted, on every row."""
+    spark.conf.set(METHOD_BYTES, str(min(limit, int(spark.conf.get(METHOD_BYTES)))))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
