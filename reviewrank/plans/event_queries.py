@@ -11,7 +11,7 @@ from reviewrank.operators import ingest as I
 from reviewrank.operators import records as C
 from reviewrank.operators import validate as V
 from reviewrank.plans.catalog import query, r6, sql_r6
-from reviewrank.session import cut_lineage
+from reviewrank.session import compiled_methods, cut_lineage
 from reviewrank.sources import bridge as B
 from reviewrank.sources import flat as S
 from reviewrank.sources import session_index as IX
@@ -199,6 +199,7 @@ _TELEMETRY = f"""{_EV}, base_reason AS (SELECT *, {_REASON} AS r FROM ev), poste
 
 @query(f"{_TELEMETRY} SELECT event_seq, reason FROM posted")
 def ingest_telemetry(spark, sf_dir):
+    compiled_methods(spark)  # the contract's rules make one long method
     return I.validate_telemetry(posted_telemetry(spark, sf_dir)).select("event_seq", "reason")
 
 
