@@ -326,8 +326,9 @@ def temporal_model(spark, sf_dir):
 def run_log(spark, sf_dir):
     """Train the baseline's threshold and log it."""
     t0 = time.time()
-    scored = _rule_frame(spark, sf_dir).select("session_id", S.rule_score().alias("p")).join(
-        training_rows(spark, sf_dir).select("session_id", "y"), "session_id")
+    # the metrics read these rows three times, and each would make the grid and its windows anew
+    scored = cut_lineage(_rule_frame(spark, sf_dir).select("session_id", S.rule_score().alias("p")).join(
+        training_rows(spark, sf_dir).select("session_id", "y"), "session_id"))
     head = M.summary(scored, 0.05).first().asDict()
     path = sinks.new_folder(spark, "runs")
     T.log_run(spark, path, "rule-baseline", {"bias": R.RULE_BIAS, "weights": R.RULE_WEIGHTS}, head, t0)
