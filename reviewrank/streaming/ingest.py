@@ -35,9 +35,13 @@ def run_windows(df: DataFrame, path: str, checkpoint: str) -> None:
 
 
 def latest(written: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per window of what :func:`run_windows` wrote: that of the last micro-batch that changed it."""
+    """One row per window of what :func:`run_windows` wrote: that of the last micro-batch that changed it.
+
+    A micro-batch writes a window once, so all values are found under the same one.  Each is picked by itself: numbers are then
+    aggregated by hash, where a struct would have all windows sorted.
+    """
     values = [c for c in written.columns if c not in (*keys, "batch_id")]
-    return written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_v")).select(*keys, "_v.*")
+    return written.groupBy(*keys).agg(*[F.max_by(c, "batch_id").alias(c) for c in values])
 
 
 def run_batches(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:

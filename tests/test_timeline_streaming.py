@@ -59,3 +59,13 @@ def test_folder_of_sessions(spark, flat, tmp_path):
     rows = {r["session_id"]: r.asDict() | {"session_id": None} for r in scored.drop("flags").collect()}
     assert rows["same"] == rows["abc"]  # a list and lines of the same records
     assert [(r["session_id"], r["error"]) for r in failed.collect()] == [("bad", "1 records are not JSON")]
+
+
+def test_the_newest_version_of_a_window_needs_no_sort(spark, capsys):
+    rows = [("a", 0, 0.5, 2, 0), ("a", 0, None, 3, 1), ("a", 1, 0.25, 4, 0), (None, 0, 1.0, 1, 2), (None, 0, 0.0, 2, 10), ("b", None, None, 0, 0)]
+    written = spark.createDataFrame(rows, "session_id STRING, window_start BIGINT, mean DOUBLE, observed BIGINT, batch_id BIGINT")
+    out = I.latest(written, ["session_id", "window_start"])
+    assert set(map(tuple, out.collect())) == {("a", 0, None, 3), ("a", 1, 0.25, 4), (None, 0, 0.0, 2), ("b", None, None, 0)}
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
