@@ -33,6 +33,7 @@ MOST_SLOTS = 1 << 22  # 32 MB; with more seeds the filter lets more through, and
 SLOT_BITS = 4  # bits a seed sets in its slot
 SALTS = 8  # a seed that most documents hold is joined in so many places
 HELD_WORDS = 1 << 20  # words whose hashes a task keeps at hand
+BROADCAST_ROWS = 500_000  # most leaking texts whose digests are broadcast (some 100 bytes each); more are joined by a shuffle
 PIECE = 1 << 20  # tokens hashed, or facing places compared, at a time
 
 # scripts written without spaces, where every character is a token: Thai and Lao, Myanmar, Khmer, kana, ideographs
@@ -306,4 +307,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least_item: int = LEAST
     found = _overlaps(texts, "string", _items(benchmark, least_item).dropDuplicates(["ids"]), scratch)
     leaked = Scratch(docs.sparkSession).cut(found.select("key").distinct())
     scratch.drop_all()
-    return docs.join(leaked, digest == leaked["key"], "left_anti")
+    few = leaked.count() <= BROADCAST_ROWS  # then no text is shuffled
+    return docs.join(F.broadcast(leaked) if few else leaked, digest == leaked["key"], "left_anti")

@@ -237,3 +237,22 @@ def test_a_filter_that_lets_all_pass_gives_the_same(spark, monkeypatch):
     for none in (bench.limit(0), bench.where("item_id = 900")):
         assert spaced_seeds.contaminated(frame, none).count() == 0 and spaced_seeds.decontaminate(frame, none).count() == 14
     assert spaced_seeds.contaminated(frame.limit(0), bench).count() == 0 and spaced_seeds.decontaminate(frame.limit(0), bench).count() == 0
+
+
+def test_texts_stay_where_they_are_when_few_leak(spark, monkeypatch):
+    words = [f"word{i}" for i in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(words[:20]))], "item_id long, text string")
+    texts = [" ".join(words[:20]), " ".join(words[20:]), None, "", "a few words"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = spaced_seeds.decontaminate(frame, bench)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+        monkeypatch.setattr(spaced_seeds, "BROADCAST_ROWS", 0)
+        shuffled = spaced_seeds.decontaminate(frame, bench)
+        assert "SortMergeJoin" in shuffled._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r[0] for r in kept.collect()) == sorted(r[0] for r in shuffled.collect()) == [1, 2, 3, 4]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
