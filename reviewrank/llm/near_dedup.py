@@ -14,11 +14,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -32,6 +33,7 @@ SHINGLE, LIKENESS = 5, 0.8
 FIRST_LEADERS = 16  # of a shingle in the first round after that of the best one
 ORDER_TEXTS, ORDER_SHINGLES = 16_384, 65_536  # texts read and shingles kept to put frequent shingles last
 NAME = ("no_id", "id", "text_hash")
+KEY_PARTS = 4  # of the keys, that are brought together one after the other
 PARITY_WORDS = 16  # 64-bit words of bucket parities
 PIECE_BYTES = 2 << 20  # of text worked on at a time
 BROADCAST_ROWS = 1_000_000  # most rows of a broadcast list of texts (32 bytes each); longer ones are joined by a shuffle
@@ -190,36 +192,52 @@ class Linker:
         return rows.join(roots, "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash"))
 
     def link_rest(self, postings: DataFrame, first: int = FIRST_LEADERS) -> None:
-        """Compare all texts that share a key of ``postings(key, text_hash, at, own)`` until links connect all near ones.
+        """Compare all texts that share a key of ``postings(key, text_hash, n, at, own)`` until links connect all near ones.
 
-        A pair needs no comparison under a key that neither has in its ``own`` part.  Under each other key all texts first meet
-        the one with the key at its earliest place.  After that, members outside the key's largest group are compared with all
+        A pair needs no comparison under a key that neither has in its ``own`` part, nor under one that cannot be the first
+        they share (:func:`_may_be_near`).  Under each other key all texts first meet the one with the key at its earliest place.  After that, members outside the key's largest group are compared with all
         of other groups, a share of them a round so that links found meanwhile save the rest.  The share grows fourfold, and
         the rounds end when no key is left with two groups.
         """
-        held = postings.groupBy("key").agg(F.count("*").alias("held"), F.max("own").alias("any_own")).where("held > 1 and any_own").select("key")
-        alive = self.scratch.cut(postings.join(held, "key"))
-        self.scratch.tidy()
-        best = alive.groupBy("key").agg(F.min(F.struct("at", "text_hash"))["text_hash"].alias("b"))
-        self.verify(alive.join(best, "key").select(F.col("text_hash").alias("a"), "b"))
+        parts = []
+        for part in range(KEY_PARTS):  # the shuffle files of one are freed before the next; most keys have one text and stay here
+            mine = postings.where(F.pmod("key", F.lit(KEY_PARTS)) == part)
+            held = mine.groupBy("key").agg(F.count("*").alias("held"), F.max("own").alias("any_own")).where("held > 1 and any_own").select("key")
+            parts.append(self.scratch.cut(mine.join(held, "key")))
+            self.scratch.tidy()
+        alive = reduce(DataFrame.unionByName, parts)
+        best = alive.groupBy("key").agg(F.min(F.struct("at", "text_hash", "n")).alias("b")).select("key", *[F.col(f"b.{c}").alias(f"{c}_b") for c in ("text_hash", "n", "at")])
+        met = alive.join(best, "key").where((F.col("text_hash") != F.col("text_hash_b")) & _may_be_near(self.least))
+        self.verify(met.select(F.col("text_hash").alias("a"), F.col("text_hash_b").alias("b")))
         n = first
         while True:
-            rows = self.rooted(alive.select("key", "text_hash", "own"))
+            rows = self.rooted(alive.select("key", "text_hash", "n", "at", "own"))
             groups = rows.groupBy("key", "root").agg(F.count("*").alias("size"), F.max("own").alias("own"))
             keys = groups.groupBy("key").agg(F.sum("size").alias("all"), F.max(F.struct("size", "root")).alias("big"), F.max("own").alias("own"))
             keys = keys.where("all > big.size and own").select("key", F.col("big.root").alias("big"), (F.col("all") - F.col("big.size")).alias("outside"))
             dice = F.pmod(F.xxhash64("text_hash", "key", F.lit(n)), F.lit(1 << 20))
             leads = (F.col("root") != F.col("big")) & (dice * F.col("outside") < F.lit(n << 20))
-            alive = self.scratch.cut(rows.join(keys, "key").select("key", "text_hash", "own", "root", leads.alias("leads")), alive)
+            alive = self.scratch.cut(rows.join(keys, "key").select("key", "text_hash", "n", "at", "own", "root", leads.alias("leads")), *parts)
             if alive.isEmpty():
                 return
-            lead = alive.where("leads").select("key", *[F.col(c).alias(f"{c}_b") for c in ("text_hash", "own", "root")])
-            met = alive.join(lead, "key").where((F.col("root") != F.col("root_b")) & (F.col("own") | F.col("own_b")))
+            lead = alive.where("leads").select("key", *[F.col(c).alias(f"{c}_b") for c in ("text_hash", "n", "at", "own", "root")])
+            differ = (F.col("root") != F.col("root_b")) & (F.col("own") | F.col("own_b"))
+            met = alive.join(lead, "key").where(differ & _may_be_near(self.least))
             self.verify(met.select(F.col("text_hash").alias("a"), F.col("text_hash_b").alias("b")).distinct())
             alive = self.scratch.cut(alive.where("not leads"), alive)
+            parts = [alive]
             n *= 4
 
 
+def _may_be_near(least: float) -> Column:
+    """Whether texts of ``n`` and ``n_b`` shingles with a key at the places ``at`` and ``at_b`` can be near if they share none before.
+
+    Then they share at most what follows in the shorter rest.  Near texts pass under the first key they share, so none is lost.
+    """
+    rest = F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b"))
+    return rest >= (F.col("n") + F.col("n_b")) * (least / (1 + least)) - 1e-6
+
+
 def named_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``wanted(no_id, id, text_hash, repeated)`` names, with ``repeated``.
 
@@ -230,10 +248,10 @@ def named_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def postings_of(texts: DataFrame, least: float) -> DataFrame:
-    """``(key, text_hash, at, own)``: a row for each key of a text, with its place and whether it lies in the smaller text's part."""
+    """``(key, text_hash, n, at, own)``: a row for each key of a text, with its place and whether it lies in the smaller text's part."""
     own = F.col("n") - F.ceil(F.col("n") * (2 * least / (1 + least)) - 1e-6) + 1
-    rows = texts.select("text_hash", own.alias("upto"), F.posexplode("keys").alias("at", "key"))
-    return rows.select("key", "text_hash", "at", (F.col("at") < F.greatest("upto", F.lit(1))).alias("own"))
+    rows = texts.select("text_hash", "n", own.alias("upto"), F.posexplode("keys").alias("at", "key"))
+    return rows.select("key", "text_hash", "n", "at", (F.col("at") < F.greatest("upto", F.lit(1))).alias("own"))
 
 
 def _with_name(docs: DataFrame, at: tuple[str, str, str]) -> DataFrame:

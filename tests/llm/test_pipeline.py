@@ -169,3 +169,27 @@ def test_parities_bound_the_difference():
         b = {x for x in a if rng.random() < 0.9} | {rng.getrandbits(64) for _ in range(rng.randint(0, 60))}
         p, q = (near_dedup.parities(np.array(sorted(x), np.uint64)).view(np.uint64) for x in (a, b))
         assert int(np.bitwise_count(p ^ q).sum()) <= len(a ^ b)
+
+
+def test_texts_under_one_key_that_cannot_be_near_are_not_paired(spark, monkeypatch):
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    line = [word() for _ in range(12)]
+    texts = [" ".join(line + [word() for _ in range(int(10 * 1.35**i))]) for i in range(16)]
+    texts += [f"{texts[0]} {word()}", f"{texts[7]} {word()}"]
+    held = cut_lineage(spark.createDataFrame([(False, i, i, t) for i, t in enumerate(texts)], "no_id boolean, id long, text_hash long, text string"))
+    # the line's shingles come first in the order, as in an unlucky sample: every text has them among its keys
+    described = near_dedup.described(held, 5, 0.8).collect()
+    common = {int(x) for x in near_dedup.shingle_hashes(" ".join(line)).view(np.int64)}
+    rows = []
+    for r, t in zip(sorted(described, key=lambda r: r.text_hash), texts):
+        mine = sorted((int(x) for x in near_dedup.shingle_hashes(t).view(np.int64)), key=lambda x: (x not in common, x))
+        rows.append((r.text_hash, r.no_id, r.id, False, r.n, list(r.parity), mine[: len(r["keys"])]))
+    ddl = "text_hash long, no_id boolean, id long, repeated boolean, n int, parity array<long>, keys array<long>"
+    table = cut_lineage(spark.createDataFrame(rows, ddl))
+    linker, met = near_dedup.Linker(table, held, 5, 0.8), []
+    plain = linker.verify
+    monkeypatch.setattr(linker, "verify", lambda pairs: (met.append(pairs.count()), plain(pairs)))
+    linker.link_rest(near_dedup.postings_of(table, 0.8))
+    assert {(min(r), max(r)) for r in linker.links.collect()} == {(0, 16), (7, 17)}
+    assert sum(met) < 40  # one line in all texts makes 153 pairs under each of its keys
