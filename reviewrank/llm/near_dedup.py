@@ -220,6 +220,7 @@ class Linker:
             alive = self.scratch.cut(rows.join(keys, "key").select("key", "text_hash", "n", "at", "own", "root", leads.alias("leads")), *parts)
             if alive.isEmpty():
                 return
+            self.scratch.tidy()
             lead = alive.where("leads").select("key", *[F.col(c).alias(f"{c}_b") for c in ("text_hash", "n", "at", "own", "root")])
             differ = (F.col("root") != F.col("root_b")) & (F.col("own") | F.col("own_b"))
             met = alive.join(lead, "key").where(differ & _may_be_near(self.least))
