@@ -83,8 +83,11 @@ def _windows(spark, df, name, keys):
     """Every window, closed or still open at the end of the input; starts as whole seconds since the epoch."""
     path = sinks.new_folder(spark, name)
     I.run_windows(df, path, sinks.new_folder(spark, f"{name}-checkpoint"))
-    out = I.latest(spark.read.schema(df.schema.add("batch_id", "long")).parquet(path), keys)
-    return out.withColumns({c: F.unix_timestamp(c) for c, t in out.dtypes if t == "timestamp"})
+    return _in_seconds(I.latest(spark.read.schema(df.schema.add("batch_id", "long")).parquet(path), keys))
+
+
+def _in_seconds(windows):
+    return windows.withColumns({c: F.unix_timestamp(c) for c, t in windows.dtypes if t == "timestamp"})
 
 
 _MS = "(ts_ms + 1704067200000)"
@@ -116,8 +119,9 @@ SELECT session_id, window_start, CAST(window_start + 36000 AS BIGINT) AS window_
 def stream_sliding(spark, sf_dir):
     """Sliding means of identity mismatch over ten hours in hourly steps."""
     miss = F.when(F.col("event_type") == "IDENTITY_CHECK", (F.col("p1") < 0.5).cast("double"))
-    out = _windows(spark, I.sliding_means(_stream(spark, sf_dir), "at", miss, "10 hours", _HOUR, _HOUR), "sliding", ["session_id", "window_start", "window_end"])
-    return out.withColumn("mean", r6("mean"))
+    base, checkpoint = sinks.new_folder(spark, "sliding"), sinks.new_folder(spark, "sliding-checkpoint")
+    out = L.sliding_means(_stream(spark, sf_dir), "at", miss, base, checkpoint, "10 hours", _HOUR, _HOUR)
+    return _in_seconds(out).withColumn("mean", r6("mean"))
 
 
 @query(f"""{_EV}, w AS (SELECT session_id, {_MS} // 36000000 * 36000 AS s, count(*) AS n, max(CASE WHEN k % 5 = 0 THEN {_MS} / 1000.0 + 1200 END) AS e

@@ -101,13 +101,6 @@ def tick_counts(events: DataFrame, event_time: str, width: str = "1 second", del
     ).select("session_id", F.col("window.start").alias("tick_start"), "n_events", "faces", "pasted", "verified")
 
 
-def sliding_means(events: DataFrame, event_time: str, value: Column, width: str = "60 seconds", slide: str = "1 second", delay: str = "30 seconds") -> DataFrame:
-    """Mean of ``value`` over sliding windows; the batch rolling mean is the exact per-tick form."""
-    return events.withWatermark(event_time, delay).groupBy("session_id", F.window(event_time, width, slide)).agg(
-        F.avg(value).alias("mean"), F.count(value).alias("observed")).select(
-        "session_id", F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "mean", "observed")
-
-
 def typing_counts(keys: DataFrame, event_time: str, width: str = "10 seconds", delay: str = "30 seconds", least_s: float = 1.0) -> DataFrame:
     """Keystrokes per tumbling window; one that closes early counts only from ``least_s`` seconds on.
 

@@ -1,4 +1,4 @@
-"""Exact rules on a stream whose state outgrows a task: the late rule and loss-free ingest.
+"""Exact rules on a stream whose state outgrows a task: the late rule, loss-free ingest and sliding means.
 
 Every micro-batch owns one folder per table below a base folder, and replaces it when it is run again; it reads only what
 batches before it wrote.  Newest times and delivery ids of earlier batches are such tables: joined by key like any other,
@@ -8,7 +8,7 @@ batch reads one merged table and a bounded number of changes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewrank.functions import registry as R
@@ -123,3 +123,68 @@ def balance(spark: SparkSession, base: str) -> DataFrame:
         parts = mine if parts is None else parts.unionByName(mine)
     n = lambda to: F.coalesce(F.sum(F.when(F.col("to") == to, F.col("n"))), F.lit(0)).alias(to)
     return parts.groupBy("batch_id").agg(n("accepted"), n("duplicates"), n("dead"))
+
+
+def _micros(spark: SparkSession, length: str) -> int:
+    """Microseconds of a length like ``10 hours``."""
+    return spark.sql(f"SELECT unix_micros(timestamp_micros(0) + INTERVAL {length})").first()[0]
+
+
+def sliding_means(events: DataFrame, event_time: str, value: Column, base: str, checkpoint: str, width: str = "60 seconds",
+                  slide: str = "1 second", delay: str = "30 seconds", every: int = MERGE_EVERY) -> DataFrame:
+    """Read a live stream until it is used up: ``session_id, window_start, window_end, mean, observed`` of all sliding windows with events.
+
+    The batch rolling mean is the exact per-tick form.  An event is in up to ``width / slide`` windows but is copied into none:
+    a micro-batch writes one row per session and slide with events, which names the first and last window they are in, and
+    windows are put together from these rows where the result is read.  An event counts in windows that end later than
+    ``delay`` before the newest event of all batches up to the last but one, as with a watermark.
+    """
+    spark = events.sparkSession
+    wide, step, wait = (_micros(spark, x) for x in (width, slide, delay))
+    if step > wide:
+        raise ValueError("slide must not be longer than width")
+    slide_of = lambda at: at - F.pmod(at, F.lit(step))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, path = batch.sparkSession, f"{base}/panes/batch_id={batch_id}"
+        newest = lambda until: _before(spark, f"{base}/newest", until, "newest long")
+        most = lambda rows: rows.agg(F.max("newest").alias("newest"))
+        before = most(newest(batch_id - 1)).first()[0]
+        closed = 0 if before is None else max(0, before // 1000 * 1000 - wait)  # a watermark has whole milliseconds
+        starts = batch.withColumns({"first": F.greatest(slide_of(F.col("_at") - wide), slide_of(F.lit(closed - wide))) + step, "last": slide_of(F.col("_at"))})
+        panes = starts.where("first <= last").groupBy("session_id", "first", "last").agg(
+            F.sum("_value").alias("total"), F.count("_value").alias("observed"), F.max("_at").alias("newest"))
+        panes.write.mode("overwrite").parquet(path)
+        _keep(newest(batch_id), most(spark.read.schema("newest long").parquet(path)), f"{base}/newest", batch_id, most, every)
+
+    run_batches(events.select("session_id", F.unix_micros(event_time).alias("_at"), value.cast("double").alias("_value")), write, checkpoint)
+    panes = spark.read.schema("session_id string, first long, last long, total double, observed long").parquet(f"{base}/panes").repartition("session_id")
+    if len(_folders(spark, f"{base}/panes")) > 1:
+        panes = panes.groupBy("session_id", "first", "last").agg(F.sum("total").alias("total"), F.sum("observed").alias("observed"))
+    windows = _windows_of(panes, step, (wide - 1) // step * step)
+    return windows.select("session_id", F.timestamp_micros("start").alias("window_start"), F.timestamp_micros(F.col("start") + wide).alias("window_end"),
+                          F.when(F.col("observed") > 0, F.col("total") / F.col("observed")).alias("mean"), "observed")
+
+
+def _windows_of(panes: DataFrame, step: int, span: int) -> DataFrame:
+    """``session_id, start, total, observed``: every window once, from panes that are each in the windows ``first`` to ``last``, ``span`` apart at most.
+
+    A pane makes the windows up to its last one that no pane before it is in.  All other panes in them are at most ``span``
+    ahead; sorted by their first windows, those in a window come first.  So windows from one such start to the next hold the same
+    panes, are added up once, and no row is shuffled or hashed by window.
+    """
+    ordered = Window.partitionBy("session_id").orderBy("last", "first")
+    ahead = Window.partitionBy("session_id").orderBy("last").rangeBetween(0, span)
+    part = F.struct("first", F.coalesce("total", F.lit(0.0)).alias("total"), "observed")
+    near = panes.withColumn("_before", F.lag("last").over(ordered)).withColumn("_in", F.array_sort(F.collect_list(part).over(ahead)))
+    begin = lambda i: F.greatest(F.get("_in", i)["first"], F.col("_before") + step)
+    end = lambda i: F.least(F.get("_in", i + 1)["first"] - step, F.col("last"))
+
+    def run(i: Column) -> Column:
+        held = F.slice("_in", F.lit(1), i + 1)
+        add = lambda name, zero: F.aggregate(held[name], zero, lambda a, x: a + x).alias(name)
+        return F.struct(begin(i).alias("from"), end(i).alias("to"), add("total", F.lit(0.0)), add("observed", F.lit(0).cast("long")))
+
+    some = F.filter(F.sequence(F.lit(0), F.size("_in") - 1), lambda i: begin(i) <= end(i))
+    runs = near.where("_before IS NULL OR _before < last").select("session_id", F.inline(F.transform(some, run)))
+    return runs.select("session_id", F.explode(F.sequence("from", "to", F.lit(step))).alias("start"), "total", "observed")

@@ -1,5 +1,6 @@
 import random
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,3 +69,56 @@ def test_every_delivery_is_accepted_once_or_told(spark, flat, tmp_path):
     assert sum(r["dead"] for r in told) == dead
     reasons = [r[0] for r in spark.read.text(f"{base}/dead").collect()]
     assert sum(L.TOO_OLD in r for r in reasons) > 5 and sum("no session or delivery id" in r for r in reasons) == 1
+
+
+@pytest.mark.parametrize("width, slide, delay", [(10, 2, 20), (7, 3, 5), (4, 4, 1)])
+def test_sliding_means_of_many_batches_equal_counting_each_window(spark, tmp_path, tiny_tasks, width, slide, delay):
+    rng = random.Random(width)
+    n, parts = 120, 5
+    ms, rows = 1000, []
+    for i in range(n):
+        late = rng.randrange(60 * ms) if rng.random() < 0.3 else 0
+        at = None if i % 40 == 7 else -20 * ms + i * 500 - late
+        rows.append((i, rng.choice(["hot", "hot", "s1x", None]), at, rng.choice([None, 0.0, 1.0, 0.25])))
+    made = spark.createDataFrame(rows, "event_seq int, session_id string, ms long, v double").selectExpr("*", "timestamp_millis(ms) AS at")
+    stream = stream_of(spark, made, tmp_path / "in", [list(range(k * n // parts, (k + 1) * n // parts)) for k in range(parts)])
+    base = str(tmp_path / "out")
+    args = (stream, "at", F.col("v"), base, str(tmp_path / "cp"), f"{width} seconds", f"{slide} seconds", f"{delay} seconds", 2)
+    want, newest = {}, []
+    for k in range(parts):
+        closed = max([0, *[x - delay * ms for x in newest[: max(0, k - 1)]]])
+        mine = rows[k * n // parts:(k + 1) * n // parts]
+        for _, session, at, v in mine:
+            for start in range(0 if at is None else (at - width * ms) // (slide * ms) + 1, 0 if at is None else at // (slide * ms) + 1):
+                if start * slide * ms + width * ms > closed:
+                    want.setdefault((session, start * slide), []).append(v)
+        newest.append(max(at for _, _, at, _ in mine if at is not None))
+    known = {k: [v for v in vs if v is not None] for k, vs in want.items()}
+    for _ in range(2):  # the second time nothing is new and nothing changes
+        got = L.sliding_means(*args).selectExpr("session_id", "unix_seconds(window_start) AS s", "unix_seconds(window_end) AS e", "mean", "observed").collect()
+        assert {(r["session_id"], r["s"]): (r["e"] - r["s"], r["observed"], r["mean"] and pytest.approx(r["mean"])) for r in got} == {
+            k: (width, len(vs), sum(vs) / len(vs) if vs else None) for k, vs in known.items()}
+        assert len(got) == len(want)
+    assert spark.read.parquet(f"{base}/panes").count() <= n
+
+
+def test_stream_sliding_keeps_an_event_once_and_agrees_with_sql(spark, tmp_path):
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+    from reviewrank.session import shared_dir
+    from tools.oracle_check import compare
+
+    n = 200
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_seconds(i * 7919 % 700 * 3600 + i) AS ts, i % 4 AS user_id,
+      ['signup', 'error', 'view', 'click', 'purchase'][1 + i % 5] AS event_type, i * 13 % 100 AS value, '{{"k": ' || (i * 31 % 100) || '}}' AS props
+      FROM range({n}) r(i)) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(shared.glob("sliding-*"))
+    message, windows = compare(spark, con, queries()["stream_sliding"], oracle_sql()["stream_sliding"], str(tmp_path))
+    assert message == "" and windows > 4 * n
+    written = [str(p) for made in set(shared.glob("sliding-*")) - before for p in made.rglob("*.parquet") if p.is_file()]
+    assert written and con.execute("SELECT count(*) FROM read_parquet(?, union_by_name = true)", [written]).fetchone()[0] <= n + 1  # the newest time is a row too
+    assert not [p for made in set(shared.glob("sliding-*")) - before for p in made.rglob("state/*/*/*.delta")]
